@@ -138,7 +138,7 @@ class Feeds:
         daily = self.orders.groupBy(day.alias("date")).agg(F.avg("o_totalprice").alias("m"))
         season = F.cos(F.lit(2.0) * F.pi() * (F.dayofyear("date") - 15) / F.lit(365.0))
         temp = F.lit(10.0) - F.lit(12.0) * season + (F.col("m") - 250000.0) / 40000.0
-        return daily.select("date", F.lit("30").alias("station_id"), F.round(temp, 1).alias("tl_mittel_c"))
+        return daily.select("date", F.lit("30").alias("station_id"), (F.round(temp, 1) + F.lit(0.0)).alias("tl_mittel_c"))
 
     @mart
     def index(self) -> DataFrame:

@@ -44,7 +44,7 @@ EXPRESSIONS: dict[str, str] = {
     "weather": """
         SELECT o_orderdate::DATE AS date_local,
                round(10.0::DOUBLE - 12.0::DOUBLE * cos(2.0::DOUBLE * pi() * (dayofyear(o_orderdate::DATE) - 15) / 365.0::DOUBLE)
-                     + (avg(o_totalprice) - 250000.0::DOUBLE) / 40000.0::DOUBLE, 1) AS tavg_c
+                     + (avg(o_totalprice) - 250000.0::DOUBLE) / 40000.0::DOUBLE, 1) + 0.0::DOUBLE AS tavg_c
         FROM orders GROUP BY 1""",
     "idx": """
         SELECT date_trunc('month', l_shipdate)::DATE AS month_local,

@@ -18,6 +18,8 @@ from wattlake.functions.timecols import resolution_minutes
 from wattlake.sources.schemas import MARKET_DOCUMENT, STATION_DOCUMENT, WEATHER_DOCUMENT
 from wattlake.sources.tables import ContractError
 
+#: Interval bounds come as ``2024-02-01T00:00Z``, sometimes with seconds.
+INSTANT = "yyyy-MM-dd'T'HH:mm[:ss]X"
 POSITION = "classificationSequence_AttributeInstanceComponent.position"
 
 
@@ -67,8 +69,8 @@ def describe_series(series: DataFrame) -> DataFrame:
 def explode_periods(series: DataFrame) -> DataFrame:
     """One row per period with its start, step and number of positions."""
     rows = series.select("*", F.posexplode("periods").alias("period_no", "p")).drop("periods")
-    start = F.to_timestamp(F.col("p.timeInterval.start"))
-    end = F.to_timestamp(F.col("p.timeInterval.end"))
+    start = F.to_timestamp(F.col("p.timeInterval.start"), INSTANT)
+    end = F.to_timestamp(F.col("p.timeInterval.end"), INSTANT)
     minutes = resolution_minutes(F.col("p.resolution"))
     span = (F.unix_seconds(end) - F.unix_seconds(start)) / F.lit(60)
     return rows.select(
