@@ -1 +1,305 @@
-"""Pending."""
+"""Window operators, ordering and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wattlake.operators import quantiles, series
+from wattlake.operators.dedup import duplicate_surplus
+from wattlake.operators.joins import fill_in_order
+from wattlake.operators.spine import holiday_dimension, month_spine
+from wattlake.plans import analytics, risk, strategies
+from wattlake.queries.feeds import Feeds
+from wattlake.queries.registry import query
+from wattlake.sources.tables import strategy_dimension
+
+
+@query("w02_share_of_partition_total", """
+    SELECT d AS day, event_type, n, n::DOUBLE / sum(n) OVER (PARTITION BY d) AS share
+    FROM (SELECT ts::DATE AS d, event_type, count(*) AS n FROM events GROUP BY 1, 2)""", "share:8")
+def _(t: Feeds) -> DataFrame:
+    counts = t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", series.share_of_group(F.col("n"), ["day"]))
+
+
+ANNUAL_PRIORITY = """
+    SELECT year(o_orderdate)::INT AS year, o_orderpriority AS strategy_id, sum(o_totalprice) AS cost FROM orders GROUP BY 1, 2"""
+
+
+def annual_priority(t: Feeds) -> DataFrame:
+    return t.orders.groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("strategy_id")).agg(
+        F.sum("o_totalprice").alias("cost"))
+
+
+@query("w03_delta_to_group_minimum", f"""
+    SELECT year, strategy_id, cost - min(cost) OVER (PARTITION BY year) AS delta FROM ({ANNUAL_PRIORITY})""", "delta:2")
+def _(t: Feeds) -> DataFrame:
+    return annual_priority(t).select("year", "strategy_id", series.above_group_min(F.col("cost"), ["year"]).alias("delta"))
+
+
+@query("w04_rank", f"""
+    SELECT year, strategy_id, (rank() OVER (PARTITION BY year ORDER BY cost))::INT AS rank FROM ({ANNUAL_PRIORITY})""")
+def _(t: Feeds) -> DataFrame:
+    return annual_priority(t).select("year", "strategy_id", series.rank_in_group(F.col("cost"), ["year"]).alias("rank"))
+
+
+@query("w05_grand_total_per_row", f"""
+    SELECT year, gap, sum(gap) OVER () AS total FROM (SELECT year, max(cost) - min(cost) AS gap FROM ({ANNUAL_PRIORITY}) GROUP BY 1)""", "gap:2 total:2")
+def _(t: Feeds) -> DataFrame:
+    gaps = annual_priority(t).groupBy("year").agg((F.max("cost") - F.min("cost")).alias("gap"))
+    return gaps.withColumn("total", gaps.agg(F.sum("gap")).scalar())
+
+
+@query("w06_tail_mean", """
+    SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) FILTER (WHERE rn <= ceil(0.05 * n)) AS cvar95
+    FROM (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS rn,
+                 count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) GROUP BY 1""", "cvar95:4")
+def _(t: Feeds) -> DataFrame:
+    out = quantiles.describe_groups(t.lineitem, ["l_returnflag"], "l_extendedprice", tail_share=0.05, tail_name="cvar95")
+    return out.select("l_returnflag", "n", "cvar95")
+
+
+@query("w07_first_difference", "SELECT date_local, price_base_eur_mwh, d_t FROM diffs", "price_base_eur_mwh d_t")
+def _(t: Feeds) -> DataFrame:
+    daily = t.daily.where("price_base_eur_mwh is not null").select("date_local", "price_base_eur_mwh")
+    return series.difference(daily, [], "date_local", "price_base_eur_mwh").where("d_t is not null")
+
+
+@query("w07_difference_per_series", """
+    SELECT p AS series, d AS day, v - lag(v) OVER (PARTITION BY p ORDER BY d) AS d_t FROM (
+        SELECT o_orderpriority AS p, o_orderdate::DATE AS d, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)""", "d_t:3")
+def _(t: Feeds) -> DataFrame:
+    daily = t.orders.groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("day")).agg(
+        F.avg("o_totalprice").alias("v"))
+    return series.difference(daily, ["series"], "day", "v").select("series", "day", "d_t")
+
+
+@query("w08_rolling_deviation", "SELECT date_local, realized_vol FROM diffs", "realized_vol")
+def _(t: Feeds) -> DataFrame:
+    return analytics.daily_differences(t.daily).select("date_local", "realized_vol")
+
+
+@query("w09_running_total", """
+    SELECT strategy_id, year_local, month_local, sum(cost_eur) OVER (PARTITION BY strategy_id ORDER BY year_local, month_local) AS cumulative_eur
+    FROM costs""", "cumulative_eur:2")
+def _(t: Feeds) -> DataFrame:
+    return analytics.cumulative_cost(t.costs).select("strategy_id", "year_local", "month_local", "cumulative_eur")
+
+
+@query("w10_forward_back_fill", """
+    SELECT ts_utc, coalesce(last_value(load_at_mw IGNORE NULLS) OVER (PARTITION BY year_local, month_local ORDER BY ts_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                    first_value(load_at_mw IGNORE NULLS) OVER (PARTITION BY year_local, month_local ORDER BY ts_utc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS load_at_mw
+    FROM hourly WHERE year_local = 1997""", "load_at_mw")
+def _(t: Feeds) -> DataFrame:
+    rows = t.hourly.where("year_local = 1997").select("ts_utc", "year_local", "month_local", "load_at_mw")
+    return fill_in_order(rows, ["year_local", "month_local"], "ts_utc", "load_at_mw").select("ts_utc", "load_at_mw")
+
+
+@query("w11_relative_monthly_change", """
+    SELECT month_local, oespi_base / lag(oespi_base) OVER (ORDER BY month_local) - 1.0::DOUBLE AS mom FROM idx""", "mom:8")
+def _(t: Feeds) -> DataFrame:
+    return series.relative_change(t.index, [], "month_local", "oespi_base", "mom").select("month_local", "mom")
+
+
+@query("w12_index_to_first", """
+    SELECT month_local, 100.0::DOUBLE * oespi_base / first_value(oespi_base) OVER (ORDER BY month_local) AS base100 FROM idx""", "base100")
+def _(t: Feeds) -> DataFrame:
+    return series.index_to_first(t.index, [], "month_local", "oespi_base", "base100").select("month_local", "base100")
+
+
+@query("w13_share_of_sum_normalisation", """
+    SELECT y AS year, d AS day, 50000.0::DOUBLE * q / sum(q) OVER (PARTITION BY y) AS mwh
+    FROM (SELECT year(l_shipdate)::INT AS y, l_shipdate::DATE AS d, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)""", "mwh")
+def _(t: Feeds) -> DataFrame:
+    daily = t.lineitem.groupBy(F.year("l_shipdate").alias("year"), F.to_date("l_shipdate").alias("day")).agg(
+        F.sum("l_quantity").alias("q"))
+    return daily.select("year", "day", (F.lit(50000.0) * series.share_of_group(F.col("q"), ["year"])).alias("mwh"))
+
+
+@query("w14_runner_up_margin", f"""
+    SELECT year, max(CASE WHEN rn = 1 THEN strategy_id END) AS best, max(CASE WHEN rn = 2 THEN strategy_id END) AS runner_up,
+           max(CASE WHEN rn = 2 THEN cost END) - max(CASE WHEN rn = 1 THEN cost END) AS margin
+    FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY cost, strategy_id) AS rn FROM ({ANNUAL_PRIORITY})) GROUP BY 1""", "margin:2")
+def _(t: Feeds) -> DataFrame:
+    return series.runner_up(annual_priority(t), ["year"], "strategy_id", "cost")
+
+
+@query("w15_duration_curve", """
+    SELECT year_local, price_at_eur_mwh, (row_number() OVER w)::INT AS rank,
+           CASE WHEN count(*) OVER (PARTITION BY year_local) > 1 THEN
+                100.0::DOUBLE * (row_number() OVER w - 1) / (count(*) OVER (PARTITION BY year_local) - 1) ELSE 0.0::DOUBLE END AS share_pct
+    FROM hourly WHERE price_at_eur_mwh IS NOT NULL WINDOW w AS (PARTITION BY year_local ORDER BY price_at_eur_mwh DESC)""",
+    "price_at_eur_mwh share_pct")
+def _(t: Feeds) -> DataFrame:
+    return series.duration_curve(analytics.priced_hours(t.hourly), ["year_local"], "price_at_eur_mwh")
+
+
+@query("w16_gap_to_previous", """
+    SELECT event_id, epoch_us(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) / 60000000.0::DOUBLE AS gap_minutes FROM events""", "gap_minutes:9")
+def _(t: Feeds) -> DataFrame:
+    # Split by type and day with the previous day's last event carried over,
+    # so no partition holds more than one day of one type.
+    from pyspark.sql import Window
+
+    rows = t.events.select("event_id", "event_type", "ts", F.to_date("ts").alias("day"))
+    last = rows.groupBy("event_type", "day").agg(F.max("ts").alias("last"))
+    before = last.withColumn("previous_last", F.lag("last").over(Window.partitionBy("event_type").orderBy("day")))
+    w = Window.partitionBy("event_type", "day").orderBy("ts")
+    joined = rows.join(before.drop("last"), ["event_type", "day"])
+    previous = F.coalesce(F.lag("ts").over(w), F.col("previous_last"))
+    return joined.select("event_id", ((F.unix_micros("ts") - F.unix_micros(previous)) / F.lit(60_000_000.0)).alias("gap_minutes"))
+
+
+@query("w17_duplicate_surplus", """
+    SELECT zone, m AS month, sum(n - 1)::BIGINT AS n_duplicates FROM (
+        SELECT zone, date_trunc('month', ts_utc)::DATE AS m, ts_utc, count(*) AS n FROM raw_prices GROUP BY 1, 2, 3 HAVING count(*) > 1)
+    GROUP BY 1, 2""")
+def _(t: Feeds) -> DataFrame:
+    rows = t.raw_prices.select("zone", "ts_utc", F.to_date(F.trunc("ts_utc", "MM")).alias("month"))
+    return duplicate_surplus(rows, ["zone", "ts_utc"], ["zone", "month"])
+
+
+# ---- order and top-k -----------------------------------------------------------
+@query("o01_multi_key_order", f"SELECT * FROM ({ANNUAL_PRIORITY}) ORDER BY year, strategy_id", "cost:2")
+def _(t: Feeds) -> DataFrame:
+    return annual_priority(t).orderBy("year", "strategy_id")
+
+
+@query("o02_last_priced_month", "SELECT last_month FROM lastmonth")
+def _(t: Feeds) -> DataFrame:
+    return risk.last_priced_month(t.monthly)
+
+
+@query("o03_custom_order", """
+    SELECT c.strategy_id, d.sort_order, count(*) AS n FROM costs c JOIN dimstrategy d ON d.strategy_id = c.strategy_id
+    GROUP BY 1, 2 ORDER BY sort_order""")
+def _(t: Feeds) -> DataFrame:
+    from pyspark.sql import Window
+
+    # Six rows: the position in the dimension is the sort order.
+    dim = strategy_dimension(t.spark).withColumn("sort_order", F.row_number().over(Window.orderBy("strategy_id")))
+    counts = t.costs.groupBy("strategy_id").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(dim), "strategy_id").select("strategy_id", "sort_order", "n").orderBy("sort_order")
+
+
+@query("o04_top_one_with_tie_break", """
+    SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 100000), o_orderkey) = 1""")
+def _(t: Feeds) -> DataFrame:
+    bucket = F.floor(F.col("o_totalprice") / 100000 + 0.5)
+    return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(bucket, F.col("o_orderkey"))).alias("o_orderkey"))
+
+
+@query("o05_yearly_winners", f"""
+    SELECT year, strategy_id AS winner FROM ({ANNUAL_PRIORITY}) QUALIFY row_number() OVER (PARTITION BY year ORDER BY cost, strategy_id) = 1""")
+def _(t: Feeds) -> DataFrame:
+    return annual_priority(t).groupBy("year").agg(F.min_by("strategy_id", F.struct("cost", "strategy_id")).alias("winner"))
+
+
+# ---- set operations --------------------------------------------------------------
+@query("u01_union_all", """
+    SELECT o_orderdate::DATE AS day, 'order' AS kind FROM orders UNION ALL SELECT l_shipdate::DATE, 'ship' FROM lineitem""")
+def _(t: Feeds) -> DataFrame:
+    a = t.orders.select(F.to_date("o_orderdate").alias("day"), F.lit("order").alias("kind"))
+    return a.unionByName(t.lineitem.select(F.to_date("l_shipdate").alias("day"), F.lit("ship").alias("kind")))
+
+
+@query("u02_union_distinct_with_values", """
+    SELECT o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 480000 UNION
+    SELECT * FROM (VALUES (DATE '1996-03-31'), (DATE '1996-10-27')) v(day)""")
+def _(t: Feeds) -> DataFrame:
+    fixed = t.spark.createDataFrame([("1996-03-31",), ("1996-10-27",)], "d string").select(F.to_date("d").alias("day"))
+    days = t.orders.where("o_totalprice > 480000").select(F.to_date("o_orderdate").alias("day"))
+    return days.union(fixed).distinct()
+
+
+@query("u03_distinct", "SELECT DISTINCT year(l_shipdate)::INT AS y, month(l_shipdate)::INT AS m, l_returnflag FROM lineitem")
+def _(t: Feeds) -> DataFrame:
+    return t.lineitem.select(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"), "l_returnflag").distinct()
+
+
+@query("u04_set_difference", """
+    SELECT d AS day FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 DAY))::DATE AS d)
+    EXCEPT SELECT o_orderdate::DATE FROM orders WHERE o_orderpriority = '5-LOW'""")
+def _(t: Feeds) -> DataFrame:
+    from wattlake.operators.spine import day_spine
+
+    bounds = t.orders.agg(F.to_date(F.min("o_orderdate")).alias("first_day"), F.to_date(F.max("o_orderdate")).alias("last_day"))
+    seen = t.orders.where("o_orderpriority = '5-LOW'").select(F.to_date("o_orderdate").alias("day"))
+    return day_spine(bounds).withColumnRenamed("date_local", "day").subtract(seen)
+
+
+@query("u05_intersection", """
+    SELECT ts_utc FROM prices WHERE zone = 'AT' INTERSECT SELECT ts_utc FROM sysload""")
+def _(t: Feeds) -> DataFrame:
+    return t.prices.where("zone = 'AT'").select("ts_utc").intersect(t.load.select("ts_utc"))
+
+
+@query("u05_holiday_set_equality", """
+    SELECT y::INT AS year, count(*) AS n_expected, 0::BIGINT AS n_missing FROM hol
+    JOIN (SELECT DISTINCT year_local FROM cal) ON year_local = y GROUP BY 1""")
+def _(t: Feeds) -> DataFrame:
+    expected = holiday_dimension(t.calendar.select(F.col("year_local").alias("year")).distinct())
+    flagged = t.calendar.where("is_holiday_at").select("date_local").distinct().withColumn("seen", F.lit(True))
+    both = expected.join(flagged, "date_local", "left")
+    return both.groupBy("year").agg(
+        F.count("*").alias("n_expected"), F.count_if(F.col("seen").isNull() & (F.col("date_local") <= t.bounds.select("last_day").scalar())).alias("n_missing"))
+
+
+@query("u06_unpivot", """
+    SELECT o_orderkey, kv.k AS measure, kv.v AS value FROM (
+        SELECT o_orderkey, unnest([{'k': 'price', 'v': o_totalprice}, {'k': 'half', 'v': o_totalprice / 2}]) AS kv FROM orders)""")
+def _(t: Feeds) -> DataFrame:
+    wide = t.orders.select("o_orderkey", F.col("o_totalprice").alias("price"), (F.col("o_totalprice") / 2).alias("half"))
+    return wide.unpivot("o_orderkey", ["price", "half"], "measure", "value")
+
+
+@query("u07_month_spine", """
+    SELECT unnest(generate_series(date_trunc('month', min(l_shipdate)), date_trunc('month', max(l_shipdate)), INTERVAL 1 MONTH))::DATE AS month_start
+    FROM lineitem""")
+def _(t: Feeds) -> DataFrame:
+    bounds = t.lineitem.agg(F.to_date(F.min("l_shipdate")).alias("first_day"), F.to_date(F.max("l_shipdate")).alias("last_day"))
+    return month_spine(bounds)
+
+
+NUMBERS = """
+    SELECT 'wrong_strategy_cost_' || year AS key, printf('%.0f', max(cost_eur) - min(cost_eur)) AS value, 'EUR' AS unit,
+           'CALIBRATED' AS tag, 'strategies/retrospective' AS produced_by FROM annual GROUP BY year
+    UNION ALL SELECT 'annual_mean_price_' || year_local, printf('%.2f', avg(price_at_eur_mwh)), 'EUR/MWh', 'VERIFIED', 'analytics/descriptive'
+    FROM hourly WHERE price_at_eur_mwh IS NOT NULL GROUP BY year_local
+    UNION ALL SELECT 'neg_hours_' || year_local, (sum(n_negative_hours)::BIGINT)::VARCHAR, 'hours', 'VERIFIED', 'analytics/descriptive'
+    FROM monthly GROUP BY year_local
+    UNION ALL SELECT 'consumer_peak_share_' || profile, printf('%.4f', peak_share), 'share', 'CALIBRATED', 'consumer/profile' FROM peakshare
+    UNION ALL SELECT 'best_strategy_total', arg_min(strategy_id, c), 'strategy_id', 'CALIBRATED', 'strategies/retrospective'
+    FROM (SELECT strategy_id, sum(cost_eur) AS c FROM annual GROUP BY 1)"""
+
+
+def numbers(t: Feeds) -> DataFrame:
+    """The published numbers of three producers in one table."""
+
+    def rows(df: DataFrame, key, value, unit: str, tag: str, producer: str) -> DataFrame:  # noqa: ANN001
+        return df.select(key.alias("key"), value.alias("value"), F.lit(unit).alias("unit"),
+                         F.lit(tag).alias("tag"), F.lit(producer).alias("produced_by"))
+
+    annual = strategies.annual_summary(t.costs)
+    wrong = strategies.wrong_strategy_cost(annual)
+    mean = analytics.priced_hours(t.hourly).groupBy("year_local").agg(F.avg("price_at_eur_mwh").alias("v"))
+    negative = t.monthly.groupBy("year_local").agg(F.sum("n_negative_hours").alias("v"))
+    total = annual.groupBy("strategy_id").agg(F.sum("cost_eur").alias("c"))
+    best = total.agg(F.min_by("strategy_id", F.struct("c", "strategy_id")).alias("v"))
+    out = rows(wrong, F.concat(F.lit("wrong_strategy_cost_"), F.col("year").cast("string")),
+               F.format_string("%.0f", "wrong_strategy_cost_eur"), "EUR", "CALIBRATED", "strategies/retrospective")
+    out = out.unionByName(rows(mean, F.concat(F.lit("annual_mean_price_"), F.col("year_local").cast("string")),
+                               F.format_string("%.2f", "v"), "EUR/MWh", "VERIFIED", "analytics/descriptive"))
+    out = out.unionByName(rows(negative, F.concat(F.lit("neg_hours_"), F.col("year_local").cast("string")),
+                               F.col("v").cast("string"), "hours", "VERIFIED", "analytics/descriptive"))
+    out = out.unionByName(rows(t.peak_share, F.concat(F.lit("consumer_peak_share_"), F.col("profile")),
+                               F.format_string("%.4f", "peak_share"), "share", "CALIBRATED", "consumer/profile"))
+    return out.unionByName(rows(best, F.lit("best_strategy_total"), F.col("v"), "strategy_id", "CALIBRATED", "strategies/retrospective"))
+
+
+@query("u08_numbers_table", NUMBERS)
+def _(t: Feeds) -> DataFrame:
+    from wattlake.sources.sinks import numbers_table
+
+    return numbers_table(numbers(t))
