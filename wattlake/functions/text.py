@@ -23,6 +23,11 @@ UNIT_PATTERNS = (
 _TAKEN = "␟"
 
 
+def _tagged(pairs: Column, unit: str, scale: float) -> Column:
+    return F.transform(pairs, lambda r: F.struct(
+        r["w"].alias("literal"), r["n"].alias("number"), F.lit(unit).alias("unit"), F.lit(scale).alias("scale")))
+
+
 def number_literals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, literal, value, unit, tolerance`` for every number with a unit.
 
@@ -34,8 +39,7 @@ def number_literals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         p = F.lit(pattern)
         numbers = F.regexp_extract_all(rest, p, F.lit(1))
         whole = F.regexp_extract_all(rest, p, F.lit(0))
-        parts.append(F.transform(F.arrays_zip(numbers.alias("n"), whole.alias("w")), lambda r, u=unit, s=scale: F.struct(
-            r["w"].alias("literal"), r["n"].alias("number"), F.lit(u).alias("unit"), F.lit(s).alias("scale"))))
+        parts.append(_tagged(F.arrays_zip(numbers.alias("n"), whole.alias("w")), unit, scale))
         rest = F.regexp_replace(rest, p, F.lit(_TAKEN))
     found = docs.select(F.col(doc_id).alias("doc_id"), F.inline(F.flatten(F.array(*parts))))
     plain = F.regexp_replace("number", ",", "")
