@@ -1,8 +1,7 @@
 """Unit-bearing numbers inside free text, and their match against published values.
 
-All patterns run inside the JVM on whole texts. Spans that an earlier pattern
-already took are removed from the text before the next one looks, which gives
-'first matching pattern wins' without tracking offsets.
+Whole texts are searched inside the JVM by one alternation, so each text is
+read once; the unit is then read off the short literal itself.
 """
 
 from __future__ import annotations
@@ -10,22 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Number shape and the units with their scale, in matching order.
-NUMBER = r"(?<![\w.%-])(-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?)"
-UNIT_PATTERNS = (
-    (rf"€\s?{NUMBER}\s?M\b", "EUR", 1e6),
-    (rf"{NUMBER}\s?EUR/MWh", "EUR/MWh", 1.0),
-    (rf"€\s?{NUMBER}(?!\s?M\b)(?![\d,.])", "EUR", 1.0),
-    (rf"{NUMBER}\s?EUR\b(?!/)", "EUR", 1.0),
-    (rf"{NUMBER}\s?%", "%", 1.0),
-    (rf"{NUMBER}\s?hours\b", "hours", 1.0),
+# Number shape, and the literals in order of precedence. A euro
+# amount directly followed by a unit price is left to the unit price. The
+# leading look-ahead skips every character that cannot start a literal.
+NUMBER = r"(?<![\w.%-])(?:-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?)"
+ANY_LITERAL = (
+    r"(?=[€\d-])(?:"
+    rf"€\s?{NUMBER}\s?M\b"
+    rf"|€\s?{NUMBER}(?!\s?M\b)(?![\d,.])(?!\s?EUR/MWh)"
+    rf"|{NUMBER}\s?(?:EUR/MWh|EUR\b(?!/)|%|hours\b)"
+    r")"
 )
-_TAKEN = "␟"
 
 
-def _tagged(pairs: Column, unit: str, scale: float) -> Column:
-    return F.transform(pairs, lambda r: F.struct(
-        r["w"].alias("literal"), r["n"].alias("number"), F.lit(unit).alias("unit"), F.lit(scale).alias("scale")))
+def literal_unit(literal: Column) -> Column:
+    """Unit of a matched literal, from its first and last characters."""
+    return (
+        F.when(F.startswith(literal, F.lit("€")), "EUR")
+        .when(F.endswith(literal, F.lit("EUR/MWh")), "EUR/MWh")
+        .when(F.endswith(literal, F.lit("EUR")), "EUR")
+        .when(F.endswith(literal, F.lit("%")), "%")
+        .otherwise("hours")
+    )
 
 
 def number_literals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -33,20 +38,21 @@ def number_literals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     The tolerance is half a unit of the last printed digit.
     """
-    rest = F.col(text)
-    parts: list[Column] = []
-    for pattern, unit, scale in UNIT_PATTERNS:
-        p = F.lit(pattern)
-        numbers = F.regexp_extract_all(rest, p, F.lit(1))
-        whole = F.regexp_extract_all(rest, p, F.lit(0))
-        parts.append(_tagged(F.arrays_zip(numbers.alias("n"), whole.alias("w")), unit, scale))
-        rest = F.regexp_replace(rest, p, F.lit(_TAKEN))
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.inline(F.flatten(F.array(*parts))))
-    plain = F.regexp_replace("number", ",", "")
-    decimals = F.length(F.regexp_extract(plain, r"\.(\d+)$", 1))
-    return found.select(
+    found = docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.explode(F.regexp_extract_all(text, F.lit(ANY_LITERAL), F.lit(0))).alias("literal"),
+    )
+    literal = F.col("literal")
+    plain = F.regexp_replace(F.regexp_extract(literal, r"-?\d[\d,]*(?:\.\d+)?", 0), ",", "")
+    millions = F.startswith(literal, F.lit("€")) & F.endswith(literal, F.lit("M"))
+    parsed = found.select(
+        "doc_id", "literal", plain.alias("number"), literal_unit(literal).alias("unit"),
+        F.when(millions, F.lit(1e6)).otherwise(F.lit(1.0)).alias("scale"),
+    )
+    decimals = F.length(F.regexp_extract("number", r"\.(\d+)$", 1))
+    return parsed.select(
         "doc_id", "literal",
-        (plain.cast("double") * F.col("scale")).alias("value"),
+        (F.col("number").cast("double") * F.col("scale")).alias("value"),
         "unit",
         (F.lit(0.5) * F.pow(F.lit(10.0), -decimals) * F.col("scale") + F.lit(1e-9)).alias("tolerance"),
     )

@@ -10,14 +10,17 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.config import REGIME_LABELS, REGIME_SEEDS
 
 
+def _tasks(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def z_score(df: DataFrame, keys: Sequence[str], value: str, name: str = "z") -> DataFrame:
     """Standardise with the population deviation of each group.
 
@@ -115,7 +118,7 @@ def garch_grid(
         F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"))
         for a in alphas for b in betas if a + b < 1.0
     ])
-    points = series.select("*", F.explode(grid).alias("g")).repartition(*keys, "g")
+    points = series.select("*", F.explode(grid).alias("g")).repartition(_tasks(df), *keys, "g")
     alpha, beta = F.col("g.alpha"), F.col("g.beta")
     omega = F.col("v") * (F.lit(1.0) - alpha - beta)
     start = F.struct(F.col("v").alias("h"), F.lit(0.0).alias("ll"))
@@ -142,30 +145,79 @@ def garch_grid(
     )
 
 
-def volatility_regimes(
-    df: DataFrame, value: str, seeds: Sequence[int] = REGIME_SEEDS, labels: Sequence[str] = REGIME_LABELS
+def _fit_mixture(x: np.ndarray, k: int, seed: int, iterations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """EM for a one-dimensional normal mixture started from seeded points."""
+    means = np.random.default_rng(seed).choice(x, size=k, replace=False)
+    variances, weights = np.full(k, x.var()), np.full(k, 1.0 / k)
+    floor, last = 1e-6 * x.var(), -np.inf
+    for _ in range(iterations):
+        log_p = np.log(weights) - 0.5 * (np.log(2 * np.pi * variances) + (x[:, None] - means) ** 2 / variances)
+        top = log_p.max(axis=1, keepdims=True)
+        norm = top + np.log(np.exp(log_p - top).sum(axis=1, keepdims=True))
+        share = np.exp(log_p - norm)
+        total = share.sum(axis=0) + 1e-12
+        weights, means = total / total.sum(), (share * x[:, None]).sum(axis=0) / total
+        variances = (share * (x[:, None] - means) ** 2).sum(axis=0) / total + floor
+        likelihood = float(norm.sum())
+        if abs(likelihood - last) < 1e-8 * abs(likelihood):
+            break
+        last = likelihood
+    return weights, means, variances, last
+
+
+def fit_regimes(
+    df: DataFrame, keys: Sequence[str], value: str, k: int = len(REGIME_LABELS),
+    seeds: Sequence[int] = REGIME_SEEDS, iterations: int = 500,
 ) -> DataFrame:
-    """Label each row by the mixture component of its standardised value.
+    """Best seeded mixture per series: ``keys, weights, means, variances, log_likelihood``.
 
-    Components are ordered by variance (calm first); of the seeded fits the
-    one with the highest likelihood is kept. Each EM step is a distributed
-    aggregation in MLlib.
+    Every (series, seed) pair is one task-sized group: a series of daily
+    differences is bounded by the calendar, so the restarts run side by side
+    and many series scale out. Components come sorted by variance.
     """
-    stats = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
-    z = (F.col(value) - F.lit(stats["m"])) / F.lit(stats["s"])
-    rows = df.where(F.col(value).isNotNull()).withColumn("_z", z)
-    features = VectorAssembler(inputCols=["_z"], outputCol="_f").transform(rows).persist()
-    try:
-        models = [
-            GaussianMixture(k=len(labels), seed=s, featuresCol="_f", maxIter=100).fit(features)
-            for s in seeds
-        ]
-    finally:
-        features.unpersist()
-    best = max(models, key=lambda m: m.summary.logLikelihood)
-    spread = [float(g.cov.toArray()[0, 0]) for g in best.gaussians]
-    place = {int(c): rank for rank, c in enumerate(np.argsort(spread))}
-    name = F.create_map(*[F.lit(x) for c, r in place.items() for x in (c, labels[r])])
-    scored = best.setPredictionCol("_p").setProbabilityCol("_pr").transform(features)
-    return scored.withColumn("regime", name[F.col("_p")]).drop("_z", "_f", "_p", "_pr")
+    keys = list(keys)
+    schema = df.select(*keys).schema
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [
+        "seed int", "weights array<double>", "means array<double>", "variances array<double>", "log_likelihood double"])
+    restarts = F.array(*[F.lit(int(s)) for s in seeds])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf[value].to_numpy(dtype=float))
+        seed = int(pdf["seed"].iloc[0])
+        weights, means, variances, likelihood = _fit_mixture(x, k, seed, iterations)
+        order = np.argsort(variances)
+        return pd.DataFrame([{
+            **{c: pdf[c].iloc[0] for c in keys}, "seed": seed, "weights": weights[order].tolist(),
+            "means": means[order].tolist(), "variances": variances[order].tolist(), "log_likelihood": likelihood,
+        }])
+
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, F.explode(restarts).alias("seed"))
+    # Small in bytes but heavy in work: a stated number keeps the groups apart.
+    rows = rows.repartition(_tasks(df), *keys, "seed")
+    fits = rows.groupBy(*keys, "seed").applyInPandas(fit, out)
+    best = F.max_by(F.struct("weights", "means", "variances", "log_likelihood"),
+                    F.struct(F.col("log_likelihood"), -F.col("seed")))
+    return fits.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
 
+def volatility_regimes(
+    df: DataFrame, keys: Sequence[str], value: str, labels: Sequence[str] = REGIME_LABELS,
+    seeds: Sequence[int] = REGIME_SEEDS,
+) -> DataFrame:
+    """Label each row with the most likely component of its series (calm first, by variance).
+
+    Standardising uses each series' population deviation. Only the fit is
+    Python; labels are a JVM expression over the joined parameters.
+    """
+    keys = list(keys)
+    scored = z_score(df.where(F.col(value).isNotNull()), keys, value, "_z")
+    params = fit_regimes(scored, keys, "_z", len(labels), seeds)
+    joined = scored.join(params, keys)
+    densities = [
+        F.log(F.col("weights")[i]) - F.lit(0.5) * (
+            F.log(F.col("variances")[i]) + F.pow(F.col("_z") - F.col("means")[i], F.lit(2.0)) / F.col("variances")[i])
+        for i in range(len(labels))
+    ]
+    best = F.array_position(F.array(*densities), F.array_max(F.array(*densities)))
+    regime = F.element_at(F.array(*[F.lit(name) for name in labels]), best.cast("int"))
+    return joined.withColumn("regime", regime).drop("_z", "weights", "means", "variances", "log_likelihood")

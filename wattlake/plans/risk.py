@@ -182,14 +182,23 @@ def path_costs(paths: DataFrame, cells: DataFrame, slots: DataFrame, params: Dat
     price = params.select(F.struct(
         "p_ref_base", "p_ref_peak", "oespi_base_ref", "oespi_peak_ref", "w_peak", "premium"
     ).alias("price")).scalar()
-    rows = paths.select("path", F.inline(sides)).withColumn("price", price).select("path", "variant", "targets", "years", "price.*")
+    # Eight bytes per path against a whole simulated year: spreading the ids is
+    # cheap and keeps every core busy however the ids are stored.
+    tasks = paths.sparkSession.sparkContext.defaultParallelism
+    spread = paths.select("path").repartition(tasks, "path")
+    rows = spread.select("path", F.inline(sides)).withColumn("price", price).select("path", "variant", "targets", "years", "price.*")
+
+    complete = F.when(F.size("targets") == cfg.horizon_months, F.col("targets")).otherwise(
+        F.raise_error(F.concat(F.lit("empty bootstrap pool in variant "), F.col("variant"))).cast(
+            shared.schema["targets"].dataType)
+    )
 
     def pick(t: Column) -> Column:
         index = uniform_index(seed, [F.col("path"), t["target_idx"]], F.size(t["cells"]))
         return F.struct(t["target_idx"].alias("target_idx"), t["delivery_year"].alias("delivery_year"),
                         t["volume_mwh"].alias("volume_mwh"), F.get(t["cells"], index).alias("cell"))
 
-    picked = rows.withColumn("picks", F.transform("targets", pick)).drop("targets")
+    picked = rows.withColumn("picks", F.transform(complete, pick)).drop("targets")
 
     def total(array: Column | str, term) -> Column:  # noqa: ANN001
         return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + term(x))

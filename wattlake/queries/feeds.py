@@ -190,11 +190,11 @@ class Feeds:
     def monthly(self) -> DataFrame:
         return marts.fct_price_monthly(self.hourly, self.index)
 
-    @cached_property
+    @mart
     def generation(self) -> DataFrame:
         return marts.fct_generation_monthly(staging.hourly_generation(self.raw_gen), self.calendar)
 
-    @cached_property
+    @mart
     def dq(self) -> DataFrame:
         return marts.fct_data_quality_monthly(self.hourly, self.prices, self.weather, self.index)
 
@@ -247,10 +247,12 @@ class Feeds:
 
     @mart
     def labelled(self) -> DataFrame:
-        """Regime labels from fixed volatility bands, so that an oracle exists."""
-        vol = F.col("realized_vol")
-        label = F.when(vol > 30, "crisis").when(vol > 26, "elevated").otherwise("calm")
-        return self.differences.withColumn("regime", label)
+        """Regime labels from volatility bands relative to the whole history, so that an oracle exists."""
+        overall = self.differences.agg(F.stddev_samp("d_t")).scalar()
+        rows = self.differences.withColumn("relative_vol", F.col("realized_vol") / overall)
+        band = F.col("relative_vol")
+        label = F.when(band > 1.1, "crisis").when(band > 0.98, "elevated").otherwise("calm")
+        return rows.withColumn("regime", label).drop("relative_vol")
 
     @cached_property
     def crisis_years(self) -> DataFrame:
@@ -276,12 +278,12 @@ class Feeds:
     def paths_in(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("path"))
 
-    @cached_property
+    @mart
     def path_costs(self) -> DataFrame:
         slots = risk.lock_slots(self.observed_index, self.targets, self.cfg.lock_months)
         return risk.path_costs(self.paths_in, self.cells, slots, self.base_params, self.cfg)
 
-    @cached_property
+    @mart
     def risk_summary(self) -> DataFrame:
         return risk.risk_summary(self.path_costs)
 

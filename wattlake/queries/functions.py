@@ -203,19 +203,16 @@ def _(t: Feeds) -> DataFrame:
 
 
 def composed_texts(t: Feeds) -> DataFrame:
-    """Whole documents with figures of the numbers table appended, some right and some off.
+    """Whole documents with one published figure appended, some right and some off.
 
-    The join key is the document's slot in the numbers table (bounded).
+    The numbers table has one row per published key, so Spark broadcasts it by
+    its measured size.
     """
-    from pyspark.sql import Window
-
-    rows = numbers(t).where("unit in ('EUR', 'EUR/MWh', 'hours')")
-    # The numbers table has one row per published key, so one task may order it.
-    slots = rows.select("value", "unit", (F.row_number().over(Window.orderBy("key")) - 1).alias("slot"))
-    n = slots.agg(F.count("*")).scalar()
-    texts = t.table("documents").withColumn("n", n).withColumn("slot", (F.col("doc_id") % F.col("n")).cast("int"))
-    off = F.when(F.col("doc_id") % 3 == 0, F.lit("9")).otherwise(F.lit(""))
-    return texts.join(slots, "slot").select("doc_id", F.concat(
+    kinds = F.array(*[F.lit(k) for k in ("wrong_strategy_cost_", "neg_hours_", "annual_mean_price_")])
+    key = F.concat(F.get(kinds, (F.col("doc_id") % 3).cast("int")), (F.col("doc_id") % 5 + 1996).cast("string"))
+    off = F.when(F.col("doc_id") % 4 == 0, F.lit("9")).otherwise(F.lit(""))
+    texts = t.table("documents").select("doc_id", "text", key.alias("key"))
+    return texts.join(numbers(t).select("key", "value", "unit"), "key").select("doc_id", F.concat(
         F.col("text"), F.lit(" cost "), off, F.col("value"), F.lit(" "), F.col("unit"), F.lit(" total ")).alias("text"))
 
 
@@ -223,9 +220,9 @@ def composed_texts(t: Feeds) -> DataFrame:
 # has no look-around, so the left context is matched and the right one checked
 # by the order of the unit alternatives.
 COMPOSED = f"""
-    SELECT doc_id, text || ' cost ' || CASE WHEN doc_id % 3 = 0 THEN '9' ELSE '' END || value || ' ' || unit || ' total ' AS text
-    FROM documents JOIN (SELECT value, unit, row_number() OVER (ORDER BY key) - 1 AS slot FROM ({NUMBERS}) WHERE unit IN ('EUR', 'EUR/MWh', 'hours'))
-      ON slot = doc_id % (SELECT count(*) FROM ({NUMBERS}) WHERE unit IN ('EUR', 'EUR/MWh', 'hours'))"""
+    SELECT doc_id, text || ' cost ' || CASE WHEN doc_id % 4 = 0 THEN '9' ELSE '' END || value || ' ' || unit || ' total ' AS text
+    FROM documents JOIN ({NUMBERS}) pub
+      ON pub.key = CASE doc_id % 3 WHEN 0 THEN 'wrong_strategy_cost_' WHEN 1 THEN 'neg_hours_' ELSE 'annual_mean_price_' END || (1996 + doc_id % 5)"""
 
 
 @query("f22_number_literals")

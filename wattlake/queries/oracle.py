@@ -261,7 +261,7 @@ EXPRESSIONS: dict[str, str] = {
             WINDOW r AS (ORDER BY date_local ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
         WHERE d_t IS NOT NULL""",
     "labelled": """
-        SELECT *, CASE WHEN realized_vol > 30 THEN 'crisis' WHEN realized_vol > 26 THEN 'elevated' ELSE 'calm' END AS regime FROM diffs""",
+        SELECT *, CASE WHEN realized_vol / (SELECT stddev_samp(d_t) FROM diffs) > 1.1 THEN 'crisis' WHEN realized_vol / (SELECT stddev_samp(d_t) FROM diffs) > 0.98 THEN 'elevated' ELSE 'calm' END AS regime FROM diffs""",
     "decregimes": """
         SELECT y AS year_local, regime FROM (
             SELECT year(date_local)::INT AS y, regime, row_number() OVER (PARTITION BY year(date_local) ORDER BY count(*) DESC, regime) AS rn

@@ -37,8 +37,11 @@ def _(t: Feeds) -> DataFrame:
 
 @query("t03_volatility_regimes")
 def _(t: Feeds) -> DataFrame:
-    labelled = stats.volatility_regimes(t.differences, "d_t")
-    return analytics.regime_stats(labelled)
+    """Occupancy per zone and regime; fitted iteratively, so there is no SQL oracle."""
+    moves = analytics.daily_differences(zone_daily(t), ["zone"])
+    labelled = stats.volatility_regimes(moves, ["zone"], "d_t")
+    return labelled.groupBy("zone", "regime").agg(
+        F.count("*").alias("days"), F.avg(F.abs("d_t")).alias("mean_abs_d_t"))
 
 
 ALPHAS = (0.02, 0.05, 0.1, 0.15, 0.2)

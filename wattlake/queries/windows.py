@@ -175,10 +175,8 @@ def _(t: Feeds) -> DataFrame:
     SELECT c.strategy_id, d.sort_order, count(*) AS n FROM costs c JOIN dimstrategy d ON d.strategy_id = c.strategy_id
     GROUP BY 1, 2 ORDER BY sort_order""")
 def _(t: Feeds) -> DataFrame:
-    from pyspark.sql import Window
-
-    # Six rows: the position in the dimension is the sort order.
-    dim = strategy_dimension(t.spark).withColumn("sort_order", F.row_number().over(Window.orderBy("strategy_id")))
+    order = F.array_position(F.array(*[F.lit(s) for s in t.cfg.strategy_ids]), F.col("strategy_id")).cast("int")
+    dim = strategy_dimension(t.spark).withColumn("sort_order", order)
     counts = t.costs.groupBy("strategy_id").agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(dim), "strategy_id").select("strategy_id", "sort_order", "n").orderBy("sort_order")
 

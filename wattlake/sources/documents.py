@@ -187,13 +187,16 @@ def flatten_weather(docs: DataFrame, station: str, json: str) -> DataFrame:
     days; an empty window yields no rows.
     """
     d = docs.select(F.col(station).alias("station_id"), F.from_json(json, WEATHER_DOCUMENT).alias("d"))
-    data = F.col("d.features")[0]["properties"]["parameters"]["tl_mittel"]["data"]
-    empty = (F.size("d.timestamps") == 0) & (F.size("d.features") == 0)
-    checked = d.where(~F.coalesce(empty, F.lit(False))).select(
+    data = F.get("d.features", 0)["properties"]["parameters"]["tl_mittel"]["data"]
+    zipped = F.arrays_zip(F.col("d.timestamps").alias("t"), data.alias("v"))
+    # The empty case is a branch, not a filter: the optimiser may evaluate the
+    # array ahead of any filter when it explodes it.
+    empty = F.coalesce((F.size("d.timestamps") == 0) & (F.size("d.features") == 0), F.lit(False))
+    checked = d.select(
         "station_id",
-        F.when(F.size("d.timestamps") == F.size(data), F.arrays_zip(
-            F.col("d.timestamps").alias("t"), data.alias("v"),
-        )).otherwise(F.raise_error(F.lit("timestamps and data differ in length"))).alias("z"),
+        F.when(empty, F.lit(None))
+        .when(F.size("d.timestamps") == F.size(data), zipped)
+        .otherwise(F.raise_error(F.lit("timestamps and data differ in length"))).alias("z"),
     )
     return checked.select("station_id", F.explode("z").alias("r")).select(
         F.to_date(F.substring("r.t", 1, 10)).alias("date"),

@@ -22,13 +22,14 @@ def write_months(df: DataFrame, path: str, key: str) -> None:
     """Replace exactly the month partitions present in ``df``.
 
     Dynamic overwrite leaves other months alone and the committer publishes a
-    partition only when its tasks succeed. Rows are spread over a few tasks
-    per month so that a heavy month is not one writer.
+    partition only when its tasks succeed. The rebalance hint lets adaptive
+    execution split a heavy month over several writers and give many light
+    months to one, by measured size.
     """
     (
         df.withColumn("year", F.year(key))
         .withColumn("month", F.month(key))
-        .repartition("year", "month", F.dayofmonth(key))
+        .hint("rebalance", "year", "month")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month")
