@@ -196,3 +196,13 @@ def test_unmatched_literals_use_the_printed_precision(spark):
     numbers = spark.createDataFrame([("12.345", "EUR"), ("0.449", "share"), ("S1", "strategy_id")], "value string, unit string")
     found = text.number_literals(docs, "id", "body")
     assert [r.doc_id for r in text.unmatched_literals(found, numbers).collect()] == [2]
+
+
+def test_gaps_cross_hours_and_empty_hours(spark):
+    base = datetime(2024, 1, 1)
+    minutes = [0, 7, 59, 60, 185, 186, 186, 2000]
+    rows = [("a", base + timedelta(minutes=m), i) for i, m in enumerate(minutes)] + [("b", base, 99)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i int").repartition(3)
+    got = {r.i: r.gap_minutes for r in series.gap_minutes(df, ["k"], "ts").collect()}
+    assert got[0] is None and got[99] is None
+    assert sorted(v for v in got.values() if v is not None) == sorted(float(b - a) for a, b in zip(minutes, minutes[1:]))

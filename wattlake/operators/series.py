@@ -1,7 +1,8 @@
 """Window operators on regular series.
 
 Inputs are aggregated grains (hour, day or month per series), so a partition
-holds at most the calendar length of one series. Raw ticks never reach these.
+holds at most the calendar length of one series. ``gap_minutes`` is the one
+operator for raw ticks and splits each series by hour.
 """
 
 from __future__ import annotations
@@ -84,7 +85,19 @@ def runner_up(df: DataFrame, keys: Sequence[str], label: str, value: str) -> Dat
 
 
 def gap_minutes(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Minutes since the previous timestamp of the same series."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    gap = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / F.lit(60_000_000.0)
-    return df.withColumn("gap_minutes", gap)
+    """Minutes since the previous timestamp of the same series, on raw ticks.
+
+    A series of ticks is unbounded, so the window runs per (series, hour); the
+    last tick of the previous non-empty hour is carried over from an
+    aggregated table with one row per series and hour.
+    """
+    keys = list(keys)
+    rows = df.withColumn("_hour", F.date_trunc("hour", ts))
+    last = rows.groupBy(*keys, "_hour").agg(F.max(ts).alias("_last"))
+    before = last.select(
+        *keys, "_hour", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_hour")).alias("_before")
+    )
+    inside = F.lag(ts).over(Window.partitionBy(*keys, "_hour").orderBy(ts))
+    previous = F.coalesce(inside, F.col("_before"))
+    gap = (F.unix_micros(ts) - F.unix_micros(previous)) / F.lit(60_000_000.0)
+    return rows.join(before, [*keys, "_hour"]).withColumn("gap_minutes", gap).drop("_hour", "_before")

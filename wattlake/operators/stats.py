@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.config import REGIME_LABELS, REGIME_SEEDS
+from wattlake.session import broadcast_if_small
 
 
 def _tasks(df: DataFrame) -> int:
@@ -24,16 +25,16 @@ def _tasks(df: DataFrame) -> int:
 def z_score(df: DataFrame, keys: Sequence[str], value: str, name: str = "z") -> DataFrame:
     """Standardise with the population deviation of each group.
 
-    Statistics are one small row per group joined back, so no window sorts
-    or gathers a group.
+    Statistics are one small row per group, broadcast when their count allows,
+    so no window sorts or gathers a group and the rows stay where they are.
     """
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    scored = df.join(stats, list(keys))
+    scored = df.join(broadcast_if_small(stats), list(keys))
     return scored.withColumn(name, (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
 
 
 def ols_fixed_effects(
-    df: DataFrame, y: str, regressors: Sequence[str], effect: str, n_levels: int | None = None
+    df: DataFrame, y: str, regressors: Sequence[str], effect: str
 ) -> DataFrame:
     """OLS of ``y`` on ``regressors`` with one fixed effect and HC1 errors.
 
@@ -45,7 +46,7 @@ def ols_fixed_effects(
     names = list(regressors)
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [y, *names, effect]))
     means = rows.groupBy(effect).agg(*[F.avg(c).alias(f"m_{c}") for c in [y, *names]])
-    centred = rows.join(F.broadcast(means) if n_levels else means, effect).select(
+    centred = rows.join(broadcast_if_small(means), effect).select(
         effect, F.col(y).cast("double").alias("y0"),
         (F.col(y) - F.col(f"m_{y}")).alias("y"),
         *[(F.col(c) - F.col(f"m_{c}")).alias(f"x{i}") for i, c in enumerate(names)],

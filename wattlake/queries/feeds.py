@@ -55,6 +55,8 @@ class Feeds:
     cfg = TEST_CONFIG
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        # Hours are truncated in the session zone, so it is pinned here as well.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.scratch = scratch_dir(spark)

@@ -99,7 +99,7 @@ def _(t: Feeds) -> DataFrame:
     SELECT 'l_quantity' AS term, (ww * xy - xw * wy) / (xx * ww - xw * xw) AS estimate, n AS n_obs FROM k
     UNION ALL SELECT 'l_discount', (xx * wy - xw * xy) / (xx * ww - xw * xw), n FROM k""", "estimate:3")
 def _(t: Feeds) -> DataFrame:
-    fit = stats.ols_fixed_effects(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], "l_linenumber", n_levels=7)
+    fit = stats.ols_fixed_effects(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], "l_linenumber")
     return fit.select("term", "estimate", "n_obs")
 
 

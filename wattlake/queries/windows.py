@@ -138,17 +138,7 @@ def _(t: Feeds) -> DataFrame:
 @query("w16_gap_to_previous", """
     SELECT event_id, epoch_us(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) / 60000000.0::DOUBLE AS gap_minutes FROM events""", "gap_minutes:9")
 def _(t: Feeds) -> DataFrame:
-    # Split by type and day with the previous day's last event carried over,
-    # so no partition holds more than one day of one type.
-    from pyspark.sql import Window
-
-    rows = t.events.select("event_id", "event_type", "ts", F.to_date("ts").alias("day"))
-    last = rows.groupBy("event_type", "day").agg(F.max("ts").alias("last"))
-    before = last.withColumn("previous_last", F.lag("last").over(Window.partitionBy("event_type").orderBy("day")))
-    w = Window.partitionBy("event_type", "day").orderBy("ts")
-    joined = rows.join(before.drop("last"), ["event_type", "day"])
-    previous = F.coalesce(F.lag("ts").over(w), F.col("previous_last"))
-    return joined.select("event_id", ((F.unix_micros("ts") - F.unix_micros(previous)) / F.lit(60_000_000.0)).alias("gap_minutes"))
+    return series.gap_minutes(t.events.select("event_id", "event_type", "ts"), ["event_type"], "ts").select("event_id", "gap_minutes")
 
 
 @query("w17_duplicate_surplus", """
