@@ -151,8 +151,8 @@ class Feeds:
             avg_if(flag == "R", price).alias("r"), avg_if(flag == "N", price).alias("n"), F.avg(price).alias("a")
         )
         return monthly.select(
-            "month_local", (F.coalesce("r", "a") / 530.0).alias("oespi_base"),
-            (F.coalesce("n", "a") / 620.0).alias("oespi_peak"),
+            "month_local", (F.coalesce("r", "a") / 521.0).alias("oespi_base"),
+            (F.coalesce("n", "a") / 617.0).alias("oespi_peak"),
         )
 
     # ---- staging and marts -------------------------------------------------

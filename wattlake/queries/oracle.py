@@ -48,8 +48,8 @@ EXPRESSIONS: dict[str, str] = {
         FROM orders GROUP BY 1""",
     "idx": """
         SELECT date_trunc('month', l_shipdate)::DATE AS month_local,
-               coalesce(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R'), avg(l_extendedprice)) / 530.0::DOUBLE AS oespi_base,
-               coalesce(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), avg(l_extendedprice)) / 620.0::DOUBLE AS oespi_peak
+               coalesce(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R'), avg(l_extendedprice)) / 521.0::DOUBLE AS oespi_base,
+               coalesce(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), avg(l_extendedprice)) / 617.0::DOUBLE AS oespi_peak
         FROM lineitem GROUP BY 1""",
     "native": """
         SELECT zone, ts_utc, price_eur_mwh, resolution FROM raw_prices
