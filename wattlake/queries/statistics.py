@@ -49,7 +49,7 @@ BETAS = (0.5, 0.6, 0.7, 0.8, 0.9)
 
 
 @query("t04_garch_grid", f"""
-    WITH RECURSIVE x AS (SELECT zone, d_t, row_number() OVER (PARTITION BY zone ORDER BY date_local) AS i,
+    WITH RECURSIVE x AS MATERIALIZED (SELECT zone, d_t, row_number() OVER (PARTITION BY zone ORDER BY date_local) AS i,
                avg(d_t) OVER (PARTITION BY zone) AS mu, var_pop(d_t) OVER (PARTITION BY zone) AS v, count(*) OVER (PARTITION BY zone) AS n_obs
         FROM (SELECT zone, date_local, p - lag(p) OVER (PARTITION BY zone ORDER BY date_local) AS d_t FROM ({ZONE_DAILY})) WHERE d_t IS NOT NULL),
     g AS (SELECT alpha::DOUBLE AS alpha, beta::DOUBLE AS beta FROM (SELECT unnest([0.02, 0.05, 0.1, 0.15, 0.2]) AS alpha), (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS beta)
