@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from tempfile import gettempdir
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 #: At ~100 bytes a row this is about 20 MB, well inside a task's memory.
 BROADCAST_ROWS = 200_000
 
+#: Folder chosen for a single-machine session that names none, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app_name: str = "wattlake", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC-pinned session with adaptive execution.
@@ -41,25 +45,36 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"session time zone must be UTC, found {zone}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    A session that names none gets one only where there is one machine, that
+    is with a ``local[...]`` master, as in tests. On a cluster it is an error:
+    an executor's own disk would hold tables that nobody else can read.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder shared by the cluster (master {master})")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, f"{gettempdir()}/spark-{uuid.uuid4().hex}")
+    return folder.rstrip("/")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder inside ``spark.checkpoint.dir`` for tables written between steps."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/wattlake-{uuid.uuid4().hex}"
+    """A new folder inside the shared folder for tables written between steps."""
+    return f"{shared_folder(spark)}/wattlake-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the folder named by ``spark.checkpoint.dir``.
 
-    A private folder is chosen only when the session names none, which is the
-    case in local tests.
+    It survives lost executors, unlike a local checkpoint.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
