@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlake.llm import exact_dedup, token_counts
-from wattlake.llm.common import documents
+from wattlake.llm import bpe, exact_dedup, sharding, token_counts, warc
+from wattlake.llm.common import documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,12 +31,37 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_sharding")
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(documents(spark, sf_dir), n_shards=24)
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text_of()) + 8).cast("long").alias("size"),
+        F.crc32(text_of().cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.with_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+@query("op4_bpe_round_trip")
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op5_exact_dedup",
     """
@@ -47,3 +72,29 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.outcomes(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+#: SHA-1 in bare base32: 5 hex digits are 4 letters.
+BASE32 = """
+    SELECT page_id, html, list_aggregate([
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::INT >> (15 - 5 * (k % 4))) & 31), 1)
+        for k in range(32)], 'string_agg', '') AS payload_digest
+    FROM (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages)"""
+
+
+@query(
+    "op10_warc",
+    f"""
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM ({BASE32}))""",
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+    records = warc.read_archives(manifest, payloads=False)
+    page_id = lambda c: F.regexp_extract(c, r"^<urn:x-page:(.*)>$", 1).cast("long")
+    return records.select(
+        page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page_id("refers_to").alias("refers_to"),
+    )
