@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlake.llm import bpe, exact_dedup, sharding, token_counts, warc
+from wattlake.llm import bpe, exact_dedup, language_id, sharding, simhash, token_counts, warc
 from wattlake.llm.common import documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), words_per_shingle=3, radius=2)
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(docs.where(language_id.fold() != 0))
+    told = language_id.predict(docs, model)
+    return docs.select("doc_id", (language_id.fold() == 0).alias("held_out"), told.alias("told")).select(
+        "doc_id", "held_out", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score")
+    )
+
+
 #: SHA-1 in bare base32: 5 hex digits are 4 letters.
 BASE32 = """
     SELECT page_id, html, list_aggregate([
