@@ -68,15 +68,22 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """``(doc_id, fp)`` of every row; one pass over the texts."""
+    """``(doc_id, text_hash, fp)`` of every row; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes(), words_per_shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+            fps = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"]
+            )
+
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.xxhash64(text_of(text_col)).alias("text_hash"),
+        text_of(text_col).cast("binary").alias("text"),
+    )
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def pivots(seed: int = 7) -> tuple[list[list[int]], list[int]]:
@@ -166,16 +173,41 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return paired.unionByName(stars).where("u <> v")
 
 
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root, first)``: the class of each fingerprint and the first document of the fingerprint.
+
+    ``first`` sorts by id with null ids last, then by text hash.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = stored(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = stored(components(links(nodes.select("fp"), radius)))
+    return nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "first"
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 2
 ) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; the class id is the smallest id of the class."""
     rows = stored(fingerprints(docs, id_col, text_col, words_per_shingle))
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = stored(components(links(nodes.select("fp"), radius)))
-    rooted = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    classes = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stored(rooted.join(classes, "root").select("fp", "component_id"))
+    classes = stored(_classes(rows, radius))
+    first = classes.groupBy("root").agg(F.min("first").alias("first"))
+    named = stored(classes.select("fp", "root").join(first, "root").select("fp", F.col("first.doc_id").alias("component_id")))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, radius: int = 2
+) -> DataFrame:
+    """One document of each class, the one with the smallest id, in the columns of ``docs``.
+
+    Rows that repeat an id and its text are one document. Whole rows are shuffled once.
+    """
+    rows = stored(fingerprints(docs, id_col, text_col, words_per_shingle))
+    kept = stored(_classes(rows, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("no_id"))
+    full = docs.select(
+        F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("hash")
+    )
+    chosen = full.join(kept, (F.col("id").eqNullSafe(F.col("doc_id"))) & (F.col("hash") == F.col("text_hash")))
+    return chosen.groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")
