@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlake.llm import bpe, exact_dedup, language_id, packing, sharding, simhash, token_counts, warc
+from wattlake.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, packing, sharding, simhash, token_counts, warc
 from wattlake.llm.common import documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,34 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _license_sql() -> str:
+    """Every unit against every template, without bounds."""
+    values = ", ".join(
+        "('{}', [{}])".format(key, ", ".join(f"'{g}'" for g in grams))
+        for key, grams in license_scan.bigram_sets(license_scan.templates())
+    )
+    return f"""
+    WITH templates(license, grams) AS (VALUES {values}),
+    units AS (
+        SELECT doc_id, 0 AS unit, text AS part FROM documents
+        UNION ALL SELECT doc_id, unit::INT, lines[unit]
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS unit FROM documents)),
+    words AS (SELECT doc_id, unit, regexp_extract_all(lower(part), '[a-z0-9]+') AS w FROM units),
+    bigrams AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS grams FROM words WHERE len(w) > 1),
+    near AS (SELECT * FROM bigrams WHERE list_has_any(grams, (SELECT flatten(list(grams)) FROM templates)))
+    SELECT doc_id, unit, license, dice FROM (
+        SELECT n.doc_id, n.unit, t.license,
+               2.0::DOUBLE * len(list_intersect(n.grams, t.grams)) / (len(n.grams) + len(t.grams)) AS dice
+        FROM near n CROSS JOIN templates t)
+    WHERE dice >= 0.8
+    QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1"""
+
+
+@query("op1_license_scan", _license_sql())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 @query("op2_sharding")
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(documents(spark, sf_dir), n_shards=24)
@@ -74,6 +102,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_edits(documents(spark, sf_dir))
+    fp, edited, following = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    return found.select(
+        "doc_id",
+        F.col("n_chars").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(fp).alias("fingerprint"),
+        fingerprints.as_text(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(fp, edited).alias("near_edited"),
+        fingerprints.likeness(fp, following).alias("near_next"),
+    )
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048)
