@@ -48,8 +48,17 @@ PIVOTS_PER_GROUP = 8
 #: Pivots over all bits, compared pair by pair.
 WIDE_PIVOTS = 8
 #: Fingerprints of one key that are compared pair by pair.
-BLOCK = 128
+BLOCK = 16
 HASH_SEED = 42
+#: Search fingerprints of a stage: how many, their bits, and the words of their shingles.
+VIEWS = 4
+VIEW_BITS = 40
+SEARCH_WORDS = 2
+#: Deciding fingerprint of a stage: longs of 64 bits, words of its shingles, and the standard
+#: deviations that a pair at the wanted similarity may lie beyond its expected distance.
+CHECK_LONGS = 4
+CHECK_WORDS = 5
+TOLERANCE = 1.0
 
 
 def fingerprint(text: bytes, words_per_shingle: int) -> int:
@@ -86,11 +95,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle:
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
-def pivots(seed: int = 7) -> tuple[list[list[int]], list[int]]:
-    """Reference fingerprints: those of each band, and those over all bits, as signed integers."""
+def pivots(width: int, seed: int = 7) -> tuple[list[list[int]], list[int]]:
+    """Reference fingerprints of the low ``width`` bits: those of each band, and those over all bits, as signed integers."""
     rng = np.random.default_rng(seed)
     signed = lambda bits: int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
-    bands = np.array_split(np.arange(64), GROUPS)
+    bands = np.array_split(np.arange(64 - width, 64), GROUPS)
     banded = []
     for band in bands:
         own = []
@@ -99,34 +108,36 @@ def pivots(seed: int = 7) -> tuple[list[list[int]], list[int]]:
             bits[rng.permutation(band)[: len(band) // 2]] = 1
             own.append(signed(bits))
         banded.append(own)
-    return banded, [signed(rng.integers(0, 2, 64).astype(np.uint8)) for _ in range(WIDE_PIVOTS)]
+    used = (np.arange(64) >= 64 - width).astype(np.uint8)
+    return banded, [signed(rng.integers(0, 2, 64).astype(np.uint8) * used) for _ in range(WIDE_PIVOTS)]
 
 
 def _distance(fp: Column, pivot: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(pivot)))
 
 
-def pivot_table(fps: DataFrame, radius: int) -> DataFrame:
-    """``(key, fp, wide)``: each fingerprint once per choice of bands.
+def pivot_table(fps: DataFrame, radius: int, width: int) -> DataFrame:
+    """``(key, view, fp, wide)``: each fingerprint of each view once per choice of bands.
 
     ``wide`` holds the distances to the full-width pivots, a byte each.
     """
-    banded, wide = pivots()
+    banded, wide = pivots(width)
     fp = F.col("fp")
     zero = _distance(fp, 0)
     bands = [
         reduce(lambda a, b: a * 65 + b, [(_distance(fp, p) - zero + 32).cast("long") for p in own]) for own in banded
     ]
     table = fps.select(
+        "view",
         "fp",
         reduce(lambda a, b: F.shiftleft(a, 8).bitwiseOR(b), [_distance(fp, p).cast("long") for p in wide]).alias("wide"),
         *[c.alias(f"band{i}") for i, c in enumerate(bands)],
     )
     keys = [
-        F.xxhash64(F.lit(n), *[F.col(f"band{i}") for i in chosen])
+        F.xxhash64("view", F.lit(n), *[F.col(f"band{i}") for i in chosen])
         for n, chosen in enumerate(combinations(range(GROUPS), GROUPS - radius))
     ]
-    return table.select(F.explode(F.array(*keys)).alias("key"), "fp", "wide")
+    return table.select(F.explode(F.array(*keys)).alias("key"), "view", "fp", "wide")
 
 
 def _near(radius: int) -> Column:
@@ -137,40 +148,40 @@ def _near(radius: int) -> Column:
     )
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Links ``(u, v)`` between distinct fingerprints that give the classes of "within ``radius`` bits".
+def links(fps: DataFrame, radius: int = 2, width: int = 64) -> DataFrame:
+    """Links ``(view, u, v)`` between distinct fingerprints ``(view, fp)`` of ``width`` bits, each within its view.
 
     Every pair within ``radius`` bits is joined by a path of links, and no link is longer.
     """
     if not 0 <= radius <= 2:
         raise ValueError("the exact way of large blocks holds for up to two bits")
-    table = pivot_table(fps, radius)
+    table = pivot_table(fps, radius, width)
     sizes = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(table.join(sizes, "key"))
-    small = shared.where(F.col("n") <= BLOCK).select("key", "fp", "wide")
-    other = small.select("key", F.col("fp").alias("fp2"), F.col("wide").alias("wide2"))
+    small = shared.where(F.col("n") <= BLOCK).select("key", "view", "fp", "wide")
+    other = small.select("key", F.col("view").alias("view2"), F.col("fp").alias("fp2"), F.col("wide").alias("wide2"))
     paired = (
         small.join(other, "key")
-        .where((F.col("fp") > F.col("fp2")) & _near(radius))
+        .where((F.col("view") == F.col("view2")) & (F.col("fp") > F.col("fp2")) & _near(radius))
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
-        .select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
+        .select("view", F.col("fp").alias("u"), F.col("fp2").alias("v"))
     )
-    # Words around each fingerprint of the large blocks: itself, and with two bits allowed each with one bit flipped.
-    flips = [0] + [1 << b if b < 63 else -(1 << 63) for b in range(64 if radius else 0)]
+    # Words around each fingerprint of the large blocks: itself, and with bits to spare each with one bit flipped.
+    flips = [0] + [1 << b if b < 63 else -(1 << 63) for b in range(width if radius else 0)]
     around = (
         shared.where(F.col("n") > BLOCK)
-        .select("fp")
+        .select("view", "fp")
         .distinct()
-        .select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("word"))
+        .select("view", "fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("word"))
     )
     stars = (
-        around.groupBy("word")
+        around.groupBy("view", "word")
         .agg(F.min("fp").alias("v"), F.collect_set("fp").alias("us"))  # at most 65 fingerprints are so near one word
         .where(F.size("us") > 1)
-        .select(F.explode("us").alias("u"), "v")
+        .select("view", F.explode("us").alias("u"), "v")
         .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
     )
-    return paired.unionByName(stars).where("u <> v")
+    return paired.unionByName(stars).where("u <> v").distinct()
 
 
 def _classes(rows: DataFrame, radius: int) -> DataFrame:
@@ -180,7 +191,8 @@ def _classes(rows: DataFrame, radius: int) -> DataFrame:
     """
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = stored(rows.groupBy("fp").agg(F.min(first).alias("first")))
-    roots = stored(components(links(nodes.select("fp"), radius)))
+    found = links(nodes.select(F.lit(0).alias("view"), "fp"), radius)
+    roots = stored(components(found.select("u", "v")))
     return nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first"
     )
@@ -197,15 +209,101 @@ def near_duplicates(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, radius: int = 2
-) -> DataFrame:
-    """One document of each class, the one with the smallest id, in the columns of ``docs``.
+def signature(text: bytes) -> np.ndarray:
+    """``VIEWS`` fingerprints of ``VIEW_BITS`` bits over word pairs, then ``CHECK_LONGS`` longs over five-word shingles.
+
+    Both are over sets: a line repeated many times does not make texts alike.
+    """
+    words = text.lower().split()
+    digest = xxhash.xxh64_digest
+
+    def votes(per_shingle: int, bits: int) -> np.ndarray:
+        if len(words) <= per_shingle:
+            shingles = [b" ".join(words)]
+        else:
+            shingles = set(map(b" ".join, zip(*[words[i:] for i in range(per_shingle)], strict=False)))
+        h = np.frombuffer(b"".join([digest(s, HASH_SEED) for s in shingles]), ">u8").astype(np.uint64)
+        total = np.zeros(bits, np.int64)
+        for at in range(0, bits, 64):  # more bits of a shingle by mixing its hash
+            mixed = (h + np.uint64(at + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(31)
+            many = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
+            total[at : at + 64] = many.sum(0, dtype=np.int64)[: bits - at]
+        return 2 * total > len(h)
+
+    if not words:
+        return np.zeros(VIEWS + CHECK_LONGS, np.int64)
+    views = np.zeros((VIEWS, 64), np.uint8)
+    views[:, 64 - VIEW_BITS :] = votes(SEARCH_WORDS, -(-VIEWS * VIEW_BITS // 64) * 64)[: VIEWS * VIEW_BITS].reshape(VIEWS, VIEW_BITS)
+    check = votes(CHECK_WORDS, CHECK_LONGS * 64).reshape(CHECK_LONGS, 64)
+    return np.packbits(np.concatenate([views, check]), axis=1).view(">i8").astype(np.int64).reshape(-1)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, text_hash, signature)`` of every row; one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = VIEWS + CHECK_LONGS
+            found = [signature(t.as_py()) for t in batch.column(2)]
+            values = pa.array(np.concatenate([*found, np.empty(0, np.int64)]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, n, np.int32)), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "text_hash", "signature"])
+
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.xxhash64(text_of(text_col)).alias("text_hash"),
+        text_of(text_col).cast("binary").alias("text"),
+    )
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, signature array<long>")
+
+
+def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(root, first)``: one row per class of documents whose five-word shingle sets are alike to ``similarity``.
+
+    A single 64-bit fingerprint of five-word shingles differs in about ten bits
+    at a Jaccard similarity of 0.8, which no pivot table can search. So the search runs
+    over ``VIEWS`` short fingerprints of word pairs, which an edit changes less, each within
+    two bits by pivot tables; what it finds is then decided by ``CHECK_LONGS * 64`` bits of a
+    five-word SimHash. Documents that agree in a whole view are compared with
+    the first of them, so a class of any size gives as many links as members.
+    """
+    rows = stored(signatures(docs, id_col, text_col).withColumn("node", F.xxhash64("signature")))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("signature").alias("signature")))
+    views = nodes.select("node", F.posexplode(F.slice("signature", 1, VIEWS)).alias("view", "fp"))
+    least = stored(views.groupBy("view", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    same = views.join(least.where("n > 1"), ["view", "fp"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    found = links(least.select("view", "fp"), 2, VIEW_BITS)
+    end = lambda name, to: least.select("view", F.col("fp").alias(name), F.col("least").alias(to))
+    across = found.join(end("u", "a"), ["view", "u"]).join(end("v", "b"), ["view", "v"]).select(
+        F.col("a").alias("u"), F.col("b").alias("v")
+    )
+    candidates = same.unionByName(across).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    check = F.slice("signature", VIEWS + 1, CHECK_LONGS)
+    left = nodes.select(F.col("node").alias("u"), check.alias("p"))
+    right = nodes.select(F.col("node").alias("v"), check.alias("q"))
+    # A bit differs with the angle between the shingle vectors: cosine 2 J / (1 + J) of two equally large sets.
+    bits = 64 * CHECK_LONGS
+    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = bits * chance + TOLERANCE * np.sqrt(bits * chance * (1 - chance))
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.get("p", F.lit(i)).bitwiseXOR(F.get("q", F.lit(i)))) for i in range(CHECK_LONGS)])
+    alike = candidates.join(left, "u").join(right, "v").where(apart <= float(most)).select("u", "v")
+    roots = stored(components(alike))
+    return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").groupBy(
+        F.coalesce("root", "node").alias("root")
+    ).agg(F.min("first").alias("first"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class of ``similar_classes``, the one with the smallest id, in the columns of ``docs``.
 
     Rows that repeat an id and its text are one document. Whole rows are shuffled once.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, words_per_shingle))
-    kept = stored(_classes(rows, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("no_id"))
+    kept = stored(similar_classes(docs, similarity, id_col, text_col).select("first.*").drop("no_id"))
     full = docs.select(
         F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("hash")
     )
