@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,10 +38,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattlake.llm.bpe import byte_letters
 from wattlake.llm.common import stored, text_of
 
-#: Words a worker remembers, about 60 MB; a full cache starts anew.
-CACHE_SIZE = 400_000
+#: Words, and as many parts of words, that a worker remembers, up to 300 MB together; a full cache starts anew.
+CACHE_SIZE = 800_000
+#: Fixed value: the part pattern of the word-level vocabulary, which drops what it does not match.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Rounds of the multiplicative weights; each is one knapsack program.
 ROUNDS = 240
 STEP = 0.3
@@ -53,7 +57,9 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins characters across it, and
     none of its normalisations reaches across a space, so a text's ids are those
-    of its words in order. Other white space stays inside a word for the tokenizer.
+    of its words in order. A new word of letters, digits, punctuation and
+    symbols is normalised and split here by the tokenizer's rules and only its
+    new parts are merged by the tokenizer's model; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -65,27 +71,52 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
-            added = [t["content"] for t in json.load(file)["added_tokens"]]
+            spec = json.load(file)
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
         # A special string with a space in it would be cut by the split into words.
-        self.whole = regex.compile("|".join(regex.escape(a) for a in added if " " in a or "\n" in a) or r"(?!)")
-
-    def learn(self, words: list[str]) -> None:
+        self.whole = any(" " in a or "\n" in a for a in added)
+        self.split = regex.compile(PRE_TOKEN).findall
+        self.plain = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}]+").fullmatch
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_SIZE:
             self.clear()
             self[""] = b""
-        new = list({w for w in words if w not in self})
-        for word, encoding in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(encoding.ids, "<u4").tobytes()
+        if word.isalpha() and (low := lowered(word)).isalpha():  # nothing to split
+            ids = self.part(low)
+        elif self.plain(word) and not self.special.search(word):
+            ids = b"".join(map(self.part, self.split(lowered(word))))
+        else:
+            ids = self.encode_whole(word)
+        self[word] = ids
+        return ids
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) > CACHE_SIZE:
+                self.parts.clear()
+            spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = self.parts[part] = b"".join([self.packed[t.id] for t in self.merge(spelled)])
+        return ids
+
+    def encode_whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.whole.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words))
+        if self.whole:
+            return self.encode_whole(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def lowered(word: str) -> str:
+    """Composed (NFC) and lower-cased letter by letter, so without the rule for a final sigma."""
+    return word.lower() if word.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
 
 
 @lru_cache(maxsize=2)
