@@ -41,13 +41,17 @@ from pyspark.sql import functions as F
 from wattlake.llm.bpe import byte_letters
 from wattlake.llm.common import stored, text_of
 
-#: Words, and as many parts of words, that a worker remembers, up to 300 MB together; a full cache starts anew.
-CACHE_SIZE = 800_000
+#: Words of a generation and parts of words that a worker remembers, up to 200 MB together. The
+#: words before the last full generation are forgotten; full parts start anew.
+CACHED_WORDS = 200_000
+CACHED_PARTS = 500_000
 #: Fixed value: the part pattern of the word-level vocabulary, which drops what it does not match.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Rounds of the multiplicative weights; each is one knapsack program.
 ROUNDS = 240
 STEP = 0.3
+#: Shares of the fractional program that are rounded.
+SHARES = (1.0, 0.9, 0.7, 0.5, 0.3)
 #: Tokens in one result batch.
 BATCH_TOKENS = 1_000_000
 
@@ -66,7 +70,8 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
+        self.before = {"": b""}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -84,10 +89,13 @@ class WordIds(dict):
         self.parts: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_SIZE:
+        if len(self) > CACHED_WORDS:
+            self.before = dict(self)
             self.clear()
-            self[""] = b""
-        if word.isalpha() and (low := lowered(word)).isalpha():  # nothing to split
+        ids = self.before.get(word)
+        if ids is not None:
+            pass
+        elif word.isalpha() and (low := lowered(word)).isalpha():  # nothing to split
             ids = self.part(low)
         elif self.plain(word) and not self.special.search(word):
             ids = b"".join(map(self.part, self.split(lowered(word))))
@@ -99,7 +107,7 @@ class WordIds(dict):
     def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) > CACHE_SIZE:
+            if len(self.parts) > CACHED_PARTS:
                 self.parts.clear()
             spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
             ids = self.parts[part] = b"".join([self.packed[t.id] for t in self.merge(spelled)])
@@ -211,26 +219,24 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: i
     return [(dict(config), n * sequences / rounds) for config, n in uses.items()]
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """``(length -> copies, number of sequences)`` that holds every piece of the histogram exactly once."""
-    full = histogram.get(capacity, 0)
-    out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
-    lengths = np.array(sorted(k for k in histogram if k < capacity), np.int64)
-    if not len(lengths):
-        return out
-    left = np.array([histogram[int(k)] for k in lengths], np.int64)
-    for config, amount in fractional(lengths, left.astype(float), capacity, rounds):
-        whole = min(int(amount), *(int(left[i]) // copies for i, copies in config.items()))
-        if whole > 0:
-            out.append(({int(lengths[i]): copies for i, copies in config.items()}, whole))
-            for i, copies in config.items():
-                left[i] -= copies * whole
-    # Open sequences by free room, largest free room last; what the program left open takes part.
+def rounded(
+    histogram: dict[int, int], program: list[tuple[dict[int, int], float]], capacity: int
+) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences of a fractional program, and best-fit for the lengths that are left over.
+
+    ``program`` holds configurations by length. Left-over lengths go, longest first, to the
+    sequences with the least free room that holds them.
+    """
+    left = dict(histogram)
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
-    for config, n in out:
-        open_.setdefault(capacity - sum(k * c for k, c in config.items()), []).append((config, n))
-    for at in range(len(lengths) - 1, -1, -1):
-        length, count = int(lengths[at]), int(left[at])
+    for config, amount in program:
+        whole = min(int(amount), *(left[length] // copies for length, copies in config.items()))
+        if whole > 0:
+            open_.setdefault(capacity - sum(k * c for k, c in config.items()), []).append((config, whole))
+            for length, copies in config.items():
+                left[length] -= copies * whole
+    for length in sorted(left, reverse=True):
+        count = left[length]
         while count:
             rooms = [r for r in open_ if r >= length]
             if rooms:
@@ -251,6 +257,24 @@ def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = ROUND
     return [group for groups in open_.values() for group in groups]
 
 
+def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """``(length -> copies, number of sequences)`` that holds every piece of the histogram exactly once.
+
+    The program's mean is an approximation, so several shares of it are rounded, and the one
+    that needs the fewest sequences counts.
+    """
+    full = histogram.get(capacity, 0)
+    rest = {k: n for k, n in histogram.items() if k < capacity and n}
+    plan: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
+    if not rest:
+        return plan
+    lengths = np.array(sorted(rest), np.int64)
+    found = fractional(lengths, np.array([rest[int(k)] for k in lengths], float), capacity, rounds)
+    program = [({int(lengths[i]): copies for i, copies in config.items()}, amount) for config, amount in found]
+    plans = [rounded(rest, [(c, share * amount) for c, amount in program], capacity) for share in SHARES]
+    return plan + min(plans, key=lambda groups: sum(n for _, n in groups))
+
+
 def runs(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     """The plan by length: from rank ``rank`` on, pieces lie in sequences from ``sequence`` on, at ``offset``."""
     rows, next_rank, sequence = [], {}, 0
