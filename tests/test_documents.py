@@ -46,6 +46,38 @@ def test_missing_seed_is_reported(spark):
         docs.reject(bad, "no seed")
 
 
+def test_unusable_documents_fail_or_are_listed(spark):
+    good = document(series([(1, 40.0)]))
+    bad = {
+        "unreadable document": good[:-60],
+        "not a number": document(series([(1, "40,5")])),
+        "missing time interval": good.replace("<start>2024-02-01T00:00Z</start>", ""),
+        "neither series nor acknowledgement": document(),
+    }
+    empty = document("<Reason><code>999</code><text>nothing</text></Reason>", root="Acknowledgement_MarketDocument")
+    for reason, xml in bad.items():
+        rows = frame(spark, good, xml, empty)
+        assert [tuple(r) for r in docs.rejected_documents(rows, "id", "xml").collect()] == [(1, reason)]
+        with pytest.raises(Exception, match=f"document 1: {reason}"):
+            docs.flatten_points(rows, "id", "xml").collect()
+        kept = docs.parse_market_documents(rows, "id", "xml", on_problem="skip")
+        assert [r.doc_id for r in kept.collect()] == [0]
+    assert docs.rejected_documents(frame(spark, None), "id", "xml").first()["reason"] == "unreadable document"
+
+
+def test_repeated_position_keeps_the_last_value(spark):
+    for curve, n in (("A03", 4), ("A01", 2)):
+        xml = document(series([(3, 1.0), (1, 5.0), (3, 2.0)], curve=curve))
+        rows = docs.flatten_points(frame(spark, xml), "id", "xml").orderBy("ts_utc").collect()
+        assert len(rows) == n and rows[-1].value == 2.0 and rows[0].value == 5.0
+
+
+def test_long_periods_fill_in_one_pass(spark):
+    xml = document(series([(1, 1.0), (9_000, 2.0)], step="PT15M", end="2024-05-31T00:00Z"))
+    rows = docs.flatten_points(frame(spark, xml), "id", "xml")
+    assert rows.count() == 120 * 96 and rows.where("value = 1").count() == 8_999
+
+
 def test_other_curves_keep_their_gaps(spark):
     xml = document(series([(1, 1.0), (4, 2.0)], step="PT15M", end="2024-02-01T01:00Z", curve="A01"))
     rows = docs.flatten_points(frame(spark, xml), "id", "xml").collect()

@@ -175,15 +175,40 @@ def _(t: Feeds) -> DataFrame:
     return points.select("doc_id", "series_no", "ts_utc", "value", "resolution", "zone")
 
 
+#: Faults by day of the month: a cut document, a bad number, a missing interval, an empty document.
+SPOILED = {1: "unreadable document", 2: "not a number", 3: "missing time interval", 4: "neither series nor acknowledgement"}
+
+
+@query("s07_rejected_documents", f"""
+    SELECT doc_id, reason FROM (SELECT DISTINCT doc_id, day(day) AS d FROM ({HOURLY_POINTS}))
+    JOIN (VALUES {", ".join(f"({k}, '{v}')" for k, v in SPOILED.items())}) AS t(k, reason) ON k = d % 9""")
+def _(t: Feeds) -> DataFrame:
+    """Documents spoiled on some days; every one is listed and no other."""
+    day = F.dayofmonth(F.to_date(F.element_at(F.split("doc_id", ":"), 2))) % 9
+    xml = F.col("xml")
+    spoiled = (
+        F.when(day == 1, F.substring(xml, F.lit(1), F.length(xml) - 40))
+        .when(day == 2, F.regexp_replace(xml, "<price.amount>[^<]*<", "<price.amount>n/a<"))
+        .when(day == 3, F.regexp_replace(xml, "<timeInterval>.*?</timeInterval>", ""))
+        .when(day == 4, F.regexp_replace(xml, "<TimeSeries>.*</TimeSeries>", ""))
+        .otherwise(xml)
+    )
+    return docs.rejected_documents(price_documents(t).withColumn("xml", spoiled), "doc_id", "xml")
+
+
 @query("s08_curve_position_fill", f"""
-    SELECT d.doc_id, g.position::INT AS position, day + to_hours(g.position::INT - 1) AS ts_utc,
-           last_value(low IGNORE NULLS) OVER (PARTITION BY d.doc_id ORDER BY g.position) AS value,
-           (24 - count(low) OVER (PARTITION BY d.doc_id))::INT AS n_filled
-    FROM (SELECT DISTINCT doc_id, day FROM ({HOURLY_POINTS})) d CROSS JOIN (SELECT unnest(range(1, 25)) AS position) g
-    LEFT JOIN (SELECT doc_id, position, low FROM ({HOURLY_POINTS})) p ON p.doc_id = d.doc_id AND p.position = g.position""")
+    SELECT d.doc_id, d.series_no::INT AS series_no, g.position::INT AS position, day + to_hours(g.position::INT - 1) AS ts_utc,
+           last_value(v IGNORE NULLS) OVER (PARTITION BY d.doc_id, d.series_no ORDER BY g.position) AS value,
+           (24 - count(v) OVER (PARTITION BY d.doc_id, d.series_no))::INT AS n_filled
+    FROM (SELECT DISTINCT doc_id, day, series_no FROM ({HOURLY_POINTS}), (SELECT unnest([0, 1]) AS series_no)
+          WHERE series_no = 0 OR event_type = 'click') d
+    CROSS JOIN (SELECT unnest(range(1, 25)) AS position) g
+    LEFT JOIN (SELECT doc_id, position, s, CASE s WHEN 0 THEN low ELSE top END AS v
+               FROM ({HOURLY_POINTS}), (SELECT unnest([0, 1]) AS s)) p
+      ON p.doc_id = d.doc_id AND p.position = g.position AND p.s = d.series_no""")
 def _(t: Feeds) -> DataFrame:
     points = docs.flatten_points(price_documents(t), "doc_id", "xml")
-    return points.where("series_no = 0").select("doc_id", "position", "ts_utc", "value", "n_filled")
+    return points.select("doc_id", "series_no", "position", "ts_utc", "value", "n_filled")
 
 
 @query("s08_unseeded_periods", f"""

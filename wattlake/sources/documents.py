@@ -2,7 +2,8 @@
 
 Every step is a generator or a projection on the document's own row, so the
 job scales with the number of documents and never gathers them. Gates return
-failing rows; ``reject`` turns them into an error.
+failing rows; ``reject`` turns them into an error. A document that cannot be
+read completely is an error by default and never a loss.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from wattlake.config import PLANT_TYPE_NAMES, ZONE_BY_AREA_CODE
 from wattlake.functions.exprs import code_name, code_or_self
 from wattlake.functions.timecols import resolution_minutes
-from wattlake.sources.schemas import MARKET_DOCUMENT, STATION_DOCUMENT, WEATHER_DOCUMENT
+from wattlake.sources.schemas import CORRUPT, MARKET_DOCUMENT, STATION_DOCUMENT, WEATHER_DOCUMENT
 from wattlake.sources.tables import ContractError
 
 #: Interval bounds come as ``2024-02-01T00:00Z``, sometimes with seconds.
@@ -23,13 +24,47 @@ INSTANT = "yyyy-MM-dd'T'HH:mm[:ss]X"
 POSITION = "classificationSequence_AttributeInstanceComponent.position"
 
 
-def parse_market_documents(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
-    """One row per ``TimeSeries``: ``doc_id, series_no, s`` (the series struct)."""
-    parsed = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.from_xml(F.col(xml), MARKET_DOCUMENT, {"ignoreNamespace": "true"}).alias("d"),
+def _parsed(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
+    """``doc_id, d, problem``: each document with the first reason why it cannot be used, or NULL."""
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(xml).alias("xml"), F.from_xml(F.col(xml), MARKET_DOCUMENT, options).alias("d")
+    )
+    number = lambda text, kind: text.isNotNull() & F.trim(text).try_cast(kind).isNull()
+    in_points = lambda p: F.exists(p["Point"], lambda q: number(q["position"], "int") | number(q["price.amount"], "double") | number(q["quantity"], "double"))  # noqa: E731, E501
+    moment = lambda text: F.try_to_timestamp(text, F.lit(INSTANT))
+    no_interval = lambda p: moment(p["timeInterval"]["start"]).isNull() | moment(p["timeInterval"]["end"]).isNull()  # noqa: E731, E501
+    any_period = lambda test: F.exists("d.TimeSeries", lambda s: F.exists(s["Period"], test))
+    series, acknowledged = F.size("d.TimeSeries"), F.contains(F.col("xml"), F.lit("Acknowledgement_MarketDocument"))
+    true = lambda c: F.coalesce(c, F.lit(False))
+    problem = (
+        F.when(F.col("d").isNull() | F.col(f"d.{CORRUPT}").isNotNull(), "unreadable document")
+        .when(true(series > 0) & true(any_period(no_interval)), "missing time interval")
+        .when(true(any_period(in_points)) | true(F.exists("d.TimeSeries", lambda s: number(s[POSITION], "int"))), "not a number")
+        .when(~true(series > 0) & ~true(acknowledged), "neither series nor acknowledgement")
     )
-    return parsed.select("doc_id", F.posexplode("d.TimeSeries").alias("series_no", "s"))
+    return rows.select("doc_id", "d", problem.alias("problem"))
+
+
+def rejected_documents(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
+    """``doc_id, reason`` of every document that cannot be flattened completely."""
+    return _parsed(docs, doc_id, xml).where("problem IS NOT NULL").select("doc_id", F.col("problem").alias("reason"))
+
+
+def parse_market_documents(docs: DataFrame, doc_id: str, xml: str, on_problem: str = "raise") -> DataFrame:
+    """One row per ``TimeSeries``: ``doc_id, series_no, s`` (the series struct).
+
+    A document that is cut off, holds a bad number, lacks a time interval or
+    is neither series nor acknowledgement fails the job. ``on_problem="skip"`` leaves such documents out
+    as a whole; ``rejected_documents`` lists them with their reason.
+    """
+    if on_problem not in ("raise", "skip"):
+        raise ValueError(f"on_problem is raise or skip, found {on_problem}")
+    parsed = _parsed(docs, doc_id, xml)
+    message = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")), F.lit(": "), F.col("problem"))
+    otherwise = F.raise_error(message) if on_problem == "raise" else F.lit(None)
+    series = F.when(F.col("problem").isNull(), F.col("d.TimeSeries")).otherwise(otherwise)
+    return parsed.select("doc_id", F.posexplode(series).alias("series_no", "s"))
 
 
 def acknowledgements(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
@@ -55,7 +90,7 @@ def describe_series(series: DataFrame) -> DataFrame:
     s = F.col("s")
     return series.select(
         "doc_id", "series_no",
-        s[POSITION].alias("class_position"),
+        F.trim(s[POSITION]).cast("int").alias("class_position"),
         s["currency_Unit.name"].alias("currency"),
         s["price_Measure_Unit.name"].alias("unit"),
         s["businessType"].alias("business_type"),
@@ -79,40 +114,46 @@ def explode_periods(series: DataFrame) -> DataFrame:
         F.col("p.resolution").alias("resolution"),
         minutes.alias("minutes"),
         F.round(span / minutes).cast("int").alias("n_positions"),
-        F.filter(
-            F.transform("p.Point", lambda q: F.struct(
-                q["position"].alias("position"), F.coalesce(q["price.amount"], q["quantity"]).alias("value"))),
+        F.array_sort(F.filter(
+            F.transform("p.Point", lambda q, i: F.struct(
+                F.trim(q["position"]).cast("int").alias("position"), i.alias("place"),
+                F.trim(F.coalesce(q["price.amount"], q["quantity"])).cast("double").alias("value"))),
             lambda q: q["position"].isNotNull() & q["value"].isNotNull(),
-        ).alias("points"),
-    )
+        )).alias("sorted"),
+    ).select("*", _last_of_each("sorted").alias("points")).drop("sorted")
+
+
+def _last_of_each(points: str) -> Column:
+    """Points in position order; of a repeated position the one that comes last in the document."""
+    following = lambda i: F.get(F.col(points), i + 1)["position"]
+    kept = F.filter(points, lambda q, i: ~q["position"].eqNullSafe(following(i)))
+    return F.transform(kept, lambda q: F.struct(q["position"].alias("position"), q["value"].alias("value")))
 
 
 def fill_positions(periods: DataFrame) -> DataFrame:
     """Forward-fill omitted positions of curve A03 inside each period.
 
-    A period is one delivery day at most, so filling is an array fold on the
-    row itself: no exploded spine, no window, no shuffle. ``n_filled`` counts
-    the points added; a period without a seed at position 1 keeps NULL there.
+    Each point is repeated up to the next one's position, on the row itself and in
+    one pass over its sorted points: no exploded spine, no window, no shuffle, and
+    linear in the length of the period. ``n_filled`` counts the points added; a
+    period without a seed at position 1 keeps NULL up to its first point.
     """
-    positions = F.sequence(F.lit(1), F.col("n_positions"))
-    by_position = F.map_from_entries(F.col("points"))
-    start = F.struct(
-        F.lit(None).cast("double").alias("last"),
-        F.array().cast("array<struct<position:int,value:double>>").alias("out"),
+    inside = F.filter("points", lambda q: (q["position"] >= 1) & (q["position"] <= F.col("n_positions")))
+    rows = periods.withColumn("inside", inside)
+    until = lambda i: F.coalesce(F.get(F.col("inside"), i + 1)["position"], F.col("n_positions") + 1)
+    span = lambda first, last, value: F.when(
+        last > first,
+        F.transform(F.sequence(first, last - 1), lambda k: F.struct(k.alias("position"), value.alias("value"))),
+    ).otherwise(F.array().cast("array<struct<position:int,value:double>>"))
+    first = F.coalesce(F.get(F.col("inside"), F.lit(0))["position"], F.col("n_positions") + 1)
+    dense = F.concat(
+        span(F.lit(1), first, F.lit(None).cast("double")),
+        F.flatten(F.transform("inside", lambda q, i: span(q["position"], until(i), q["value"]))),
     )
-
-    def carry(acc: Column, i: Column) -> Column:
-        value = F.coalesce(F.try_element_at(by_position, i), acc["last"])
-        return F.struct(
-            value.alias("last"),
-            F.array_append(acc["out"], F.struct(i.alias("position"), value.alias("value"))).alias("out"),
-        )
-
-    dense = F.aggregate(positions, start, carry, lambda acc: acc["out"])
     is_a03 = F.coalesce(F.col("curve_type") == "A03", F.lit(False))
-    return periods.withColumn(
-        "n_filled", F.when(is_a03, F.col("n_positions") - F.size("points")).otherwise(F.lit(0))
-    ).withColumn("points", F.when(is_a03, dense).otherwise(F.col("points")))
+    return rows.withColumn(
+        "n_filled", F.when(is_a03, F.col("n_positions") - F.size("inside")).otherwise(F.lit(0))
+    ).withColumn("points", F.when(is_a03, dense).otherwise(F.col("points"))).drop("inside")
 
 
 def unseeded_periods(periods: DataFrame) -> DataFrame:

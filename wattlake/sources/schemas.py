@@ -110,16 +110,18 @@ EXPORTS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 #: One ``TimeSeries`` of a market document; element names carry dots.
 TIME_SERIES = (
     "STRUCT<mRID: STRING, businessType: STRING, curveType: STRING, "
-    "`classificationSequence_AttributeInstanceComponent.position`: INT, "
+    "`classificationSequence_AttributeInstanceComponent.position`: STRING, "
     "`currency_Unit.name`: STRING, `price_Measure_Unit.name`: STRING, "
     "`in_Domain.mRID`: STRUCT<_VALUE: STRING, _codingScheme: STRING>, "
     "`out_Domain.mRID`: STRUCT<_VALUE: STRING, _codingScheme: STRING>, "
     "`outBiddingZone_Domain.mRID`: STRUCT<_VALUE: STRING, _codingScheme: STRING>, "
     "MktPSRType: STRUCT<psrType: STRING>, "
     "Period: ARRAY<STRUCT<timeInterval: STRUCT<start: STRING, `end`: STRING>, resolution: STRING, "
-    "Point: ARRAY<STRUCT<position: INT, `price.amount`: DOUBLE, quantity: DOUBLE>>>>>"
+    "Point: ARRAY<STRUCT<position: STRING, `price.amount`: STRING, quantity: STRING>>>>>"
 )
-MARKET_DOCUMENT = f"TimeSeries ARRAY<{TIME_SERIES}>, Reason STRUCT<code: STRING, text: STRING>"
+#: Numbers are read as text and cast one by one, so a bad one is found and does not void its document.
+CORRUPT = "_corrupt_document"
+MARKET_DOCUMENT = f"TimeSeries ARRAY<{TIME_SERIES}>, Reason STRUCT<code: STRING, text: STRING>, {CORRUPT} STRING"
 
 WEATHER_DOCUMENT = (
     "timestamps ARRAY<STRING>, features ARRAY<STRUCT<properties: STRUCT<parameters: "
