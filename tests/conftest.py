@@ -9,17 +9,20 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
+from wattlake.queries.feeds import close_feeds  # noqa: E402
 from wattlake.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests", master="local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    close_feeds(session)
     session.stop()
 
 

@@ -193,6 +193,30 @@ def test_streaming_hourly_mean_and_dedup(spark, tmp_path):
     assert [(r.ts_utc, r.zone, r.value, r.n_subhours) for r in seen[-1]] == [(at, "AT", 1.5, 4)]
 
 
+def test_hourly_means_are_upserted_and_old_hours_leave_the_state(spark, tmp_path):
+    folder = str(tmp_path)
+    at = datetime(2024, 1, 1, 5)
+    stream = lambda: jobs.read_stream(spark, f"{folder}/in", TICKS)
+
+    def run():
+        q = jobs.start_hourly_means(stream(), "value", f"{folder}/out", f"{folder}/cp", watermark="2 days")
+        q.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        return states[-1]
+
+    deliver(spark, folder, [(at + timedelta(hours=h), 1.0, "AT", "x") for h in range(48)], 1)
+    first = run()
+    deliver(spark, folder, [(at + timedelta(hours=47, minutes=15), 4.0, "AT", "x"), (at + timedelta(days=9), 7.0, "AT", "x")], 2)
+    run()
+    # Later than the watermark: the hour has left the state, and its published mean stays.
+    deliver(spark, folder, [(at, 99.0, "AT", "x"), (at + timedelta(days=9, minutes=30), 9.0, "AT", "x")], 3)
+    last = run()
+    got = {r.ts_utc: (r.value, r.n_subhours) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert first >= 48 and last <= 2
+    assert len(got) == 49
+    assert got[at] == (1.0, 1) and got[at + timedelta(hours=47)] == (2.5, 2) and got[at + timedelta(days=9)] == (8.0, 2)
+
+
 def test_session_must_be_utc(spark):
     require_utc(spark)
     spark.conf.set("spark.sql.session.timeZone", "Europe/Vienna")

@@ -43,13 +43,42 @@ def test_describe_groups_equals_numpy(spark, share):
             assert r.std is None
 
 
-def test_describe_groups_keeps_null_keys_and_shuffle_join(spark, monkeypatch):
-    monkeypatch.setattr("wattlake.operators.quantiles.broadcast_if_small", lambda df: df)
+def test_describe_groups_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "k string, v double")
     got = {r.k: r.m for r in quantiles.describe_groups(df, ["k"], "v", {"m": 0.5}).collect()}
     assert got == {None: 2.0, "a": 2.0}
 
 
+@pytest.mark.parametrize("spread", [0.0, 1e-3])
+def test_quantiles_of_a_million_rows_around_one_value(spark, spread):
+    """The first bucket holds every row; it is split by value, or known to be one value."""
+    n = 1_000_000
+    df = spark.range(n).select((F.lit(5000.0) * (1 + spread * F.pmod(F.col("id") * 7919, F.lit(n)) / n)).alias("v"))
+    r = quantiles.describe_groups(df, [], "v", {"p5": 0.05, "p50": 0.5}, tail_share=0.05).first()
+    x = np.sort(5000.0 * (1 + spread * np.arange(n) / n))
+    assert r.n == n
+    assert (r.p5, r.p50) == pytest.approx(tuple(np.percentile(x, [5, 50])), rel=1e-12)
+    assert r.tail_mean == pytest.approx(x[-n // 20:].mean(), rel=1e-9)
+
+
+def test_ranks_never_sort_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL", 20)
+    rng = random.Random(3)
+    rows = [("a", 100.0 + rng.choice([0.0, rng.random() / 50])) for _ in range(4000)] + [("b", rng.gauss(0, 1)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for r in quantiles.describe_groups(df, ["k"], "v", {"m": 0.5, "top": 1.0}, tail_share=0.1).collect():
+        x = np.sort([v for k, v in rows if k == r.k])
+        assert (r.m, r.top) == pytest.approx((np.median(x), x[-1]), rel=1e-12)
+        assert r.tail_mean == pytest.approx(x[-math.ceil(0.1 * len(x)):].mean(), rel=1e-9)
+
+
+def test_histogram_of_an_outlier_needs_no_long_array(spark):
+    df = spark.createDataFrame([("a", 0.5), ("a", 3_000_000.5), ("b", -1.5)], "k string, v double")
+    bins = quantiles.histogram(df, ["k"], "v", 1.0)
+    assert bins.count() == 2 * 3_000_003 and bins.agg(F.sum("n")).first()[0] == 3
+    assert quantiles.histogram(df.where("v is null"), ["k"], "v", 1.0).count() == 0
+
+
 def test_magnitude_bucket_is_monotone(spark):
     values = sorted(random.Random(1).uniform(-1e6, 1e6) for _ in range(500)) + [1e12]
     df = spark.createDataFrame([(v,) for v in values], "v double").select(quantiles.magnitude_bucket(F.col("v")).alias("b"))

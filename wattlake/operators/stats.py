@@ -10,26 +10,22 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlake.config import REGIME_LABELS, REGIME_SEEDS
-from wattlake.session import broadcast_if_small
-
-
-def _tasks(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+from wattlake.config import REGIME_LABELS
+from wattlake.operators.quantiles import describe_groups
+from wattlake.session import stored_table
 
 
 def z_score(df: DataFrame, keys: Sequence[str], value: str, name: str = "z") -> DataFrame:
     """Standardise with the population deviation of each group.
 
-    Statistics are one small row per group, broadcast when their count allows,
-    so no window sorts or gathers a group and the rows stay where they are.
+    Statistics are one small row per group, joined back: no window sorts or gathers a
+    group, and adaptive execution broadcasts them if their measured bytes allow.
     """
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    scored = df.join(broadcast_if_small(stats), list(keys))
+    scored = df.join(stats, list(keys))
     return scored.withColumn(name, (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
 
 
@@ -46,7 +42,7 @@ def ols_fixed_effects(
     names = list(regressors)
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [y, *names, effect]))
     means = rows.groupBy(effect).agg(*[F.avg(c).alias(f"m_{c}") for c in [y, *names]])
-    centred = rows.join(broadcast_if_small(means), effect).select(
+    centred = rows.join(means, effect).select(
         effect, F.col(y).cast("double").alias("y0"),
         (F.col(y) - F.col(f"m_{y}")).alias("y"),
         *[(F.col(c) - F.col(f"m_{c}")).alias(f"x{i}") for i, c in enumerate(names)],
@@ -119,7 +115,7 @@ def garch_grid(
         F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"))
         for a in alphas for b in betas if a + b < 1.0
     ])
-    points = series.select("*", F.explode(grid).alias("g")).repartition(_tasks(df), *keys, "g")
+    points = series.select("*", F.explode(grid).alias("g")).repartition(len(alphas) * len(betas), *keys, "g")
     alpha, beta = F.col("g.alpha"), F.col("g.beta")
     omega = F.col("v") * (F.lit(1.0) - alpha - beta)
     start = F.struct(F.col("v").alias("h"), F.lit(0.0).alias("ll"))
@@ -146,79 +142,91 @@ def garch_grid(
     )
 
 
-def _fit_mixture(x: np.ndarray, k: int, seed: int, iterations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """EM for a one-dimensional normal mixture started from seeded points."""
-    means = np.random.default_rng(seed).choice(x, size=k, replace=False)
-    variances, weights = np.full(k, x.var()), np.full(k, 1.0 / k)
-    floor, last = 1e-6 * x.var(), -np.inf
-    for _ in range(iterations):
-        log_p = np.log(weights) - 0.5 * (np.log(2 * np.pi * variances) + (x[:, None] - means) ** 2 / variances)
-        top = log_p.max(axis=1, keepdims=True)
-        norm = top + np.log(np.exp(log_p - top).sum(axis=1, keepdims=True))
-        share = np.exp(log_p - norm)
-        total = share.sum(axis=0) + 1e-12
-        weights, means = total / total.sum(), (share * x[:, None]).sum(axis=0) / total
-        variances = (share * (x[:, None] - means) ** 2).sum(axis=0) / total + floor
-        likelihood = float(norm.sum())
-        if abs(likelihood - last) < 1e-8 * abs(likelihood):
-            break
-        last = likelihood
-    return weights, means, variances, last
-
-
-def fit_regimes(
-    df: DataFrame, keys: Sequence[str], value: str, k: int = len(REGIME_LABELS),
-    seeds: Sequence[int] = REGIME_SEEDS, iterations: int = 500,
-) -> DataFrame:
-    """Best seeded mixture per series: ``keys, weights, means, variances, log_likelihood``.
+#: Starts of the mixture: which quantiles are the means, and the variances, of standardised values.
+STARTS = (
+    ((0.5, 0.5, 0.5), (0.25, 1.0, 4.0)),
+    ((1 / 6, 0.5, 5 / 6), (1.0, 1.0, 1.0)),
+    ((0.25, 0.5, 0.75), (0.25, 0.5, 2.0)),
+)
+EM_ITERATIONS = 30
+#: Iterations planned as one job before their parameters are written.
+EM_PER_JOB = 6
+VARIANCE_FLOOR = 1e-6
+
+
+def _log_density(x: Column, weight: Column, mean: Column, variance: Column) -> Column:
+    """Up to a constant that all components share."""
+    return F.log(weight) - F.lit(0.5) * (F.log(variance) + F.pow(x - mean, F.lit(2.0)) / variance)
+
+
+def _em_step(rows: DataFrame, params: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
+    """One iteration for all series and restarts: partial sums of the responsibilities, one small row each."""
+    joined = rows.join(params, list(keys))
+    x = F.col(value)
+    joined = joined.withColumns({f"l{i}": _log_density(x, F.col(f"w{i}"), F.col(f"m{i}"), F.col(f"v{i}")) for i in range(k)})
+    joined = joined.withColumn("top", F.greatest(*[F.col(f"l{i}") for i in range(k)]))
+    joined = joined.withColumns({f"p{i}": F.exp(F.col(f"l{i}") - F.col("top")) for i in range(k)})
+    joined = joined.withColumn("all", sum((F.col(f"p{i}") for i in range(1, k)), F.col("p0")))
+    share = [F.col(f"p{i}") / F.col("all") for i in range(k)]
+    sums = joined.groupBy(*keys, "restart").agg(
+        F.sum(F.col("top") + F.log("all")).alias("likelihood"),
+        *[(F.sum(share[i]) + F.lit(1e-12)).alias(f"s{i}") for i in range(k)],
+        *[F.sum(share[i] * x).alias(f"a{i}") for i in range(k)],
+        *[F.sum(share[i] * x * x).alias(f"b{i}") for i in range(k)],
+    )
+    total = sum((F.col(f"s{i}") for i in range(1, k)), F.col("s0"))
+    mean = [F.col(f"a{i}") / F.col(f"s{i}") for i in range(k)]
+    return sums.select(
+        *keys, "restart", "likelihood",
+        *[(F.col(f"s{i}") / total).alias(f"w{i}") for i in range(k)],
+        *[mean[i].alias(f"m{i}") for i in range(k)],
+        *[
+            (F.greatest(F.col(f"b{i}") / F.col(f"s{i}") - mean[i] * mean[i], F.lit(0.0)) + F.lit(VARIANCE_FLOOR)).alias(f"v{i}")
+            for i in range(k)
+        ],
+    )
+
+
+def fit_regimes(df: DataFrame, keys: Sequence[str], value: str, iterations: int = EM_ITERATIONS) -> DataFrame:
+    """Three-component normal mixture per series by EM: ``keys, components, likelihood``.
 
-    Every (series, seed) pair is one task-sized group: a series of daily
-    differences is bounded by the calendar, so the restarts run side by side
-    and many series scale out. Components come sorted by variance.
+    ``value`` is standardised. An iteration is one aggregation over the rows of all series and restarts;
+    only parameters, one row per series and restart, travel back. Starts come from exact
+    quantiles, so the fit is the same on every run. Components come sorted by variance.
     """
     keys = list(keys)
-    schema = df.select(*keys).schema
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [
-        "seed int", "weights array<double>", "means array<double>", "variances array<double>", "log_likelihood double"])
-    restarts = F.array(*[F.lit(int(s)) for s in seeds])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].to_numpy(dtype=float))
-        seed = int(pdf["seed"].iloc[0])
-        weights, means, variances, likelihood = _fit_mixture(x, k, seed, iterations)
-        order = np.argsort(variances)
-        return pd.DataFrame([{
-            **{c: pdf[c].iloc[0] for c in keys}, "seed": seed, "weights": weights[order].tolist(),
-            "means": means[order].tolist(), "variances": variances[order].tolist(), "log_likelihood": likelihood,
-        }])
-
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, F.explode(restarts).alias("seed"))
-    # Small in bytes but heavy in work: a stated number keeps the groups apart.
-    rows = rows.repartition(_tasks(df), *keys, "seed")
-    fits = rows.groupBy(*keys, "seed").applyInPandas(fit, out)
-    best = F.max_by(F.struct("weights", "means", "variances", "log_likelihood"),
-                    F.struct(F.col("log_likelihood"), -F.col("seed")))
-    return fits.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
-
-
-def volatility_regimes(
-    df: DataFrame, keys: Sequence[str], value: str, labels: Sequence[str] = REGIME_LABELS,
-    seeds: Sequence[int] = REGIME_SEEDS,
-) -> DataFrame:
+    k = len(STARTS[0][0])
+    rows = stored_table(df.where(F.col(value).isNotNull()).select(*keys, value))
+    probs = {f"q{i}": p for i, p in enumerate(sorted({p for means, _ in STARTS for p in means}))}
+    name = {p: q for q, p in probs.items()}
+    starts = F.array(*[
+        F.struct(
+            F.lit(r).alias("restart"),
+            *[F.lit(1.0 / k).alias(f"w{i}") for i in range(k)],
+            *[F.col(name[p]).alias(f"m{i}") for i, p in enumerate(means)],
+            *[F.lit(v).alias(f"v{i}") for i, v in enumerate(variances)],
+        )
+        for r, (means, variances) in enumerate(STARTS)
+    ])
+    params = stored_table(describe_groups(rows, keys, value, probs).select(*keys, F.inline(starts)))
+    for done in range(0, iterations, EM_PER_JOB):
+        for _ in range(min(EM_PER_JOB, iterations - done)):
+            params = _em_step(rows, params.drop("likelihood"), keys, value, k)
+        params = stored_table(params)
+    parts = F.array(*[F.struct(F.col(f"v{i}").alias("v"), F.col(f"m{i}").alias("m"), F.col(f"w{i}").alias("w")) for i in range(k)])
+    best = F.max_by(F.struct(F.array_sort(parts).alias("components"), "likelihood"), F.struct("likelihood", -F.col("restart")))
+    return params.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
+def volatility_regimes(df: DataFrame, keys: Sequence[str], value: str, labels: Sequence[str] = REGIME_LABELS) -> DataFrame:
     """Label each row with the most likely component of its series (calm first, by variance).
 
-    Standardising uses each series' population deviation. Only the fit is
-    Python; labels are a JVM expression over the joined parameters.
+    Standardising uses each series' population deviation. Ties go to the calmer label.
     """
     keys = list(keys)
     scored = z_score(df.where(F.col(value).isNotNull()), keys, value, "_z")
-    params = fit_regimes(scored, keys, "_z", len(labels), seeds)
-    joined = scored.join(params, keys)
-    densities = [
-        F.log(F.col("weights")[i]) - F.lit(0.5) * (
-            F.log(F.col("variances")[i]) + F.pow(F.col("_z") - F.col("means")[i], F.lit(2.0)) / F.col("variances")[i])
-        for i in range(len(labels))
-    ]
-    best = F.array_position(F.array(*densities), F.array_max(F.array(*densities)))
+    joined = scored.join(fit_regimes(scored, keys, "_z"), keys)
+    density = F.transform("components", lambda c: _log_density(F.col("_z"), c["w"], c["m"], c["v"]))
+    best = F.array_position(density, F.array_max(density))
     regime = F.element_at(F.array(*[F.lit(name) for name in labels]), best.cast("int"))
-    return joined.withColumn("regime", regime).drop("_z", "weights", "means", "variances", "log_likelihood")
+    return joined.withColumn("regime", regime).drop("_z", "components", "likelihood")

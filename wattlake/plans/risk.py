@@ -156,6 +156,10 @@ def lock_slots(index: DataFrame, targets: DataFrame, lock_months: tuple[int, ...
     )
 
 
+#: Simulated paths of one task.
+PATHS_PER_TASK = 2_000
+
+
 def _variant_rows(cells: DataFrame, slots: DataFrame) -> DataFrame:
     """One row per variant: target array (with its cell array) and delivery-year array."""
     cell = F.struct("pool_idx", "spot_cost_eur", "oespi_base", "oespi_peak")
@@ -182,10 +186,9 @@ def path_costs(paths: DataFrame, cells: DataFrame, slots: DataFrame, params: Dat
     price = params.select(F.struct(
         "p_ref_base", "p_ref_peak", "oespi_base_ref", "oespi_peak_ref", "w_peak", "premium"
     ).alias("price")).scalar()
-    # Eight bytes per path against a whole simulated year: spreading the ids is
-    # cheap and keeps every core busy however the ids are stored.
-    tasks = paths.sparkSession.sparkContext.defaultParallelism
-    spread = paths.select("path").repartition(tasks, "path")
+    # Eight bytes per path against a whole simulated year: file sizes say nothing about
+    # the work, so the number of paths decides how many tasks share it.
+    spread = paths.select("path").repartition(-(-paths.count() // PATHS_PER_TASK) or 1, "path")
     rows = spread.select("path", F.inline(sides)).withColumn("price", price).select("path", "variant", "targets", "years", "price.*")
 
     complete = F.when(F.size("targets") == cfg.horizon_months, F.col("targets")).otherwise(

@@ -280,8 +280,9 @@ class Feeds:
     def paths_in(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("path"))
 
-    @mart
+    @cached_property
     def path_costs(self) -> DataFrame:
+        """Twelve rows per customer, never written: its users aggregate it as it is computed."""
         slots = risk.lock_slots(self.observed_index, self.targets, self.cfg.lock_months)
         return risk.path_costs(self.paths_in, self.cells, slots, self.base_params, self.cfg)
 
@@ -290,6 +291,12 @@ class Feeds:
         return risk.risk_summary(self.path_costs)
 
 
+    def close(self) -> None:
+        """Remove the tables of this session and folder."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.scratch)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _OPEN: dict[tuple[str, str], Feeds] = {}
 
 
@@ -299,3 +306,9 @@ def feeds_for(spark: SparkSession, sf_dir: str) -> Feeds:
     if key not in _OPEN:
         _OPEN[key] = Feeds(spark, sf_dir)
     return _OPEN[key]
+
+
+def close_feeds(spark: SparkSession) -> None:
+    """Forget the feeds of a session and delete their tables, also before input folders change."""
+    for key in [k for k in _OPEN if k[0] == spark.sparkContext.applicationId]:
+        _OPEN.pop(key).close()

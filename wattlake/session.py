@@ -7,11 +7,6 @@ import uuid
 from tempfile import gettempdir
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Row ceiling under which a keyed side table is shipped to every executor.
-#: At ~100 bytes a row this is about 20 MB, well inside a task's memory.
-BROADCAST_ROWS = 200_000
 
 #: Folder chosen for a single-machine session that names none, by application.
 _LOCAL: dict[str, str] = {}
@@ -78,12 +73,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; larger tables keep a shuffle join.
+def stored_table(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back with its schema.
 
-    The table is checkpointed first so that counting it does not compute it
-    twice. Use it for per-group tables whose row count follows the number of
-    groups in the data.
+    It cuts the plan like a checkpoint, and gives Spark the table's size in
+    bytes, by which it chooses to broadcast it or not.
     """
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,10 @@
 """Streaming jobs: hourly means, latest-wins upsert, refetch deduplication.
 
 Streams carry event time in ``ts_utc`` (an instant, not a wall-clock type).
-The watermark equals the restatement lookback, so state is bounded by
-45 days x zones for the hourly means.
+The watermark equals the restatement lookback. The hourly means run in update
+mode: a batch emits the hours it changed, a keyed upsert puts them into the
+month tables, and hours older than the watermark leave the state, which is
+therefore bounded by 45 days x zones.
 """
 
 from __future__ import annotations
@@ -62,6 +64,27 @@ def upsert_latest(path: str, keys: Sequence[str], ingested_at: str, tie_break: S
     return run
 
 
+def start_hourly_means(
+    ticks: DataFrame, value: str, path: str, checkpoint: str, key: str = "zone", watermark: str = WATERMARK
+) -> StreamingQuery:
+    """Keeps the table ``ts_utc, key, value, n_subhours, batch_id`` at ``path`` up to date.
+
+    An hour that changes again is emitted again with its new mean; the batch
+    number tells which version is the latest, so replaying a batch changes nothing.
+    """
+    upsert = upsert_latest(path, [key, "ts_utc"], "updated_at", ())
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumn("updated_at", F.timestamp_seconds(F.lit(batch_id)))
+        upsert(stamped, batch_id)
+
+    return (
+        hourly_mean_stream(ticks, value, key, watermark)
+        .writeStream.outputMode("update").foreachBatch(publish)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def _has_data(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
