@@ -65,7 +65,6 @@ MAX_MISSING_HOURS = 24
 DUPLICATE_BUDGET_PER_MONTH = 30
 HYBRID_TOLERANCE = 0.005
 REGIME_LABELS = ("calm", "elevated", "crisis")
-REGIME_SEEDS = tuple(range(42, 52))
 CRISIS_MIN_SHARE = 0.70
 CALM_MIN_SHARE = 0.60
 ANNUAL_MEAN_BOUNDS = {

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wattlake.config import FLAT_PROFILE, FORWARD_CALENDAR_MONTHS, MAIN_PROFILE, PLANT_TYPE_NAMES, StrategyConfig
 from wattlake.functions.exprs import avg_if, code_name
-from wattlake.operators import spine
+from wattlake.operators import spine, stats
 from wattlake.plans import analytics, marts, profile, risk, staging, strategies
 from wattlake.session import scratch_dir
 
@@ -249,12 +249,9 @@ class Feeds:
 
     @mart
     def labelled(self) -> DataFrame:
-        """Regime labels from volatility bands relative to the whole history, so that an oracle exists."""
-        overall = self.differences.agg(F.stddev_samp("d_t")).scalar()
-        rows = self.differences.withColumn("relative_vol", F.col("realized_vol") / overall)
-        band = F.col("relative_vol")
-        label = F.when(band > 1.1, "crisis").when(band > 0.98, "elevated").otherwise("calm")
-        return rows.withColumn("regime", label).drop("relative_vol")
+        """Daily differences with the fitted volatility regime of each day."""
+        moves = self.differences.withColumn("series", F.lit("AT"))
+        return stats.volatility_regimes(moves, ["series"], "d_t").drop("series")
 
     @cached_property
     def crisis_years(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattlake.operators import stats
 from wattlake.plans import analytics
 from wattlake.queries.feeds import Feeds
+from wattlake.queries.oracle import regimes_sql
 from wattlake.queries.registry import query
 
 
@@ -35,36 +36,6 @@ def _(t: Feeds) -> DataFrame:
     return stats.z_score(t.events, ["event_type"], "value").select("event_id", "z")
 
 
-def regimes_sql(moves: str, key: str) -> str:
-    """Regime of each row of ``moves`` (``key``, ``date_local``, ``d_t``): the same mixture as recursive SQL."""
-    each = lambda text: ", ".join(text.replace("#", str(i)) for i in range(3))
-    starts = " UNION ALL ".join(
-        f"SELECT {key}, {r} AS restart, 0 AS it, {each('1.0::DOUBLE / 3 AS w#')}, "
-        + ", ".join(f"quantile_cont(z, {p!r}) AS m{i}" for i, p in enumerate(means)) + ", "
-        + ", ".join(f"{v!r}::DOUBLE AS v{i}" for i, v in enumerate(variances))
-        + f", 0.0::DOUBLE AS likelihood FROM z GROUP BY {key}"
-        for r, (means, variances) in enumerate(stats.STARTS)
-    )
-    return f"""
-    WITH RECURSIVE z AS MATERIALIZED (
-        SELECT *, (d_t - avg(d_t) OVER (PARTITION BY {key})) / stddev_pop(d_t) OVER (PARTITION BY {key}) AS z FROM ({moves}) WHERE d_t IS NOT NULL),
-    em AS ({starts}
-        UNION ALL
-        SELECT {key}, restart, it + 1, {each('s# / (s0 + s1 + s2)')}, {each('a# / s#')},
-               {each(f'greatest(b# / s# - (a# / s#) * (a# / s#), 0.0::DOUBLE) + {stats.VARIANCE_FLOOR!r}::DOUBLE')}, likelihood
-        FROM (SELECT {key}, restart, it, {each('sum(p# / (p0 + p1 + p2)) + 1e-12::DOUBLE AS s#')},
-                     {each('sum(p# / (p0 + p1 + p2) * z) AS a#')}, {each('sum(p# / (p0 + p1 + p2) * z * z) AS b#')},
-                     sum(ln(p0 + p1 + p2)) AS likelihood
-              FROM (SELECT {key}, restart, it, z, {each('w# / sqrt(v#) * exp(-0.5::DOUBLE * (z - m#) * (z - m#) / v#) AS p#')}
-                    FROM em JOIN z USING ({key}) WHERE it < {stats.EM_ITERATIONS})
-              GROUP BY 1, 2, 3)),
-    fit AS (SELECT {key}, list_sort([{{'v': v0, 'm': m0, 'w': w0}}, {{'v': v1, 'm': m1, 'w': w1}}, {{'v': v2, 'm': m2, 'w': w2}}]) AS c
-            FROM em WHERE it = {stats.EM_ITERATIONS}
-            QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY likelihood DESC, restart) = 1),
-    density AS (SELECT z.*, [ln(x.w) - 0.5::DOUBLE * (ln(x.v) + (z - x.m) * (z - x.m) / x.v) for x in c] AS d FROM z JOIN fit USING ({key}))
-    SELECT *, ['calm', 'elevated', 'crisis'][list_position(d, list_max(d))] AS regime FROM density"""
-
-
 @query("t03_volatility_regimes", f"""
     SELECT zone, regime, count(*) AS days, avg(abs(d_t)) AS mean_abs_d_t FROM ({regimes_sql(
         f"SELECT zone, date_local, p - lag(p) OVER (PARTITION BY zone ORDER BY date_local) AS d_t FROM ({ZONE_DAILY})", "zone")})
