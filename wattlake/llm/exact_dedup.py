@@ -2,7 +2,7 @@
 
 A digest that a third of all rows share would meet in one task of an ordinary
 shuffle. Misra-Gries summaries find every digest above ``1 / (counters + 1)`` of
-the rows in one pass; their exact counts and winners (at most ``counters`` rows)
+the rows in one pass; their exact counts and winners (at most ``2 * counters + 1`` rows)
 are broadcast, and rows of those digests are settled where they are read. The
 remaining digests are each below that share and go through an ordinary shuffle.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from wattlake.llm.common import stored, text_of
 
-#: Counters of a summary and upper bound of broadcast winners.
+#: Digests above ``1 / (COUNTERS + 1)`` of all rows are settled by broadcast, at most twice as many.
 COUNTERS = 1024
 
 
@@ -60,22 +60,22 @@ def _summaries(counters: int):
 
 
 def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """A superset of the digests that hold over ``1 / (counters + 1)`` of ``copies``; at most ``counters`` rows.
+    """A superset of the digests that hold over ``1 / (counters + 1)`` of ``copies``; at most ``2 * counters + 1`` rows.
 
-    Each task returns one summary. Summaries are merged by adding their counts
-    and subtracting the first count that has to go, which keeps the guarantee.
+    Each task returns one summary of ``2 * counters + 1`` counters, and equal digests of all summaries are
+    added. A sum falls short of the true count by at most ``1 / (2 * counters + 2)`` of all rows, so it
+    stays above that share for every digest wanted, and no more than ``2 * counters + 1`` can.
     """
-    top = (
+    total = digests.agg(F.sum("copies")).first()[0] or 0
+    found = (
         digests.select("digest", "copies")
-        .mapInArrow(_summaries(counters), "digest binary, n long")
+        .mapInArrow(_summaries(2 * counters + 1), "digest binary, n long")
         .groupBy("digest")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "digest")
-        .limit(counters + 1)
+        .where(F.col("n") * (2 * counters + 2) > total)
         .collect()
     )
-    kept = prune({bytes(r["digest"]): r["n"] for r in top}, counters)
-    return digests.sparkSession.createDataFrame([(key,) for key in kept], "digest binary")
+    return digests.sparkSession.createDataFrame([(bytes(r["digest"]),) for r in found], "digest binary")
 
 
 def _groups(digests: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def _groups(digests: DataFrame) -> DataFrame:
 
 
 def winners(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Exact winner and size of each frequent digest; at most ``counters`` rows of about 50 bytes."""
+    """Exact winner and size of each frequent digest; at most ``2 * counters + 1`` rows of about 50 bytes."""
     found = frequent_digests(digests, counters)
     return stored(_groups(digests.join(F.broadcast(found), "digest")).where("group_size > 1"))
 
