@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.llm.common import text_of
-from wattlake.llm.token_counts import PRE_TOKEN
+from wattlake.llm.token_counts import PRE_TOKEN, byte_letters
 
 #: Longest word, in bytes, of the rank matrix.
 SHORT = 48
@@ -43,17 +43,6 @@ BATCH_BYTES = 4_000_000
 NO_RANK = np.iinfo(np.int32).max
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary.
-
-    Visible Latin-1 characters stand for themselves, the other bytes take the
-    letters from U+0100 on in their order.
-    """
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = iter(range(0x100, 0x200))
-    return [chr(b if b in visible else next(hidden)) for b in range(256)]
-
-
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:

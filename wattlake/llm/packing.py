@@ -38,8 +38,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattlake.llm.bpe import byte_letters
 from wattlake.llm.common import stored, text_of
+from wattlake.llm.token_counts import byte_letters
 
 #: Words of a generation and parts of words that a worker remembers, up to 200 MB together. The
 #: words before the last full generation are forgotten; full parts start anew.
