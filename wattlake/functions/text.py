@@ -68,15 +68,21 @@ def numbers_by_unit(numbers: DataFrame) -> DataFrame:
 def unmatched_literals(literals: DataFrame, numbers: DataFrame) -> DataFrame:
     """Literals without a published value of their unit within tolerance.
 
-    Published values per unit are one sorted array (bounded by the numbers
-    table), so each literal is tested on its own row; literals never meet each
-    other and a hot unit cannot skew a join.
+    A literal is a multiple of its last printed digit, and values within half a digit
+    of it round to that multiple; at a tie they may round either way. So both sides
+    meet by unit, digit and multiple: an equality join, however many numbers are
+    published, in which no unit is a key of its own.
     """
-    table = numbers_by_unit(numbers).groupBy("unit").agg(F.collect_set("v").alias("vs"))
-    sides = table.agg(F.map_from_entries(F.collect_list(F.struct("unit", "vs")))).scalar()
-    tested = literals.withColumn("m", sides)
-    near = F.exists(
-        F.coalesce(F.try_element_at(F.col("m"), F.col("unit")), F.array().cast("array<double>")),
-        lambda v: F.abs(v - F.col("value")) <= F.col("tolerance"),
+    step = (F.col("tolerance") - F.lit(1e-9)) * 2
+    rows = literals.withColumn("step", step).withColumn("multiple", F.round(F.col("value") / F.col("step")).cast("long"))
+    steps = rows.select(F.col("unit").alias("u"), F.col("step").alias("s")).distinct()
+    published = numbers_by_unit(numbers)
+    at = F.col("v") / F.col("s")
+    slack = F.lit(1e-9) / F.col("s") + F.lit(1e-6)
+    around = F.array_distinct(F.array(*[F.round(at + d).cast("long") for d in (-slack, slack)]))
+    cells = published.join(steps, published["unit"] == steps["u"]).select("u", "s", "v", F.explode(around).alias("m"))
+    on = (
+        (F.col("unit") == F.col("u")) & (F.col("step") == F.col("s")) & (F.col("multiple") == F.col("m"))
+        & (F.abs(F.col("v") - F.col("value")) <= F.col("tolerance"))
     )
-    return tested.where(~near).drop("m")
+    return rows.join(cells, on, "left_anti").drop("step", "multiple")

@@ -256,9 +256,11 @@ def year_row_count_failures(hourly: DataFrame) -> DataFrame:
     return rows.where(F.when(F.col("is_complete_year"), off).otherwise(edge))
 
 
-def stale(df: DataFrame, ts: str, now: Column, limit_days: int = cfg.FRESHNESS_LIMIT_DAYS) -> DataFrame:
-    """One row when the newest timestamp is too old, or when there is none."""
-    newest = df.agg(F.max(ts).alias("newest_ts_utc"))
+def stale(
+    df: DataFrame, ts: str, now: Column, limit_days: int = cfg.FRESHNESS_LIMIT_DAYS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """A row for each key, or one without keys, when the newest timestamp is too old or there is none."""
+    newest = (df.groupBy(*keys) if keys else df).agg(F.max(ts).alias("newest_ts_utc"))
     limit = now - F.make_dt_interval(days=F.lit(limit_days))
     return newest.where(F.col("newest_ts_utc").isNull() | (F.col("newest_ts_utc") < limit))
 

@@ -203,38 +203,53 @@ def _(t: Feeds) -> DataFrame:
 
 
 def composed_texts(t: Feeds) -> DataFrame:
-    """Whole documents with one published figure appended, some right and some off.
+    """Whole documents with a published figure appended, some right and some off, and amounts in other forms.
 
     The numbers table has one row per published key, so Spark broadcasts it by
-    its measured size.
+    its measured size. A document without such a key keeps its own text.
     """
     kinds = F.array(*[F.lit(k) for k in ("wrong_strategy_cost_", "neg_hours_", "annual_mean_price_")])
     key = F.concat(F.get(kinds, (F.col("doc_id") % 3).cast("int")), (F.col("doc_id") % 5 + 1996).cast("string"))
     off = F.when(F.col("doc_id") % 4 == 0, F.lit("9")).otherwise(F.lit(""))
     texts = t.table("documents").select("doc_id", "text", key.alias("key"))
-    return texts.join(numbers(t).select("key", "value", "unit"), "key").select("doc_id", F.concat(
-        F.col("text"), F.lit(" cost "), off, F.col("value"), F.lit(" "), F.col("unit"), F.lit(" total ")).alias("text"))
+    figure = F.concat(F.lit(" cost "), off, F.col("value"), F.lit(" "), F.col("unit"), F.lit(" total "))
+    part = (F.col("doc_id") % 90 + 10).cast("string")
+    other = (
+        F.when(F.col("doc_id") % 6 == 1, F.concat(F.lit(" spent €1,2"), part, F.lit(".5 M of € "), part, F.lit(" left ")))
+        .when(F.col("doc_id") % 6 == 2, F.concat(F.lit(" share "), part, F.lit(".25% or "), part, F.lit(" % here ")))
+        .otherwise(F.lit(""))
+    )
+    joined = texts.join(numbers(t).select("key", "value", "unit"), "key", "left")
+    return joined.select("doc_id", F.concat(F.col("text"), F.coalesce(figure, F.lit("")), other).alias("text"))
 
 
 # The oracle restates the search with its own engine's regular expressions: RE2
 # has no look-around, so the left context is matched and the right one checked
 # by the order of the unit alternatives.
 COMPOSED = f"""
-    SELECT doc_id, text || ' cost ' || CASE WHEN doc_id % 4 = 0 THEN '9' ELSE '' END || value || ' ' || unit || ' total ' AS text
-    FROM documents JOIN ({NUMBERS}) pub
+    SELECT doc_id, text || coalesce(' cost ' || CASE WHEN doc_id % 4 = 0 THEN '9' ELSE '' END || value || ' ' || unit || ' total ', '')
+           || CASE doc_id % 6 WHEN 1 THEN ' spent €1,2' || (doc_id % 90 + 10) || '.5 M of € ' || (doc_id % 90 + 10) || ' left '
+                              WHEN 2 THEN ' share ' || (doc_id % 90 + 10) || '.25% or ' || (doc_id % 90 + 10) || ' % here ' ELSE '' END AS text
+    FROM documents LEFT JOIN ({NUMBERS}) pub
       ON pub.key = CASE doc_id % 3 WHEN 0 THEN 'wrong_strategy_cost_' WHEN 1 THEN 'neg_hours_' ELSE 'annual_mean_price_' END || (1996 + doc_id % 5)"""
+RE2_NUMBER = r"-?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
+LITERALS = f"""
+    SELECT doc_id, literal, value, unit, 0.5::DOUBLE * pow(10.0::DOUBLE, -length(regexp_extract(number, '\\.(\\d+)$', 1))) * scale + 1e-9::DOUBLE AS tolerance
+    FROM (SELECT doc_id, literal, unit, scale, number, number::DOUBLE * scale AS value FROM (
+        SELECT doc_id, literal, replace(regexp_extract(literal, '{RE2_NUMBER}'), ',', '') AS number,
+               CASE WHEN starts_with(literal, '€') AND ends_with(literal, 'M') THEN 1e6::DOUBLE ELSE 1.0::DOUBLE END AS scale,
+               CASE WHEN starts_with(literal, '€') THEN 'EUR' WHEN ends_with(literal, 'EUR/MWh') THEN 'EUR/MWh'
+                    WHEN ends_with(literal, 'EUR') THEN 'EUR' WHEN ends_with(literal, '%') THEN '%' ELSE 'hours' END AS unit
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text,
+                  '(?:^|[^\\w.%-])((?:{RE2_NUMBER})\\s?(?:EUR/MWh|EUR\\b|%|hours\\b))', 1)) AS literal FROM ({COMPOSED})
+              UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '€\\s?{RE2_NUMBER}(?:\\s?M\\b)?')) FROM ({COMPOSED}))))"""
 
 
-@query("f22_number_literals")
+@query("f22_number_literals", LITERALS, "value:2 tolerance:12")
 def _(t: Feeds) -> DataFrame:
     return text.number_literals(composed_texts(t), "doc_id", "text")
 
 
-@query("f22_number_literals_by_unit", f"""
-    WITH d AS (SELECT * FROM ({COMPOSED}))
-    SELECT unit, count(*) AS n FROM (
-        SELECT doc_id, CASE WHEN tail = 'EUR/MWh' THEN 'EUR/MWh' ELSE tail END AS unit FROM (
-            SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\\w.%-])-?(?:\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)\\s?(EUR/MWh|EUR\\b|%|hours\\b)', 1)) AS tail FROM d))
-    GROUP BY 1""")
+@query("f22_number_literals_by_unit", f"SELECT unit, count(*) AS n FROM ({LITERALS}) GROUP BY 1")
 def _(t: Feeds) -> DataFrame:
     return text.number_literals(composed_texts(t), "doc_id", "text").groupBy("unit").agg(F.count("*").alias("n"))

@@ -54,12 +54,12 @@ EXPRESSIONS: dict[str, str] = {
                (l_extendedprice - 12000.0::DOUBLE) / 523.0::DOUBLE AS price_eur_mwh,
                'PT60M' AS resolution, 'DE_LU' AS zone,
                strftime(l_shipdate + to_days((l_partkey % 30 + 1)::INT), '%Y-%m-%dT%H:%M:%S+00:00') AS ingested_at_utc
-        FROM lineitem WHERE l_returnflag = 'N'""",
+        FROM lineitem""",
     "raw_prices": "SELECT * FROM raw_at UNION ALL SELECT * FROM raw_delu",
     "raw_load": """
         SELECT l_shipdate + to_minutes(15 * ((l_orderkey * 11 + l_suppkey) % 96)) AS ts_utc,
                3000.0::DOUBLE + l_quantity * 181.3::DOUBLE + l_discount * 1000.0::DOUBLE AS load_mw
-        FROM lineitem WHERE l_returnflag = 'A'""",
+        FROM lineitem""",
     "psr": """
         SELECT * FROM (VALUES ('B01','Biomass'), ('B02','Fossil Brown coal/Lignite'), ('B03','Fossil Coal-derived gas'),
             ('B04','Fossil Gas'), ('B05','Fossil Hard coal'), ('B06','Fossil Oil'), ('B09','Geothermal'),

@@ -27,10 +27,10 @@ def _(t: Feeds) -> DataFrame:
     return tree.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "s_suppkey", "s_name")
 
 
-@query("s02_parquet_file", "SELECT p_partkey, p_brand, p_retailprice FROM part WHERE p_size > 25")
+@query("s02_parquet_file", "SELECT p_partkey, p_brand, p_retailprice FROM part")
 def _(t: Feeds) -> DataFrame:
     part = tables.read_parquet(t.spark, f"{t.sf_dir}/part.parquet")
-    return part.where("p_size > 25").select("p_partkey", "p_brand", "p_retailprice")
+    return part.select("p_partkey", "p_brand", "p_retailprice")
 
 
 INDEX_SQL = """

@@ -90,9 +90,9 @@ def _(t: Feeds) -> DataFrame:
 @query("w10_forward_back_fill", """
     SELECT ts_utc, coalesce(last_value(load_at_mw IGNORE NULLS) OVER (PARTITION BY year_local, month_local ORDER BY ts_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                     first_value(load_at_mw IGNORE NULLS) OVER (PARTITION BY year_local, month_local ORDER BY ts_utc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS load_at_mw
-    FROM hourly WHERE year_local = 1997""", "load_at_mw")
+    FROM hourly""", "load_at_mw")
 def _(t: Feeds) -> DataFrame:
-    rows = t.hourly.where("year_local = 1997").select("ts_utc", "year_local", "month_local", "load_at_mw")
+    rows = t.hourly.select("ts_utc", "year_local", "month_local", "load_at_mw")
     return fill_in_order(rows, ["year_local", "month_local"], "ts_utc", "load_at_mw").select("ts_utc", "load_at_mw")
 
 
@@ -193,11 +193,11 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("u02_union_distinct_with_values", """
-    SELECT o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 480000 UNION
+    SELECT o_orderdate::DATE AS day FROM orders UNION
     SELECT * FROM (VALUES (DATE '1996-03-31'), (DATE '1996-10-27')) v(day)""")
 def _(t: Feeds) -> DataFrame:
     fixed = t.spark.createDataFrame([("1996-03-31",), ("1996-10-27",)], "d string").select(F.to_date("d").alias("day"))
-    days = t.orders.where("o_totalprice > 480000").select(F.to_date("o_orderdate").alias("day"))
+    days = t.orders.select(F.to_date("o_orderdate").alias("day"))
     return days.union(fixed).distinct()
 
 
@@ -207,14 +207,18 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("u04_set_difference", """
-    SELECT d AS day FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 DAY))::DATE AS d)
-    EXCEPT SELECT o_orderdate::DATE FROM orders WHERE o_orderpriority = '5-LOW'""")
+    SELECT p AS o_orderpriority, d AS day FROM (SELECT DISTINCT o_orderpriority AS p FROM orders),
+        (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY))::DATE AS d FROM orders)
+    EXCEPT SELECT o_orderpriority, o_orderdate::DATE FROM orders""")
 def _(t: Feeds) -> DataFrame:
     from wattlake.operators.spine import day_spine
 
     bounds = t.orders.agg(F.to_date(F.min("o_orderdate")).alias("first_day"), F.to_date(F.max("o_orderdate")).alias("last_day"))
-    seen = t.orders.where("o_orderpriority = '5-LOW'").select(F.to_date("o_orderdate").alias("day"))
-    return day_spine(bounds).withColumnRenamed("date_local", "day").subtract(seen)
+    seen = t.orders.select("o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    # The calendar is one array of days on every priority's row.
+    days = day_spine(bounds).agg(F.collect_list("date_local")).scalar()
+    expected = seen.select("o_orderpriority").distinct().select("o_orderpriority", F.explode(days).alias("day"))
+    return expected.subtract(seen)
 
 
 @query("u05_intersection", """
