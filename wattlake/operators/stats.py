@@ -87,6 +87,11 @@ def ols_fixed_effects(
     )
 
 
+#: Default grid of the volatility fit.
+GARCH_ALPHAS = (0.02, 0.05, 0.1, 0.15, 0.2)
+GARCH_BETAS = (0.5, 0.6, 0.7, 0.8, 0.9)
+
+
 def garch_grid(
     df: DataFrame,
     keys: Sequence[str],

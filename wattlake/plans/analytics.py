@@ -31,7 +31,7 @@ def priced_hours(hourly: DataFrame) -> DataFrame:
     return hourly.where(F.col("price_at_eur_mwh").isNotNull())
 
 
-def complete_years(hourly: DataFrame, min_hours: int = COMPLETE_YEAR_MIN_HOURS) -> DataFrame:
+def complete_years(hourly: DataFrame, min_hours: int | Column = COMPLETE_YEAR_MIN_HOURS) -> DataFrame:
     """Years with enough priced hours to be read as annual."""
     n = priced_hours(hourly).groupBy("year_local").agg(F.count("*").alias("hours"))
     return n.where(F.col("hours") >= min_hours)

@@ -198,6 +198,13 @@ class Feeds:
     def dq(self) -> DataFrame:
         return marts.fct_data_quality_monthly(self.hourly, self.prices, self.weather, self.index)
 
+    @cached_property
+    def complete_years(self) -> DataFrame:
+        """``year_local`` of complete years. The test feeds are sparse, so the fullest year sets the scale."""
+        per_year = analytics.priced_hours(self.hourly).groupBy("year_local").agg(F.count("*").alias("n"))
+        fullest = per_year.agg(F.max("n")).scalar()
+        return analytics.complete_years(self.hourly, fullest * 0.9).select("year_local")
+
     @cached_property
     def spread(self) -> DataFrame:
         return marts.spread_monthly(self.hourly)

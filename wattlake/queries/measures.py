@@ -82,9 +82,9 @@ def _(t: Feeds) -> DataFrame:
 
 @query("m09_number_lookup", f"""
     SELECT key, value, unit, CASE WHEN unit NOT IN ('strategy_id', 'month', 'months') THEN try_cast(value AS DOUBLE) END AS number FROM ({NUMBERS})
-    WHERE key IN ('best_strategy_total', 'wrong_strategy_cost_1998', 'neg_hours_1999')""")
+    WHERE key IN ('best_strategy_5yr', 'wrong_strategy_cost_1998', 'neg_hours_1999')""")
 def _(t: Feeds) -> DataFrame:
-    return measures.number_lookup(numbers(t), ["best_strategy_total", "wrong_strategy_cost_1998", "neg_hours_1999"])
+    return measures.number_lookup(numbers(t), ["best_strategy_5yr", "wrong_strategy_cost_1998", "neg_hours_1999"])
 
 
 @query("m10_date_table", """

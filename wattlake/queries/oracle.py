@@ -40,6 +40,24 @@ def regimes_sql(moves: str, key: str) -> str:
     SELECT *, ['calm', 'elevated', 'crisis'][list_position(d, list_max(d))] AS regime FROM density"""
 
 
+def garch_sql(moves: str) -> str:
+    """GARCH(1,1) grid of each ``zone`` of ``moves`` as a recursion over its days."""
+    return f"""
+    WITH RECURSIVE x AS MATERIALIZED (SELECT zone, d_t, row_number() OVER (PARTITION BY zone ORDER BY date_local) AS i,
+               avg(d_t) OVER (PARTITION BY zone) AS mu, var_pop(d_t) OVER (PARTITION BY zone) AS v, count(*) OVER (PARTITION BY zone) AS n_obs
+        FROM ({moves}) WHERE d_t IS NOT NULL),
+    g AS (SELECT alpha::DOUBLE AS alpha, beta::DOUBLE AS beta FROM (SELECT unnest({list(stats.GARCH_ALPHAS)}) AS alpha), (SELECT unnest({list(stats.GARCH_BETAS)}) AS beta)
+          WHERE alpha + beta < 1),
+    f AS (SELECT zone, alpha, beta, i, v AS h, -0.5 * (ln(v) + (d_t - mu) * (d_t - mu) / v) AS ll, d_t, mu, v FROM x, g WHERE i = 1
+          UNION ALL
+          SELECT f.zone, alpha, beta, x.i, nh, ll - 0.5 * (ln(nh) + (x.d_t - x.mu) * (x.d_t - x.mu) / nh), x.d_t, x.mu, x.v
+          FROM (SELECT *, v * (1.0 - alpha - beta) + alpha * (d_t - mu) * (d_t - mu) + beta * h AS nh FROM f) f JOIN x ON x.zone = f.zone AND x.i = f.i + 1)
+    SELECT f.zone, n_obs, alpha, beta, f.v * (1.0 - alpha - beta) AS omega, ll AS log_likelihood,
+           sqrt(f.v * (1.0 - alpha - beta) + alpha * (f.d_t - f.mu) * (f.d_t - f.mu) + beta * h) AS next_vol, alpha + beta AS persistence
+    FROM f JOIN x ON x.zone = f.zone AND x.i = f.i WHERE f.i = n_obs
+    QUALIFY row_number() OVER (PARTITION BY f.zone ORDER BY ll DESC) = 1"""
+
+
 EXPRESSIONS: dict[str, str] = {
     "raw_at": """
         SELECT o_orderdate + to_hours((o_orderkey * 7) % 24) + to_minutes(15 * q) AS ts_utc,
@@ -390,6 +408,39 @@ EXPRESSIONS: dict[str, str] = {
             ('S4_30', 'HYBRID_30', '30% hedged at S3 price + 70% spot', 4),
             ('S4_50', 'HYBRID_50', '50% hedged + 50% spot', 5),
             ('S4_70', 'HYBRID_70', '70% hedged + 30% spot', 6)) t(strategy_id, strategy_name, description, sort_order)""",
+    "fullyears": """
+        SELECT year_local FROM hourly WHERE price_at_eur_mwh IS NOT NULL GROUP BY 1
+        HAVING count(*) >= 0.9 * (SELECT max(n) FROM (SELECT count(*) AS n FROM hourly WHERE price_at_eur_mwh IS NOT NULL GROUP BY year_local))""",
+    "garchfit": f"""
+        SELECT * FROM ({garch_sql("SELECT 'AT' AS zone, date_local, d_t FROM diffs")})""",
+    "published": """
+        SELECT 'wrong_strategy_cost_' || year AS key, printf('%.2f', max(cost_eur) - min(cost_eur)) AS value, 'EUR' AS unit,
+               'CALIBRATED' AS tag, 'strategies/retrospective' AS produced_by FROM annual GROUP BY year
+        UNION ALL SELECT 'wrong_strategy_cost_total', printf('%.2f', sum(w)), 'EUR', 'CALIBRATED', 'strategies/retrospective'
+        FROM (SELECT max(cost_eur) - min(cost_eur) AS w FROM annual GROUP BY year)
+        UNION ALL SELECT 'cost_' || strategy_id || '_' || year, printf('%.2f', cost_eur), 'EUR', 'CALIBRATED', 'strategies/retrospective' FROM annual
+        UNION ALL SELECT 'unit_cost_' || strategy_id || '_' || year, printf('%.4f', unit_cost_eur_mwh), 'EUR/MWh', 'CALIBRATED', 'strategies/retrospective' FROM annual
+        UNION ALL SELECT 'cost5yr_' || strategy_id, printf('%.2f', sum(cost_eur)), 'EUR', 'CALIBRATED', 'strategies/retrospective' FROM annual GROUP BY strategy_id
+        UNION ALL SELECT 'best_strategy_5yr', arg_min(strategy_id, c), 'strategy_id', 'CALIBRATED', 'strategies/retrospective'
+        FROM (SELECT strategy_id, sum(cost_eur) AS c FROM annual GROUP BY 1)
+        UNION ALL SELECT kv.k, printf('%.4f', kv.v), kv.u, 'CALIBRATED', 'strategies/retrospective' FROM (
+            SELECT unnest([{'k': 'p_ref_base', 'v': p_ref_base, 'u': 'EUR/MWh'}, {'k': 'p_ref_peak', 'v': p_ref_peak, 'u': 'EUR/MWh'},
+                           {'k': 'oespi_base_ref', 'v': oespi_base_ref, 'u': 'index'}, {'k': 'oespi_peak_ref', 'v': oespi_peak_ref, 'u': 'index'}]) AS kv
+            FROM scen WHERE scenario = 'base')
+        UNION ALL SELECT 'consumer_peak_share' || CASE profile WHEN 'main' THEN '' ELSE '_' || profile END, printf('%.4f', peak_share), 'share',
+               'CALIBRATED', 'consumer/profile' FROM peakshare
+        UNION ALL SELECT kv.k || '_next12m' || CASE variant WHEN 'unconditional' THEN '' ELSE '_nocrisis' END || '_' || strategy_id,
+               printf('%.2f', kv.v), 'EUR', 'SIMULATED', 'strategies/forward_risk' FROM (
+            SELECT variant, strategy_id, unnest([{'k': 'mean', 'v': mean}, {'k': 'p5', 'v': p5}, {'k': 'p50', 'v': p50}, {'k': 'p95', 'v': p95},
+                                                 {'k': 'cvar95', 'v': cvar95}]) AS kv FROM risksum)
+        UNION ALL SELECT 'annual_mean_price_' || year_local, printf('%.2f', avg(price_at_eur_mwh)), 'EUR/MWh', 'VERIFIED', 'analytics/descriptive'
+        FROM hourly WHERE price_at_eur_mwh IS NOT NULL AND year_local IN (SELECT year_local FROM fullyears) GROUP BY year_local
+        UNION ALL SELECT 'neg_hours_' || year_local, (sum(n_negative_hours)::BIGINT)::VARCHAR, 'hours', 'VERIFIED', 'analytics/descriptive'
+        FROM monthly WHERE year_local IN (SELECT year_local FROM fullyears) GROUP BY year_local
+        UNION ALL SELECT 'spread_mean_' || year_local, printf('%.2f', avg(spread_at_delu_eur_mwh)), 'EUR/MWh', 'VERIFIED', 'analytics/spread'
+        FROM hourly WHERE spread_at_delu_eur_mwh IS NOT NULL AND year_local IN (SELECT year_local FROM fullyears) GROUP BY year_local
+        UNION ALL SELECT 'garch_persistence', printf('%.4f', persistence), 'ratio', 'VERIFIED', 'analytics/volatility' FROM garchfit
+        UNION ALL SELECT 'data_last_month', strftime(last_month, '%Y-%m'), 'month', 'VERIFIED', 'analytics/descriptive' FROM lastmonth""",
 }
 
 

@@ -14,7 +14,7 @@ from wattlake.plans import analytics, gates, strategies
 from wattlake.queries.feeds import Feeds
 from wattlake.queries.functions import LITERALS, composed_texts
 from wattlake.queries.registry import query
-from wattlake.queries.windows import NUMBERS, numbers
+from wattlake.queries.windows import NUMBERS, numbers, required_numbers
 from wattlake.sources import sinks
 from wattlake.sources.schemas import MARTS
 
@@ -276,7 +276,7 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("q24_numbers_in_text", f"""
-    WITH n AS (SELECT unit, value::DOUBLE AS v FROM ({NUMBERS}) WHERE unit <> 'strategy_id'
+    WITH n AS (SELECT unit, try_cast(value AS DOUBLE) AS v FROM ({NUMBERS}) WHERE try_cast(value AS DOUBLE) IS NOT NULL
                UNION ALL SELECT '%', value::DOUBLE * 100 FROM ({NUMBERS}) WHERE unit = 'share')
     SELECT doc_id, value, unit FROM ({LITERALS}) l
     WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.unit = l.unit AND abs(n.v - l.value) <= l.tolerance)""", "value:2")
@@ -286,15 +286,22 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("q25_number_table_problems", f"""
-    WITH n AS (SELECT * FROM ({NUMBERS}))
-    SELECT 'missing_key' AS problem, k AS key FROM (SELECT unnest(['best_strategy_total', 'garch_persistence', 'wrong_strategy_cost_1996', 'wrong_strategy_cost_2004']) AS k)
-    WHERE k NOT IN (SELECT key FROM n)
+    WITH n AS (SELECT * FROM ({NUMBERS}) UNION ALL SELECT * FROM ({NUMBERS}) WHERE key = 'p_ref_base'
+               UNION ALL SELECT 'stray', '1', 'EUR', 'VERIFIED', 'strategies/retrospective'),
+    s AS (SELECT unnest(['S1', 'S2', 'S3', 'S4_30', 'S4_50', 'S4_70']) AS s), y AS (SELECT unnest(range(1996, 2001)) AS y),
+    need AS (SELECT unnest(['wrong_strategy_cost_total', 'best_strategy_5yr', 'p_ref_base', 'p_ref_peak', 'oespi_base_ref', 'consumer_peak_share',
+                            'garch_persistence', 'data_last_month', 'next_month']) AS k
+             UNION ALL SELECT f || y FROM (SELECT unnest(['wrong_strategy_cost_', 'annual_mean_price_', 'neg_hours_', 'spread_mean_']) AS f), y
+             UNION ALL SELECT 'cost_' || s || '_' || y FROM s, y UNION ALL SELECT f || s FROM (SELECT unnest(['p95_next12m_', 'cvar95_next12m_']) AS f), s)
+    SELECT 'missing_key' AS problem, k AS key FROM need WHERE k NOT IN (SELECT key FROM n)
     UNION ALL SELECT 'duplicate_key', key FROM n GROUP BY key HAVING count(*) > 1
-    UNION ALL SELECT 'unverified_producer', key FROM n WHERE tag = 'VERIFIED' AND NOT starts_with(produced_by, 'ingest/') AND key NOT LIKE 'neg%'
-    UNION ALL SELECT 'unverified_producer', key FROM n WHERE tag = 'VERIFIED' AND key LIKE 'neg%'""")
+    UNION ALL SELECT 'unverified_producer', key FROM n WHERE tag = 'VERIFIED' AND NOT starts_with(produced_by, 'analytics/')""")
 def _(t: Feeds) -> DataFrame:
-    required = ["best_strategy_total", "garch_persistence", "wrong_strategy_cost_1996", "wrong_strategy_cost_2004"]
-    return gates.number_table_problems(numbers(t), required, ["ingest/"])
+    """Faults are added: a key given twice, one by a producer that cannot verify, one that is required but absent."""
+    published = numbers(t)
+    stray = t.spark.createDataFrame([("stray", "1", "EUR", "VERIFIED", "strategies/retrospective")], published.schema)
+    rows = published.unionByName(published.where("key = 'p_ref_base'")).unionByName(stray)
+    return gates.number_table_problems(rows, [*required_numbers(t), "next_month"], ["analytics/"])
 
 
 @query("q26_write_boundary", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wattlake.operators import stats
 from wattlake.plans import analytics
 from wattlake.queries.feeds import Feeds
-from wattlake.queries.oracle import regimes_sql
+from wattlake.queries.oracle import garch_sql, regimes_sql
 from wattlake.queries.registry import query
 
 
@@ -48,28 +48,11 @@ def _(t: Feeds) -> DataFrame:
         F.count("*").alias("days"), F.avg(F.abs("d_t")).alias("mean_abs_d_t"))
 
 
-ALPHAS = (0.02, 0.05, 0.1, 0.15, 0.2)
-BETAS = (0.5, 0.6, 0.7, 0.8, 0.9)
-
-
-@query("t04_garch_grid", f"""
-    WITH RECURSIVE x AS MATERIALIZED (SELECT zone, d_t, row_number() OVER (PARTITION BY zone ORDER BY date_local) AS i,
-               avg(d_t) OVER (PARTITION BY zone) AS mu, var_pop(d_t) OVER (PARTITION BY zone) AS v, count(*) OVER (PARTITION BY zone) AS n_obs
-        FROM (SELECT zone, date_local, p - lag(p) OVER (PARTITION BY zone ORDER BY date_local) AS d_t FROM ({ZONE_DAILY})) WHERE d_t IS NOT NULL),
-    g AS (SELECT alpha::DOUBLE AS alpha, beta::DOUBLE AS beta FROM (SELECT unnest([0.02, 0.05, 0.1, 0.15, 0.2]) AS alpha), (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS beta)
-          WHERE alpha + beta < 1),
-    f AS (SELECT zone, alpha, beta, i, v AS h, -0.5 * (ln(v) + (d_t - mu) * (d_t - mu) / v) AS ll, d_t, mu, v FROM x, g WHERE i = 1
-          UNION ALL
-          SELECT f.zone, alpha, beta, x.i, nh, ll - 0.5 * (ln(nh) + (x.d_t - x.mu) * (x.d_t - x.mu) / nh), x.d_t, x.mu, x.v
-          FROM (SELECT *, v * (1.0 - alpha - beta) + alpha * (d_t - mu) * (d_t - mu) + beta * h AS nh FROM f) f JOIN x ON x.zone = f.zone AND x.i = f.i + 1)
-    SELECT f.zone, n_obs, alpha, beta, f.v * (1.0 - alpha - beta) AS omega, ll AS log_likelihood,
-           sqrt(f.v * (1.0 - alpha - beta) + alpha * (f.d_t - f.mu) * (f.d_t - f.mu) + beta * h) AS next_vol, alpha + beta AS persistence
-    FROM f JOIN x ON x.zone = f.zone AND x.i = f.i WHERE f.i = n_obs
-    QUALIFY row_number() OVER (PARTITION BY f.zone ORDER BY ll DESC) = 1""",
+@query("t04_garch_grid", f"""{garch_sql(f'SELECT zone, date_local, p - lag(p) OVER (PARTITION BY zone ORDER BY date_local) AS d_t FROM ({ZONE_DAILY})')}""",
     "alpha beta omega:4 log_likelihood:3 next_vol:4 persistence")
 def _(t: Feeds) -> DataFrame:
     moves = analytics.daily_differences(zone_daily(t), ["zone"])
-    return stats.garch_grid(moves, ["zone"], "date_local", "d_t", ALPHAS, BETAS)
+    return stats.garch_grid(moves, ["zone"], "date_local", "d_t", stats.GARCH_ALPHAS, stats.GARCH_BETAS)
 
 
 DAILY_LOAD = """

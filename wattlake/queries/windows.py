@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlake.operators import quantiles, series
+from wattlake.config import MAIN_PROFILE, STRATEGY_DIM
+from wattlake.operators import quantiles, series, stats
 from wattlake.operators.dedup import duplicate_surplus
 from wattlake.operators.joins import fill_in_order
 from wattlake.operators.spine import holiday_dimension, month_spine
@@ -254,40 +257,72 @@ def _(t: Feeds) -> DataFrame:
     return month_spine(bounds)
 
 
-NUMBERS = """
-    SELECT 'wrong_strategy_cost_' || year AS key, printf('%.0f', max(cost_eur) - min(cost_eur)) AS value, 'EUR' AS unit,
-           'CALIBRATED' AS tag, 'strategies/retrospective' AS produced_by FROM annual GROUP BY year
-    UNION ALL SELECT 'annual_mean_price_' || year_local, printf('%.2f', avg(price_at_eur_mwh)), 'EUR/MWh', 'VERIFIED', 'analytics/descriptive'
-    FROM hourly WHERE price_at_eur_mwh IS NOT NULL GROUP BY year_local
-    UNION ALL SELECT 'neg_hours_' || year_local, (sum(n_negative_hours)::BIGINT)::VARCHAR, 'hours', 'VERIFIED', 'analytics/descriptive'
-    FROM monthly GROUP BY year_local
-    UNION ALL SELECT 'consumer_peak_share_' || profile, printf('%.4f', peak_share), 'share', 'CALIBRATED', 'consumer/profile' FROM peakshare
-    UNION ALL SELECT 'best_strategy_total', arg_min(strategy_id, c), 'strategy_id', 'CALIBRATED', 'strategies/retrospective'
-    FROM (SELECT strategy_id, sum(cost_eur) AS c FROM annual GROUP BY 1)"""
+NUMBERS = "SELECT * FROM published"
 
 
 def numbers(t: Feeds) -> DataFrame:
-    """The published numbers of three producers in one table."""
-
-    def rows(df: DataFrame, key, value, unit: str, tag: str, producer: str) -> DataFrame:  # noqa: ANN001
-        return df.select(key.alias("key"), value.alias("value"), F.lit(unit).alias("unit"),
-                         F.lit(tag).alias("tag"), F.lit(producer).alias("produced_by"))
-
-    annual = strategies.annual_summary(t.costs)
+    """The published numbers of all producers in one table; year-keyed market figures for complete years only."""
+    annual, base = strategies.annual_summary(t.costs), t.base_params
     wrong = strategies.wrong_strategy_cost(annual)
-    mean = analytics.priced_hours(t.hourly).groupBy("year_local").agg(F.avg("price_at_eur_mwh").alias("v"))
-    negative = t.monthly.groupBy("year_local").agg(F.sum("n_negative_hours").alias("v"))
     total = annual.groupBy("strategy_id").agg(F.sum("cost_eur").alias("c"))
     best = total.agg(F.min_by("strategy_id", F.struct("c", "strategy_id")).alias("v"))
-    out = rows(wrong, F.concat(F.lit("wrong_strategy_cost_"), F.col("year").cast("string")),
-               F.format_string("%.0f", "wrong_strategy_cost_eur"), "EUR", "CALIBRATED", "strategies/retrospective")
-    out = out.unionByName(rows(mean, F.concat(F.lit("annual_mean_price_"), F.col("year_local").cast("string")),
-                               F.format_string("%.2f", "v"), "EUR/MWh", "VERIFIED", "analytics/descriptive"))
-    out = out.unionByName(rows(negative, F.concat(F.lit("neg_hours_"), F.col("year_local").cast("string")),
-                               F.col("v").cast("string"), "hours", "VERIFIED", "analytics/descriptive"))
-    out = out.unionByName(rows(t.peak_share, F.concat(F.lit("consumer_peak_share_"), F.col("profile")),
-                               F.format_string("%.4f", "peak_share"), "share", "CALIBRATED", "consumer/profile"))
-    return out.unionByName(rows(best, F.lit("best_strategy_total"), F.col("v"), "strategy_id", "CALIBRATED", "strategies/retrospective"))
+    years = t.complete_years
+    hours = analytics.priced_hours(t.hourly).join(years, "year_local", "left_semi")
+    suffix = F.when(F.col("variant") == "unconditional", "").otherwise("_nocrisis")
+    metrics = t.risk_summary.select(
+        "strategy_id", suffix.alias("suffix"),
+        F.inline(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in ("mean", "p5", "p50", "p95", "cvar95")])),
+    )
+    moves = t.differences.withColumn("zone", F.lit("AT"))
+    garch = stats.garch_grid(moves, ["zone"], "date_local", "d_t", stats.GARCH_ALPHAS, stats.GARCH_BETAS)
+    profile = F.when(F.col("profile") == MAIN_PROFILE.name, "").otherwise(F.concat(F.lit("_"), "profile"))
+    key = lambda *parts: F.concat(*[F.lit(p) if p.endswith("_") else F.col(p).cast("string") for p in parts])
+    two, four = (lambda c: F.format_string("%.2f", c)), (lambda c: F.format_string("%.4f", c))
+    retrospective = [
+        (wrong, key("wrong_strategy_cost_", "year"), two("wrong_strategy_cost_eur"), "EUR"),
+        (wrong.agg(F.sum("wrong_strategy_cost_eur").alias("v")), F.lit("wrong_strategy_cost_total"), two("v"), "EUR"),
+        (annual, F.concat(key("cost_", "strategy_id"), F.lit("_"), key("year")), two("cost_eur"), "EUR"),
+        (annual, F.concat(key("unit_cost_", "strategy_id"), F.lit("_"), key("year")), four("unit_cost_eur_mwh"), "EUR/MWh"),
+        (total, key("cost5yr_", "strategy_id"), two("c"), "EUR"),
+        (best, F.lit("best_strategy_5yr"), F.col("v"), "strategy_id"),
+        *[(base, F.lit(c), four(c), unit) for c, unit in (
+            ("p_ref_base", "EUR/MWh"), ("p_ref_peak", "EUR/MWh"), ("oespi_base_ref", "index"), ("oespi_peak_ref", "index"))],
+    ]
+    negative = t.monthly.join(years, "year_local", "left_semi").groupBy("year_local").agg(F.sum("n_negative_hours").alias("v"))
+    descriptive = [
+        (hours.groupBy("year_local").agg(F.avg("price_at_eur_mwh").alias("v")), key("annual_mean_price_", "year_local"), two("v"), "EUR/MWh"),
+        (negative, key("neg_hours_", "year_local"), F.col("v").cast("string"), "hours"),
+        (risk.last_priced_month(t.monthly), F.lit("data_last_month"), F.date_format("last_month", "yyyy-MM"), "month"),
+    ]
+    spread = t.hourly.where("spread_at_delu_eur_mwh is not null").join(years, "year_local", "left_semi").groupBy("year_local").agg(
+        F.avg("spread_at_delu_eur_mwh").alias("v"))
+    families = [
+        ("CALIBRATED", "strategies/retrospective", retrospective),
+        ("CALIBRATED", "consumer/profile", [(t.peak_share, F.concat(F.lit("consumer_peak_share"), profile), four("peak_share"), "share")]),
+        ("SIMULATED", "strategies/forward_risk",
+         [(metrics, F.concat("m", F.lit("_next12m"), "suffix", F.lit("_"), "strategy_id"), two("v"), "EUR")]),
+        ("VERIFIED", "analytics/descriptive", descriptive),
+        ("VERIFIED", "analytics/spread", [(spread, key("spread_mean_", "year_local"), two("v"), "EUR/MWh")]),
+        ("VERIFIED", "analytics/volatility", [(garch, F.lit("garch_persistence"), four("persistence"), "ratio")]),
+    ]
+    parts = [
+        df.select(k.alias("key"), v.alias("value"), F.lit(unit).alias("unit"), F.lit(tag).alias("tag"), F.lit(producer).alias("produced_by"))
+        for tag, producer, rows in families
+        for df, k, v, unit in rows
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def required_numbers(t: Feeds) -> list[str]:
+    """Keys every publication must have, by the years and strategies of the configuration."""
+    years, ids = t.cfg.years, [s for s, _, _ in STRATEGY_DIM]
+    return [
+        "wrong_strategy_cost_total", "best_strategy_5yr", "p_ref_base", "p_ref_peak", "oespi_base_ref", "consumer_peak_share",
+        "garch_persistence", "data_last_month",
+        *[f"wrong_strategy_cost_{y}" for y in years], *[f"cost_{s}_{y}" for s in ids for y in years],
+        *[f"{m}_next12m_{s}" for m in ("p95", "cvar95") for s in ids],
+        *[f"{k}_{y}" for k in ("annual_mean_price", "neg_hours", "spread_mean") for y in years],
+    ]
 
 
 @query("u08_numbers_table", NUMBERS)
