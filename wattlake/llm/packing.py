@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 from wattlake.llm.common import stored, text_of
 from wattlake.llm.token_counts import byte_letters
 
-#: Words of a generation and parts of words that a worker remembers, up to 200 MB together. The
-#: words before the last full generation are forgotten; full parts start anew.
-CACHED_WORDS = 200_000
-CACHED_PARTS = 500_000
+#: Words, and parts of words, of one generation that a worker remembers; those before the last
+#: full generation are forgotten. Up to 150 MB together.
+CACHED_WORDS = 150_000
+CACHED_PARTS = 250_000
 #: Fixed value: the part pattern of the word-level vocabulary, which drops what it does not match.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Rounds of the multiplicative weights; each is one knapsack program.
@@ -71,7 +71,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.before = {"": b""}
+        self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -87,16 +87,19 @@ class WordIds(dict):
         self.letters = byte_letters()
         self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.parts: dict[str, bytes] = {}
+        self.parts_before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHED_WORDS:
             self.before = dict(self)
             self.clear()
-        ids = self.before.get(word)
+        ids = self.before.get(word) if word else b""
         if ids is not None:
             pass
         elif word.isalpha() and (low := lowered(word)).isalpha():  # nothing to split
             ids = self.part(low)
+        elif word[-1] in ".,;:!?" and (low := lowered(word[:-1])).isalpha():  # the end of a clause
+            ids = self.part(low) + self.part(word[-1])
         elif self.plain(word) and not self.special.search(word):
             ids = b"".join(map(self.part, self.split(lowered(word))))
         else:
@@ -105,12 +108,13 @@ class WordIds(dict):
         return ids
 
     def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
+        ids = self.parts.get(part) or self.parts_before.get(part)
         if ids is None:
-            if len(self.parts) > CACHED_PARTS:
-                self.parts.clear()
             spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            ids = self.parts[part] = b"".join([self.packed[t.id] for t in self.merge(spelled)])
+            ids = b"".join([self.packed[t.id] for t in self.merge(spelled)])
+        if len(self.parts) > CACHED_PARTS:
+            self.parts_before, self.parts = self.parts, {}
+        self.parts[part] = ids
         return ids
 
     def encode_whole(self, text: str) -> bytes:
