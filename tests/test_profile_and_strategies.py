@@ -152,3 +152,17 @@ def test_wrong_strategy_cost_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([(2021, "S1", 5.0), (2021, "S2", 5.0), (2021, "S3", 9.0)], "year int, strategy_id string, cost_eur double")
     r = strategies.wrong_strategy_cost(rows).first()
     assert (r.wrong_strategy_cost_eur, r.worst_strategy, r.best_strategy) == (4.0, "S3", "S1")
+
+
+def test_consumers_keep_their_own_prices_and_an_unlisted_one_is_an_error(spark):
+    s, x, p = closed_form(spark)
+    other = p.withColumn("profile", F.lit("other")).withColumn("p_ref_base", F.col("p_ref_base") * 2).withColumn("p_ref_peak", F.col("p_ref_peak") * 2)
+    both = s.unionByName(s.withColumn("profile", F.lit("other")))
+    got = strategies.annual_summary(strategies.monthly_costs(both, x, p.unionByName(other), CFG), ["profile"])
+    alone = strategies.annual_summary(strategies.monthly_costs(s, x, p, CFG))
+    mine = {(r.year, r.strategy_id): r.cost_eur for r in got.where("profile <> 'other'").collect()}
+    assert mine == pytest.approx({(r.year, r.strategy_id): r.cost_eur for r in alone.collect()})
+    theirs = {(r.year, r.strategy_id): r.cost_eur for r in got.where("profile = 'other'").collect()}
+    assert all(theirs[y, "S1"] == pytest.approx(mine[y, "S1"]) and theirs[y, "S2"] == pytest.approx(2 * mine[y, "S2"]) for y, _ in mine)
+    with pytest.raises(Exception, match="no strategy parameters for profile other"):
+        strategies.monthly_costs(both, x, p, CFG).collect()

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlake.config import FLAT_PROFILE, MAIN_PROFILE, StrategyConfig, hybrid_id
+from wattlake.config import FLAT_PROFILE, StrategyConfig, hybrid_id
 from wattlake.functions.exprs import avg_if, ratio, sum_if
 from wattlake.operators.series import above_group_min, rank_in_group
 
@@ -81,24 +81,28 @@ def anchors(reference: DataFrame, index: DataFrame, year: int) -> DataFrame:
 
 
 def scenario_grid(anchor_rows: DataFrame, shares: DataFrame, cfg: StrategyConfig, base_only: bool = False) -> DataFrame:
-    """Parameter table: the base case and each single-change scenario."""
-    main, flat = MAIN_PROFILE.name, FLAT_PROFILE.name
-    rows = [("base", main, cfg.premium, cfg.lock_months)]
+    """Parameter table: the base case and each single-change scenario of every consumer.
+
+    The flat load is itself a scenario; any other profile is a consumer with all of them.
+    """
+    rows = [("base", False, cfg.premium, cfg.lock_months)]
     if not base_only:
-        rows += [(f"premium_{p:g}", main, p, cfg.lock_months) for p in cfg.premium_grid]
+        rows += [(f"premium_{p:g}", False, p, cfg.lock_months) for p in cfg.premium_grid]
         rows += [
-            ("flat_baseload", flat, cfg.premium, cfg.lock_months),
-            ("lock_full_prior_year", main, cfg.premium, cfg.lock_months_alternative),
+            ("flat_baseload", True, cfg.premium, cfg.lock_months),
+            ("lock_full_prior_year", False, cfg.premium, cfg.lock_months_alternative),
         ]
     options = F.array(*[
-        F.struct(F.lit(name).alias("scenario"), F.lit(profile).alias("for_profile"),
+        F.struct(F.lit(name).alias("scenario"), F.lit(flat).alias("for_flat"),
                  F.lit(float(premium)).alias("premium"),
                  F.array(*[F.lit(m) for m in months]).alias("lock_months"))
-        for name, profile, premium, months in rows
+        for name, flat, premium, months in rows
     ])
-    # Explode the fixed options beside each profile's anchors, keep its own.
+    # Explode the fixed options beside each profile's anchors, keep its kind.
     joined = anchor_rows.join(shares.withColumnRenamed("peak_share", "w_peak"), "profile")
-    return joined.select("*", F.inline(options)).where("profile = for_profile").drop("for_profile")
+    return joined.select("*", F.inline(options)).where(
+        (F.col("profile") == FLAT_PROFILE.name) == F.col("for_flat")
+    ).drop("for_flat")
 
 
 def blended_price(base: Column, peak: Column, peak_available: bool = True) -> Column:
@@ -111,14 +115,15 @@ def blended_price(base: Column, peak: Column, peak_available: bool = True) -> Co
 
 
 def lock_prices(index: DataFrame, params: DataFrame, years: Sequence[int], peak_available: bool = True) -> DataFrame:
-    """Fixed price per scenario and delivery year, from last year's lock months only.
+    """Fixed price per consumer, scenario and delivery year, from last year's lock months only.
 
     Exploding the lock months makes this an equi join on the month; an
     incomplete window is an error rather than a mean over fewer months.
     """
     months = params.select("*", F.explode("lock_months").alias("month_local"))
     param_cols = params.columns
-    windows = index.where((F.col("year_local") + 1).isin(*years)).join(F.broadcast(months), "month_local")
+    # The index has one row per month; parameters have rows per consumer.
+    windows = months.join(F.broadcast(index.where((F.col("year_local") + 1).isin(*years))), "month_local")
     grouped = windows.groupBy(*param_cols, (F.col("year_local") + 1).alias("year_local")).agg(
         F.avg("oespi_base").alias("b"), F.avg("oespi_peak").alias("p"), F.count("oespi_base").alias("n")
     )
@@ -126,7 +131,7 @@ def lock_prices(index: DataFrame, params: DataFrame, years: Sequence[int], peak_
     checked = F.when(F.col("n") == F.size("lock_months"), price).otherwise(
         F.raise_error(F.concat(F.lit("lock window incomplete for "), F.col("year_local").cast("string"))).cast("double")
     )
-    return grouped.select("scenario", "year_local", checked.alias("lock_price"))
+    return grouped.select("profile", "scenario", "year_local", checked.alias("lock_price"))
 
 
 def missing_index_months(spot: DataFrame, index: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -137,23 +142,27 @@ def missing_index_months(spot: DataFrame, index: DataFrame, years: Sequence[int]
 def monthly_costs(
     spot: DataFrame, index: DataFrame, params: DataFrame, cfg: StrategyConfig
 ) -> DataFrame:
-    """Cost per scenario, month and strategy, long form.
+    """Cost per consumer, scenario, month and strategy, long form.
 
-    ``spot`` may hold any number of consumers; index and parameter tables are
-    bounded by the calendar and the configuration and are broadcast.
+    ``spot`` and ``params`` may hold any number of consumers and meet by profile; a consumer
+    without parameters is an error. The index is bounded by the calendar and is broadcast.
     """
     years = list(cfg.years)
     lock = lock_prices(index, params, years, cfg.peak_available)
+    listed = params.withColumn("listed", F.lit(True))
     months = (
         spot.where(F.col("year_local").isin(*years))
         .join(F.broadcast(index), ["year_local", "month_local"], "left")
-        .join(F.broadcast(params), "profile")
-        .join(F.broadcast(lock), ["scenario", "year_local"], "left")
+        .join(listed, "profile", "left")
+        .join(lock, ["profile", "scenario", "year_local"], "left")
+    )
+    priced = F.when(F.col("listed"), F.col("spot_cost_eur")).otherwise(
+        F.raise_error(F.concat(F.lit("no strategy parameters for profile "), F.col("profile"))).cast("double")
     )
     base = F.when(F.col("oespi_base").isNotNull(), F.col("oespi_base")).otherwise(
         F.raise_error(F.lit("index missing for a priced month")).cast("double")
     )
-    spot_cost, volume = F.col("spot_cost_eur"), F.col("volume_mwh")
+    spot_cost, volume = priced, F.col("volume_mwh")
     fixed = volume * F.col("lock_price")
     costs = [
         ("S1", spot_cost),
@@ -163,7 +172,7 @@ def monthly_costs(
     ]
     long = F.array(*[F.struct(F.lit(sid).alias("strategy_id"), c.alias("cost_eur")) for sid, c in costs])
     return months.select(
-        "scenario", "year_local", "month_local", "volume_mwh", F.inline(long)
+        "profile", "scenario", "year_local", "month_local", "volume_mwh", F.inline(long)
     ).withColumn("unit_cost_eur_mwh", F.col("cost_eur") / F.col("volume_mwh"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.config import FLAT_PROFILE, MAIN_PROFILE
+from wattlake.functions.exprs import sum_if
 from wattlake.operators.checks import assert_contract
 from wattlake.plans import marts, profile, strategies
 from wattlake.queries.feeds import Feeds
@@ -83,6 +84,24 @@ def _(t: Feeds) -> DataFrame:
     return t.spot
 
 
+def segment_load(t: Feeds) -> DataFrame:
+    """Many consumers: measured load per customer segment and hour."""
+    stamp = F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber") * 3)
+    items = t.lineitem.select("l_orderkey", stamp.alias("ts_utc"), "l_quantity")
+    owners = t.orders.select("o_orderkey", "o_custkey").join(
+        t.table("customer").select("c_custkey", F.col("c_mktsegment").alias("profile")),
+        F.col("o_custkey") == F.col("c_custkey"))
+    return items.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("profile", "ts_utc").agg(
+        F.sum("l_quantity").alias("load_mwh"))
+
+
+SEGMENT_HOURS = """
+    SELECT l.*, h.year_local, h.month_local, h.is_peak_hour, h.price_at_eur_mwh AS p
+    FROM (SELECT c_mktsegment AS profile, l_shipdate + to_hours(l_linenumber * 3) AS ts_utc, sum(l_quantity)::DOUBLE AS q
+          FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) l
+    JOIN hourly h ON h.ts_utc = l.ts_utc"""
+
+
 @query("d11_monthly_spot_per_market_segment", """
     SELECT c_mktsegment AS segment, h.year_local, h.month_local, sum(q) FILTER (WHERE price_at_eur_mwh IS NOT NULL) AS volume_mwh,
            sum(q * price_at_eur_mwh) AS spot_cost_eur, count(*) FILTER (WHERE price_at_eur_mwh IS NULL) AS dropped_hours,
@@ -92,15 +111,35 @@ def _(t: Feeds) -> DataFrame:
     JOIN hourly h ON h.ts_utc = l.ts_utc GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE price_at_eur_mwh IS NOT NULL) > 0""",
     "volume_mwh:4 spot_cost_eur:4")
 def _(t: Feeds) -> DataFrame:
-    # Many consumers: measured load per customer segment and hour.
-    stamp = F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber") * 3)
-    items = t.lineitem.select("l_orderkey", stamp.alias("ts_utc"), "l_quantity")
-    owners = t.orders.select("o_orderkey", "o_custkey").join(
-        t.table("customer").select("c_custkey", F.col("c_mktsegment").alias("segment")),
-        F.col("o_custkey") == F.col("c_custkey"))
-    load = items.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("segment", "ts_utc").agg(
-        F.sum("l_quantity").alias("load_mwh"))
-    return strategies.monthly_spot(load, t.hourly, ["segment"])
+    return strategies.monthly_spot(segment_load(t).withColumnRenamed("profile", "segment"), t.hourly, ["segment"])
+
+
+@query("d16_costs_per_market_segment", f"""
+    WITH hrs AS ({SEGMENT_HOURS}),
+    par AS (SELECT r.*, w, (SELECT avg(oespi_base) FROM obs WHERE year_local = 1995) AS ob, (SELECT avg(oespi_peak) FROM obs WHERE year_local = 1995) AS op
+            FROM (SELECT profile, sum(q * p) / sum(q) AS rb, avg(p) FILTER (WHERE is_peak_hour) * (sum(q * p) / sum(q)) / avg(p) AS rp
+                  FROM hrs WHERE p IS NOT NULL AND year_local = 1995 GROUP BY 1) r
+            JOIN (SELECT profile, sum(q) FILTER (WHERE is_peak_hour) / sum(q) AS w FROM hrs GROUP BY 1) s ON s.profile = r.profile),
+    lock AS (SELECT profile, year_local + 1 AS y, rb * avg(oespi_base) / ob * (1 - w) + rp * avg(oespi_peak) / op * w + 5.0::DOUBLE AS price
+             FROM par, obs WHERE month_local >= 7 GROUP BY profile, rb, rp, ob, op, w, year_local),
+    mon AS (SELECT profile, year_local, month_local, sum(q) AS v, sum(q * p) AS s1 FROM hrs WHERE p IS NOT NULL AND year_local BETWEEN 1996 AND 2000 GROUP BY 1, 2, 3),
+    cost AS (SELECT m.profile, m.year_local AS year, v, s1, v * (rb * oespi_base / ob * (1 - w) + rp * oespi_peak / op * w) AS s2, v * price AS s3
+             FROM mon m JOIN par ON par.profile = m.profile JOIN lock ON lock.profile = m.profile AND y = m.year_local
+             JOIN obs o ON o.year_local = m.year_local AND o.month_local = m.month_local)
+    SELECT profile, year, sum(v) AS volume_mwh, sum(s1) AS s1_eur, sum(s2) AS s2_eur, sum(s3) AS s3_eur, sum(0.5::DOUBLE * s1 + 0.5::DOUBLE * s3) AS s4_50_eur
+    FROM cost GROUP BY 1, 2""", "volume_mwh:3 s1_eur:1 s2_eur:1 s3_eur:1 s4_50_eur:1")
+def _(t: Feeds) -> DataFrame:
+    """Every strategy for each customer segment, with its own reference prices and peak share."""
+    load, year = segment_load(t), t.cfg.reference_year
+    peak = t.hourly.select("ts_utc", "is_peak_hour")
+    shares = load.join(peak, "ts_utc").groupBy("profile").agg(
+        (sum_if(F.col("is_peak_hour"), F.col("load_mwh")) / F.sum("load_mwh")).alias("peak_share"))
+    anchors = strategies.anchors(strategies.reference_stats(load, t.hourly, year), t.observed_index, year)
+    params = strategies.scenario_grid(anchors, shares, t.cfg, base_only=True)
+    costs = strategies.monthly_costs(strategies.monthly_spot(load, t.hourly), t.observed_index, params, t.cfg)
+    annual = strategies.annual_summary(costs, ["profile"])
+    of = lambda s: F.max(F.when(F.col("strategy_id") == s, F.col("cost_eur"))).alias(f"{s.lower()}_eur")
+    return annual.groupBy("profile", "year").agg(F.max("volume_mwh").alias("volume_mwh"), *[of(s) for s in ("S1", "S2", "S3", "S4_50")])
 
 
 @query("d12_reference_year_stats", "SELECT * FROM refstats",

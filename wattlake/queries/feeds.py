@@ -245,7 +245,7 @@ class Feeds:
 
     @cached_property
     def costs(self) -> DataFrame:
-        return self.scenario_costs.where("scenario = 'base'").drop("scenario")
+        return self.scenario_costs.where("scenario = 'base'").drop("scenario", "profile")
 
     # ---- forward risk ---------------------------------------------------------
     @cached_property

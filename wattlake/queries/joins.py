@@ -188,15 +188,14 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("j18_year_price_map", """
-    SELECT p.year_local, p.month_local, p.volume_mwh * l.lock_price AS cost_eur FROM spot p
-    JOIN locks l ON l.year_local = p.year_local AND l.scenario = 'base' WHERE p.profile = 'main'""", "cost_eur:2")
+    SELECT p.profile, l.scenario, p.year_local, p.month_local, p.volume_mwh * l.lock_price AS cost_eur FROM spot p
+    JOIN locks l ON l.year_local = p.year_local AND l.profile = p.profile""", "cost_eur:2")
 def _(t: Feeds) -> DataFrame:
     from wattlake.plans import strategies
 
-    lock = strategies.lock_prices(t.observed_index, t.base_params, t.cfg.years).drop("scenario")
-    # One row per configured delivery year.
-    return t.spot.where("profile = 'main'").join(F.broadcast(lock), "year_local").select(
-        "year_local", "month_local", (F.col("volume_mwh") * F.col("lock_price")).alias("cost_eur"))
+    lock = strategies.lock_prices(t.observed_index, t.scenarios, t.cfg.years)
+    return t.spot.join(lock, ["profile", "year_local"]).select(
+        "profile", "scenario", "year_local", "month_local", (F.col("volume_mwh") * F.col("lock_price")).alias("cost_eur"))
 
 
 @query("j19_scenario_grid", """

@@ -274,19 +274,19 @@ EXPRESSIONS: dict[str, str] = {
                      ('lock_full_prior_year', 'main', 5.0::DOUBLE, [1,2,3,4,5,6,7,8,9,10,11,12])) s(scenario, profile, premium, lock_months)
         JOIN anc a ON a.profile = s.profile JOIN peakshare p ON p.profile = s.profile""",
     "locks": """
-        SELECT scenario, year_local + 1 AS year_local,
+        SELECT profile, scenario, year_local + 1 AS year_local,
                any_value(p_ref_base) * avg(oespi_base) / any_value(oespi_base_ref) * (1 - any_value(w_peak))
                + any_value(p_ref_peak) * avg(oespi_peak) / any_value(oespi_peak_ref) * any_value(w_peak) + any_value(premium) AS lock_price
         FROM scen JOIN obs ON list_contains(lock_months, month_local)
-        WHERE year_local + 1 BETWEEN 1996 AND 2000 GROUP BY 1, 2""",
+        WHERE year_local + 1 BETWEEN 1996 AND 2000 GROUP BY 1, 2, 3""",
     "scencosts": """
-        SELECT scenario, year_local, month_local, kv.k AS strategy_id, volume_mwh, kv.v AS cost_eur,
+        SELECT profile, scenario, year_local, month_local, kv.k AS strategy_id, volume_mwh, kv.v AS cost_eur,
                kv.v / volume_mwh AS unit_cost_eur_mwh FROM (
             SELECT *, unnest([{'k': 'S1', 'v': s1}, {'k': 'S2', 'v': s2}, {'k': 'S3', 'v': s3},
                               {'k': 'S4_30', 'v': 0.3::DOUBLE * s3 + 0.7::DOUBLE * s1},
                               {'k': 'S4_50', 'v': 0.5::DOUBLE * s3 + 0.5::DOUBLE * s1},
                               {'k': 'S4_70', 'v': 0.7::DOUBLE * s3 + (1.0::DOUBLE - 0.7::DOUBLE) * s1}]) AS kv
-            FROM (SELECT s.scenario, p.year_local, p.month_local, p.volume_mwh, p.spot_cost_eur AS s1,
+            FROM (SELECT p.profile, s.scenario, p.year_local, p.month_local, p.volume_mwh, p.spot_cost_eur AS s1,
                          p.volume_mwh * (p_ref_base * oespi_base / oespi_base_ref * (1 - w_peak)
                                          + p_ref_peak * oespi_peak / oespi_peak_ref * w_peak) AS s2,
                          p.volume_mwh * lock_price AS s3
@@ -294,7 +294,7 @@ EXPRESSIONS: dict[str, str] = {
                   LEFT JOIN obs o ON o.year_local = p.year_local AND o.month_local = p.month_local
                   LEFT JOIN locks l ON l.scenario = s.scenario AND l.year_local = p.year_local
                   WHERE p.year_local BETWEEN 1996 AND 2000))""",
-    "costs": "SELECT * EXCLUDE (scenario) FROM scencosts WHERE scenario = 'base'",
+    "costs": "SELECT * EXCLUDE (scenario, profile) FROM scencosts WHERE scenario = 'base'",
     "annual": """
         SELECT year, strategy_id, volume_mwh, cost_eur, cost_eur / volume_mwh AS unit_cost_eur_mwh,
                cost_eur - min(cost_eur) OVER (PARTITION BY year) AS delta_vs_min_eur,
