@@ -27,12 +27,12 @@ from wattlake.llm.common import stored, text_of
 
 WORDS = 5
 #: Bins, a power of two and a multiple of the bins in one long.
-BIN_BITS = 8
+BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BITS = 4
 PER_LONG = 64 // BITS
 #: Probes of an empty bin before all bins are put in its order at once.
-PROBES = 16
+PROBES = 12
 
 
 def _bin(h: Column) -> Column:
