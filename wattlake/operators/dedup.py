@@ -57,6 +57,10 @@ def duplicate_surplus(df: DataFrame, keys: Sequence[str], group: Sequence[str])
     )
 
 
+#: Copies of a row that one array holds.
+COPY_SLICE = 4096
+
+
 def drop_refetched(df: DataFrame, response: str, data_cols: Sequence[str]) -> DataFrame:
     """Union of ordered responses without rows an earlier response already delivered.
 
@@ -69,8 +73,10 @@ def drop_refetched(df: DataFrame, response: str, data_cols: Sequence[str]) -> Da
     first = per_response.groupBy(*data_cols).agg(
         F.min(F.struct(F.col(response), F.col("copies"))).alias("first")
     )
-    return first.select(
-        *data_cols,
-        F.col(f"first.{response}").alias(response),
-        F.explode(F.sequence(F.lit(1), F.col("first.copies").cast("int"))).alias("copy_no"),
-    ).drop("copy_no")
+    # Copies are written out slice by slice, so no row ever holds an array of all of them.
+    sliced = first.select(
+        *data_cols, F.col(f"first.{response}").alias(response), F.col("first.copies").alias("copies"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("first.copies") - 1, F.lit(COPY_SLICE).cast("bigint"))).alias("start"),
+    )
+    size = F.least(F.lit(COPY_SLICE).cast("bigint"), F.col("copies") - F.col("start")).cast("int")
+    return sliced.select(*data_cols, response, F.explode(F.sequence(F.lit(1), size)).alias("copy_no")).drop("copy_no")

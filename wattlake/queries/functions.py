@@ -9,6 +9,7 @@ from wattlake.config import MAIN_PROFILE
 from wattlake.functions import exprs, hashing, text
 from wattlake.functions import timecols as tc
 from wattlake.queries.feeds import Feeds
+from wattlake.queries.oracle import checksum_sql
 from wattlake.queries.registry import query
 from wattlake.queries.windows import NUMBERS, numbers
 
@@ -147,11 +148,12 @@ def _(t: Feeds) -> DataFrame:
     return hashing.series_checksum(t.main_load, ["year_local"], "ts_utc", "load_mwh")
 
 
-@query("f14_table_checksum", """
-    SELECT 'orders' AS table_name, count(*) AS n_rows,
-           (sum(('0x' || substr(md5(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus), 1, 12))::BIGINT))::VARCHAR AS checksum FROM orders""")
+@query("f14_table_checksum", f"""
+    SELECT 'orders' AS table_name, count(*) AS n_rows, {checksum_sql("d")} AS checksum FROM (
+        SELECT md5(concat_ws(chr(31), o_orderkey, o_custkey, o_orderstatus, o_totalprice::VARCHAR, o_orderdate::TIMESTAMP::VARCHAR, o_orderpriority)) AS d FROM orders)""")
 def _(t: Feeds) -> DataFrame:
-    return hashing.table_checksum(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "orders")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    return hashing.table_checksum(t.orders.select(*columns), "orders")
 
 
 @query("f15_array_and_map_lookup", """

@@ -40,6 +40,12 @@ def regimes_sql(moves: str, key: str) -> str:
     SELECT *, ['calm', 'elevated', 'crisis'][list_position(d, list_max(d))] AS regime FROM density"""
 
 
+def checksum_sql(digest: str) -> str:
+    """Sums of both halves of a column of md5 digests."""
+    half = lambda at: f"sum(('0x' || substr({digest}, {at}, 16))::UBIGINT)::VARCHAR"
+    return f"{half(1)} || ':' || {half(17)}"
+
+
 def garch_sql(moves: str) -> str:
     """GARCH(1,1) grid of each ``zone`` of ``moves`` as a recursion over its days."""
     return f"""

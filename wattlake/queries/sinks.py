@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattlake.config import STRATEGY_DIM
 from wattlake.plans import strategies
 from wattlake.queries.feeds import Feeds
+from wattlake.queries.oracle import checksum_sql
 from wattlake.queries.registry import query
 from wattlake.queries.windows import NUMBERS, numbers
 from wattlake.session import scratch_dir
@@ -72,13 +73,19 @@ def _(t: Feeds) -> DataFrame:
     return out
 
 
-@query("k04_export_manifest", """
-    SELECT 'data_quality_monthly' AS table_name, count(*) AS n_rows, (sum(('0x' || substr(md5(concat_ws(chr(31), year_local, month_local, expected_hours, priced_hours_at, priced_hours_delu, load_hours,
-               weather_days, days_in_month, coverage_at_pct::VARCHAR, n_dst_days, n_hours_from_pt15m, resolution, n_negative_hours, has_oespi::VARCHAR)), 1, 12))::BIGINT))::VARCHAR AS checksum FROM dq
-    UNION ALL SELECT 'dim_strategy', count(*), (sum(('0x' || substr(md5(concat_ws(chr(31), strategy_id, strategy_name, 'Strategy ' || strategy_id, sort_order, '#333333', description)), 1, 12))::BIGINT))::VARCHAR FROM dimstrategy""")
+@query("k04_export_manifest", f"""
+    SELECT 'data_quality_monthly' AS table_name, count(*) AS n_rows, {checksum_sql("d")} AS checksum FROM (
+        SELECT md5(concat_ws(chr(31), year_local, month_local, expected_hours, priced_hours_at, priced_hours_delu, load_hours, weather_days,
+                             days_in_month, coverage_at_pct::VARCHAR, n_dst_days, n_hours_from_pt15m, resolution, n_negative_hours, has_oespi::VARCHAR)) AS d FROM dq)
+    UNION ALL SELECT 'dim_strategy', count(*), {checksum_sql("d")} FROM (
+        SELECT md5(concat_ws(chr(31), strategy_id, strategy_name, 'Strategy ' || strategy_id, sort_order, '#333333', description)) AS d FROM dimstrategy)
+    UNION ALL SELECT 'ssot', count(*), {checksum_sql("d")} FROM (
+        SELECT md5(concat_ws(chr(31), key, value, unit, tag, produced_by)) AS d FROM ({NUMBERS}))
+    UNION ALL SELECT 'provenance', count(*), {checksum_sql("d")} FROM (
+        SELECT md5(concat_ws(chr(31), 'false', strftime(last_month, '%Y-%m'), '2002-01-01')) AS d FROM lastmonth)""")
 def _(t: Feeds) -> DataFrame:
     frames = export_inputs(t)
-    return sinks.export_manifest({n: frames[n] for n in ("data_quality_monthly", "dim_strategy")})
+    return sinks.export_manifest({n: frames[n] for n in ("data_quality_monthly", "dim_strategy", "ssot", "provenance")})
 
 
 @query("k06_numbers_by_producer", f"""
