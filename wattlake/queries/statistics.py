@@ -91,7 +91,7 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("t06_daily_load_join", f"""
-    SELECT date_local, load_mean_mw, is_free AS is_weekend_or_holiday, month_local, hdd_18 FROM ({DAILY_LOAD})""", "load_mean_mw hdd_18:3")
+    SELECT date_local, load_mean_mw, is_free AS is_weekend_or_holiday, month_local, hdd_18 FROM ({DAILY_LOAD})""", "load_mean_mw:8 hdd_18:3")
 def _(t: Feeds) -> DataFrame:
     return analytics.daily_load(t.hourly, t.daily)
 
