@@ -66,11 +66,12 @@ class WordIds(dict):
     new parts are merged by the tokenizer's model; any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS, cached_parts: int = CACHED_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.cached_words, self.cached_parts = cached_words, cached_parts
         self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -90,7 +91,7 @@ class WordIds(dict):
         self.parts_before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHED_WORDS:
+        if len(self) > self.cached_words:
             self.before = dict(self)
             self.clear()
         ids = self.before.get(word) if word else b""
@@ -112,7 +113,7 @@ class WordIds(dict):
         if ids is None:
             spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
             ids = b"".join([self.packed[t.id] for t in self.merge(spelled)])
-        if len(self.parts) > CACHED_PARTS:
+        if len(self.parts) > self.cached_parts:
             self.parts_before, self.parts = self.parts, {}
         self.parts[part] = ids
         return ids
@@ -132,21 +133,22 @@ def lowered(word: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cached_words: int, cached_parts: int) -> WordIds:
     """One cache per Python worker, kept from task to task."""
-    return WordIds(path)
+    return WordIds(path, cached_words, cached_parts)
 
 
 def pieces(
-    docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+    cached_words: int = CACHED_WORDS, cached_parts: int = CACHED_PARTS,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``: every text's ids and the end id, cut at ``capacity``.
 
-    ``ids`` are little-endian 32-bit integers.
+    ``ids`` are little-endian 32-bit integers. Smaller caches trade CPU time for workers' memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = word_ids(path), np.array([end_id], "<u4").tobytes()
+        coder, end = word_ids(path, cached_words, cached_parts), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys = batch.column(0)
             row, piece, start, length, ids, size = [], [], [], [], [], 0
@@ -347,8 +349,10 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFrame:
-    """Pieces of all documents with their ids and their place; the ids are written once, as a table."""
-    cut = stored(pieces(docs, path, capacity, end_id))
+def pack_documents(
+    docs: DataFrame, path: str, capacity: int, end_id: int = 0, cached_words: int = CACHED_WORDS, cached_parts: int = CACHED_PARTS
+) -> DataFrame:
+    """Pieces of all documents with the checksum of their ids and their place; the ids are written once, as a table."""
+    cut = stored(pieces(docs, path, capacity, end_id, cached_words=cached_words, cached_parts=cached_parts))
     narrow = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(narrow, capacity)
