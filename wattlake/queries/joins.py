@@ -16,11 +16,11 @@ from wattlake.sources.tables import strategy_dimension
 
 
 @query("j01_spine_left_join", """
-    SELECT c.ts_utc, p.price_eur_mwh, l.load_mw FROM cal c
-    LEFT JOIN (SELECT * FROM prices WHERE zone = 'AT') p ON p.ts_utc = c.ts_utc LEFT JOIN sysload l ON l.ts_utc = c.ts_utc""",
+    SELECT c.ts_utc, p.zone, p.price_eur_mwh, l.load_mw FROM cal c
+    LEFT JOIN prices p ON p.ts_utc = c.ts_utc LEFT JOIN sysload l ON l.ts_utc = c.ts_utc""",
     "price_eur_mwh load_mw")
 def _(t: Feeds) -> DataFrame:
-    price = t.prices.where("zone = 'AT'").select("ts_utc", "price_eur_mwh")
+    price = t.prices.select("ts_utc", "zone", "price_eur_mwh")
     return t.calendar.select("ts_utc").join(price, "ts_utc", "left").join(t.load, "ts_utc", "left")
 
 
@@ -31,23 +31,24 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("j03_fact_calendar_inner_join", """
-    SELECT c.year_local, c.month_local, c.is_peak_hour, count(*) AS n, avg(p.price_eur_mwh) AS mean_price
-    FROM prices p JOIN cal c ON c.ts_utc = p.ts_utc WHERE zone = 'DE_LU' GROUP BY 1, 2, 3""", "mean_price")
+    SELECT p.zone, c.year_local, c.month_local, c.is_peak_hour, count(*) AS n, avg(p.price_eur_mwh) AS mean_price
+    FROM prices p JOIN cal c ON c.ts_utc = p.ts_utc GROUP BY 1, 2, 3, 4""", "mean_price")
 def _(t: Feeds) -> DataFrame:
-    rows = t.prices.where("zone = 'DE_LU'").join(
+    rows = t.prices.join(
         t.calendar.select("ts_utc", "year_local", "month_local", "is_peak_hour"), "ts_utc")
-    return rows.groupBy("year_local", "month_local", "is_peak_hour").agg(
+    return rows.groupBy("zone", "year_local", "month_local", "is_peak_hour").agg(
         F.count("*").alias("n"), F.avg("price_eur_mwh").alias("mean_price"))
 
 
 @query("j04_three_way_inner_join", """
-    SELECT c.year_local, count(*) AS n, sum(l.load_mwh * h.price_at_eur_mwh) AS cost
+    SELECT l.profile, c.year_local, count(*) AS n, sum(l.load_mwh * h.price_at_eur_mwh) AS cost
     FROM conload l JOIN dimcal c ON c.ts_utc = l.ts_utc JOIN hourly h ON h.ts_utc = l.ts_utc
-    WHERE l.profile = 'main' AND h.price_at_eur_mwh IS NOT NULL GROUP BY 1""", "cost:2")
+    WHERE h.price_at_eur_mwh IS NOT NULL GROUP BY 1, 2""", "cost:2")
 def _(t: Feeds) -> DataFrame:
     price = t.hourly.where("price_at_eur_mwh is not null").select("ts_utc", "price_at_eur_mwh")
-    rows = t.main_load.select("ts_utc", "load_mwh").join(t.calendar.select("ts_utc", "year_local"), "ts_utc").join(price, "ts_utc")
-    return rows.groupBy("year_local").agg(
+    load = t.consumer_load.select("profile", "ts_utc", "load_mwh")
+    rows = load.join(t.calendar.select("ts_utc", "year_local"), "ts_utc").join(price, "ts_utc")
+    return rows.groupBy("profile", "year_local").agg(
         F.count("*").alias("n"), F.sum(F.col("load_mwh") * F.col("price_at_eur_mwh")).alias("cost"))
 
 
