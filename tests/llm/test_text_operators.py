@@ -201,6 +201,43 @@ def test_near_duplicate_stage_keeps_one_of_each_class(make, tmp_path):
     assert len(set(ids) - first) <= 2
 
 
+def edited_copies(rng, word, kinds, low=0.82, high=0.9):
+    """``(base, copy)`` texts of 600 words with a passage appended, cut off or replaced, at a similarity between the bounds."""
+    out = []
+    for k in range(kinds * 3):
+        base = [word() for _ in range(600)]
+        j = rng.uniform(low, high)
+        n = round(600 * (1 - j)) if k % 3 else round(600 * (1 / j - 1))
+        if k % 3 == 0:
+            copy = base + [word() for _ in range(n)]
+        elif k % 3 == 1:
+            copy = base[: 600 - n]
+        else:
+            n = round(600 * (1 - j) / (1 + j)) - 5
+            at = rng.randrange(600 - n)
+            copy = base[:at] + [word() for _ in range(n)] + base[at + n :]
+        out.append((" ".join(base), " ".join(copy)))
+    return out
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicate_search_finds_added_cut_and_replaced_passages(make, tmp_path):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    pairs = edited_copies(rng, word, 20)
+    assert all(jaccard(a, b) >= 0.8 for a, b in pairs)
+    rows = simhash.band_rows(0.8)
+    assert (1 - 0.8**rows) ** (simhash.MIN_HASHES // rows) <= 1e-5
+    keys = lambda t: simhash.band_keys(simhash.min_hashes(simhash.shingles(t.encode())), rows)
+    assert all((keys(a) == keys(b)).any() for a, b in pairs)
+    kept = {r["doc_id"] for r in simhash.keep_one(make(tmp_path, [t for pair in pairs for t in pair])).collect()}
+    assert len(kept & set(range(1, 2 * len(pairs), 2))) <= 3
+
+
 def test_language_id(spark, sf_dir, make, tmp_path):
     docs = documents(spark, "/root/testdata/sf0.01")
     model = language_id.learn(docs.where(language_id.fold() != 0))

@@ -29,7 +29,7 @@ kept by ``keep_one``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -50,15 +50,12 @@ WIDE_PIVOTS = 8
 #: Fingerprints of one key that are compared pair by pair.
 BLOCK = 16
 HASH_SEED = 42
-#: Search fingerprints of a stage: how many, their bits, and the words of their shingles.
-VIEWS = 4
-VIEW_BITS = 40
-SEARCH_WORDS = 2
-#: Deciding fingerprint of a stage: longs of 64 bits, words of its shingles, and the standard
-#: deviations that a pair at the wanted similarity may lie beyond its expected distance.
-CHECK_LONGS = 4
-CHECK_WORDS = 5
-TOLERANCE = 1.0
+#: Near-duplicate stage: words of a shingle, min-hashes of a set, and the most probability that the
+#: search misses a pair at the wanted similarity.
+SET_WORDS = 5
+MIN_HASHES = 160
+MISSED = 1e-5
+FACTORS, OFFSETS = np.random.default_rng(11).integers(0, 1 << 63, (2, MIN_HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, words_per_shingle: int) -> int:
@@ -209,90 +206,104 @@ def near_duplicates(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def signature(text: bytes) -> np.ndarray:
-    """``VIEWS`` fingerprints of ``VIEW_BITS`` bits over word pairs, then ``CHECK_LONGS`` longs over five-word shingles.
-
-    Both are over sets: a line repeated many times does not make texts alike.
-    """
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles; a line repeated many times does not make texts alike."""
     words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) <= SET_WORDS:
+        parts = [b" ".join(words)]
+    else:
+        parts = set(map(b" ".join, zip(*[words[i:] for i in range(SET_WORDS)], strict=False)))
     digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(p, HASH_SEED) for p in parts]), ">u8").astype(np.uint64))
 
-    def votes(per_shingle: int, bits: int) -> np.ndarray:
-        if len(words) <= per_shingle:
-            shingles = [b" ".join(words)]
-        else:
-            shingles = set(map(b" ".join, zip(*[words[i:] for i in range(per_shingle)], strict=False)))
-        h = np.frombuffer(b"".join([digest(s, HASH_SEED) for s in shingles]), ">u8").astype(np.uint64)
-        total = np.zeros(bits, np.int64)
-        for at in range(0, bits, 64):  # more bits of a shingle by mixing its hash
-            mixed = (h + np.uint64(at + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            mixed ^= mixed >> np.uint64(31)
-            many = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
-            total[at : at + 64] = many.sum(0, dtype=np.int64)[: bits - at]
-        return 2 * total > len(h)
 
-    if not words:
-        return np.zeros(VIEWS + CHECK_LONGS, np.int64)
-    views = np.zeros((VIEWS, 64), np.uint8)
-    views[:, 64 - VIEW_BITS :] = votes(SEARCH_WORDS, -(-VIEWS * VIEW_BITS // 64) * 64)[: VIEWS * VIEW_BITS].reshape(VIEWS, VIEW_BITS)
-    check = votes(CHECK_WORDS, CHECK_LONGS * 64).reshape(CHECK_LONGS, 64)
-    return np.packbits(np.concatenate([views, check]), axis=1).view(">i8").astype(np.int64).reshape(-1)
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """``MIN_HASHES`` least values; two sets agree in one with the probability of their Jaccard similarity."""
+    least = np.full(MIN_HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[at : at + 512] * FACTORS + OFFSETS).min(1))
+    return least
+
+
+def band_rows(similarity: float) -> int:
+    """Most min-hashes of a band such that a pair at ``similarity`` misses every band with at most ``MISSED`` probability."""
+    return max(
+        (r for r in range(1, MIN_HASHES + 1) if (1 - similarity**r) ** (MIN_HASHES // r) <= MISSED), default=1
+    )
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    """One hash for each band of ``rows`` min-hashes."""
+    bands = least[: len(least) // rows * rows].reshape(-1, rows)
+    keys = np.arange(1, len(bands) + 1, dtype=np.uint64)
+    for i in range(rows):
+        keys = (keys ^ bands[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """``(doc_id, text_hash, node, keys, sketch)`` of every row; one pass over the texts.
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, text_hash, signature)`` of every row; one pass over the texts."""
+    ``node`` stands for the shingle set, ``sketch`` holds a byte of each min-hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = VIEWS + CHECK_LONGS
-            found = [signature(t.as_py()) for t in batch.column(2)]
-            values = pa.array(np.concatenate([*found, np.empty(0, np.int64)]))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, n, np.int32)), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "text_hash", "signature"])
-
-    rows = docs.select(
+            nodes, keys, marks = [], [], []
+            for text in batch.column(2):
+                found = shingles(text.as_py())
+                least = min_hashes(found)
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), HASH_SEED))
+                keys.append(band_keys(least, rows))
+                marks.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
+            flat = pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, MIN_HASHES // rows, np.int32)), flat)
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "keys", "sketch"])
+
+    texts = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.xxhash64(text_of(text_col)).alias("text_hash"),
         text_of(text_col).cast("binary").alias("text"),
     )
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, signature array<long>")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>, sketch binary")
+
+
+def _judged(pairs: DataFrame, sides: DataFrame, value: str, judge: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs ``(u, v)`` whose values in ``sides`` pass ``judge``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = [judge(p, q) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(fit, pa.bool_()))
+
+    left = sides.select(F.col("node").alias("u"), F.col(value).alias("p"))
+    right = sides.select(F.col("node").alias("v"), F.col(value).alias("q"))
+    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "p", "q")
+    return stored(joined.mapInArrow(run, "u long, v long"))
 
 
 def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(root, first)``: one row per class of documents whose five-word shingle sets are alike to ``similarity``.
 
-    A single 64-bit fingerprint of five-word shingles differs in about ten bits
-    at a Jaccard similarity of 0.8, which no pivot table can search. So the search runs
-    over ``VIEWS`` short fingerprints of word pairs, which an edit changes less, each within
-    two bits by pivot tables; what it finds is then decided by ``CHECK_LONGS * 64`` bits of a
-    five-word SimHash. Documents that agree in a whole view are compared with
-    the first of them, so a class of any size gives as many links as members.
+    The search runs over bands of min-hashes. Whether a pair meets in a band depends on its
+    similarity alone, not on where or how a text was edited, and a pair at ``similarity`` misses every
+    band with a probability of at most ``MISSED``.
     """
-    rows = stored(signatures(docs, id_col, text_col).withColumn("node", F.xxhash64("signature")))
+    rows = sketches(docs, id_col, text_col, band_rows(similarity))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("signature").alias("signature")))
-    views = nodes.select("node", F.posexplode(F.slice("signature", 1, VIEWS)).alias("view", "fp"))
-    least = stored(views.groupBy("view", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
-    same = views.join(least.where("n > 1"), ["view", "fp"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
-    found = links(least.select("view", "fp"), 2, VIEW_BITS)
-    end = lambda name, to: least.select("view", F.col("fp").alias(name), F.col("least").alias(to))
-    across = found.join(end("u", "a"), ["view", "u"]).join(end("v", "b"), ["view", "v"]).select(
-        F.col("a").alias("u"), F.col("b").alias("v")
-    )
-    candidates = same.unionByName(across).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    check = F.slice("signature", VIEWS + 1, CHECK_LONGS)
-    left = nodes.select(F.col("node").alias("u"), check.alias("p"))
-    right = nodes.select(F.col("node").alias("v"), check.alias("q"))
-    # A bit differs with the angle between the shingle vectors: cosine 2 J / (1 + J) of two equally large sets.
-    bits = 64 * CHECK_LONGS
-    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = bits * chance + TOLERANCE * np.sqrt(bits * chance * (1 - chance))
-    apart = reduce(lambda a, b: a + b, [F.bit_count(F.get("p", F.lit(i)).bitwiseXOR(F.get("q", F.lit(i)))) for i in range(CHECK_LONGS)])
-    alike = candidates.join(left, "u").join(right, "v").where(apart <= float(most)).select("u", "v")
-    roots = stored(components(alike))
+    nodes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    buckets = nodes.select("node", F.explode("keys").alias("bucket"))
+    least = stored(buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    members = stored(buckets.join(least, "bucket").select("bucket", "node", "least"))
+    pairs = members.where("node > least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    enough = MIN_HASHES * similarity
+    agree = lambda p, q: np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) >= enough
+    roots = stored(components(_judged(pairs, nodes, "sketch", agree)))
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").groupBy(
         F.coalesce("root", "node").alias("root")
     ).agg(F.min("first").alias("first"))
