@@ -238,6 +238,26 @@ def test_near_duplicate_search_finds_added_cut_and_replaced_passages(make, tmp_p
     assert len(kept & set(range(1, 2 * len(pairs), 2))) <= 3
 
 
+def test_near_duplicate_links_are_decided_by_the_sets(make, tmp_path):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = [" ".join(base)]
+    while len(texts) < 60:  # all near the threshold, none with a partner that reaches it
+        words = list(base)
+        for at in rng.sample(range(200), 5):
+            words[at] = word()
+        text = " ".join(words)
+        if jaccard(text, texts[0]) > 0.6 and all(jaccard(text, t) < 0.8 for t in texts):
+            texts.append(text)
+    # Exactly at the threshold: 8 of 10 shingles shared.
+    texts += [" ".join(word() for _ in range(14))]
+    texts += [" ".join(texts[-1].split()[:12])]
+    assert jaccard(texts[-1], texts[-2]) == 0.8
+    kept = {r["doc_id"] for r in simhash.keep_one(make(tmp_path, texts)).collect()}
+    assert kept == set(range(len(texts) - 1))
+
+
 def test_language_id(spark, sf_dir, make, tmp_path):
     docs = documents(spark, "/root/testdata/sf0.01")
     model = language_id.learn(docs.where(language_id.fold() != 0))

@@ -55,6 +55,8 @@ HASH_SEED = 42
 SET_WORDS = 5
 MIN_HASHES = 160
 MISSED = 1e-5
+#: Standard deviations that the sketch of a pair at the wanted similarity may lie below it.
+SLACK = 5.0
 FACTORS, OFFSETS = np.random.default_rng(11).integers(0, 1 << 63, (2, MIN_HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -287,12 +289,45 @@ def _judged(pairs: DataFrame, sides: DataFrame, value: str, judge: Callable[[byt
     return stored(joined.mapInArrow(run, "u long, v long"))
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """``(node, hashes)``: the shingle sets of the wanted nodes, hashes of eight bytes each in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
+
+    of_text = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.text_hash").alias("text_hash"))
+    texts = docs.select(F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
+    # Rows with an equal text are one: the text of any of them will do.
+    found = texts.join(of_text, "text_hash").select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return stored(found.groupBy("node").agg(F.first("hashes").alias("hashes")))
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(u, v)`` whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    The sketches only spare the comparison of sets that lie ``SLACK`` standard deviations below.
+    """
+    enough = MIN_HASHES * similarity - SLACK * (MIN_HASHES * similarity * (1 - similarity)) ** 0.5
+
+    def agree(p: bytes, q: bytes) -> bool:
+        return np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) >= enough
+
+    def same(p: bytes, q: bytes) -> bool:
+        x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared / (len(x) + len(y) - shared) >= similarity
+
+    return _judged(_judged(pairs, nodes, "sketch", agree), sets, "hashes", same)
+
+
 def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(root, first)``: one row per class of documents whose five-word shingle sets are alike to ``similarity``.
 
     The search runs over bands of min-hashes. Whether a pair meets in a band depends on its
     similarity alone, not on where or how a text was edited, and a pair at ``similarity`` misses every
-    band with a probability of at most ``MISSED``.
+    band with a probability of at most ``MISSED``. A pair is a link only if the sets themselves are alike.
     """
     rows = sketches(docs, id_col, text_col, band_rows(similarity))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -301,9 +336,8 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     least = stored(buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
     members = stored(buckets.join(least, "bucket").select("bucket", "node", "least"))
     pairs = members.where("node > least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    enough = MIN_HASHES * similarity
-    agree = lambda p, q: np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) >= enough
-    roots = stored(components(_judged(pairs, nodes, "sketch", agree)))
+    sets = shingle_sets(docs, nodes, members.select("node").distinct(), text_col)
+    roots = stored(components(alike(pairs, nodes, sets, similarity)))
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").groupBy(
         F.coalesce("root", "node").alias("root")
     ).agg(F.min("first").alias("first"))
