@@ -258,6 +258,32 @@ def test_near_duplicate_links_are_decided_by_the_sets(make, tmp_path):
     assert kept == set(range(len(texts) - 1))
 
 
+def test_near_duplicate_classes_of_a_large_group_equal_brute_force(make, tmp_path):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(3, 6)):
+            words[at] = word()
+        texts.append(" ".join(words))
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for k in range(i):
+            if len(a & sets[k]) / len(a | sets[k]) >= 0.8:
+                low, high = sorted((find(i), find(k)))
+                root[high] = low
+    kept = {r["doc_id"] for r in simhash.keep_one(make(tmp_path, texts)).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+
+
 def test_language_id(spark, sf_dir, make, tmp_path):
     docs = documents(spark, "/root/testdata/sf0.01")
     model = language_id.learn(docs.where(language_id.fold() != 0))

@@ -36,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlake.llm.common import stored, text_of
@@ -57,6 +57,8 @@ MIN_HASHES = 160
 MISSED = 1e-5
 #: Standard deviations that the sketch of a pair at the wanted similarity may lie below it.
 SLACK = 5.0
+#: Leaders of a bucket in the first round after its least node; four times as many in each further round.
+LEADERS = 16
 FACTORS, OFFSETS = np.random.default_rng(11).integers(0, 1 << 63, (2, MIN_HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -328,6 +330,10 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     The search runs over bands of min-hashes. Whether a pair meets in a band depends on its
     similarity alone, not on where or how a text was edited, and a pair at ``similarity`` misses every
     band with a probability of at most ``MISSED``. A pair is a link only if the sets themselves are alike.
+
+    A bucket is first compared with its least node. In rounds, members outside the largest class of
+    those that are left lead it in turn and are compared with all members of other classes, until one class is left: then
+    every pair of the bucket is in one class or has been compared.
     """
     rows = sketches(docs, id_col, text_col, band_rows(similarity))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -336,8 +342,35 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     least = stored(buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
     members = stored(buckets.join(least, "bucket").select("bucket", "node", "least"))
     pairs = members.where("node > least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = stored(pairs)
     sets = shingle_sets(docs, nodes, members.select("node").distinct(), text_col)
-    roots = stored(components(alike(pairs, nodes, sets, similarity)))
+    found = alike(pairs, nodes, sets, similarity)
+    roots = stored(components(found))
+    # Members of a bucket that have not led it yet. Who has led it was compared with all others of other classes.
+    rest, seen, many = members.where("node > least").select("bucket", "node"), pairs, LEADERS
+    while True:
+        rest = stored(
+            rest.join(roots.withColumnRenamed("u", "node"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        )
+        sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        largest = F.max_by("root", F.struct("n", "root")).alias("largest")
+        unsettled = stored(sizes.groupBy("bucket").agg(largest, F.count("*").alias("k")).where("k > 1").select("bucket", "largest"))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket")))
+        leaders = stored(
+            rest.join(unsettled, "bucket").where("root <> largest").select("bucket", "node", "root", place.alias("place"))
+            .where(F.col("place") <= many).select("bucket", F.col("node").alias("leader"), F.col("root").alias("led"))
+        )
+        if leaders.isEmpty():
+            break
+        pairs = rest.join(leaders, "bucket").where("root <> led").select(
+            F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")
+        )
+        pairs = stored(pairs.distinct().join(seen, ["u", "v"], "left_anti"))
+        found = found.unionByName(alike(pairs, nodes, sets, similarity))
+        roots = stored(components(found))
+        led = leaders.select("bucket", F.col("leader").alias("node"))
+        rest = rest.join(unsettled, "bucket", "left_semi").join(led, ["bucket", "node"], "left_anti").select("bucket", "node")
+        seen, many = seen.unionByName(pairs), many * 4
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").groupBy(
         F.coalesce("root", "node").alias("root")
     ).agg(F.min("first").alias("first"))
