@@ -43,6 +43,23 @@ def test_license_scan_finds_lines_and_whole_texts(make, tmp_path):
     assert 0.8 < got[len(ODD_TEXTS) + 1, 0][1] < 1.0
 
 
+def test_license_scan_keeps_units_exactly_at_the_threshold(make, tmp_path):
+    texts = ["Licensed under MIT", "Licensed under ISC"]
+    got = {(r["doc_id"], r["unit"]): (r["license"], r["dice"]) for r in license_scan.scan(make(tmp_path, texts)).collect()}
+    assert got == {(i, unit): (name, 0.8) for i, name in enumerate(("MIT", "ISC")) for unit in (0, 1)}
+    # Every size of unit and template that can reach 0.8 exactly, with words of its own.
+    sizes = [(n, t) for n in range(2, 40) for t in range(2, 40) if 2 * min(n, t) == 0.8 * (n + t) or (n + t) % 5 == 0 and 0.4 * (n + t) <= min(n, t)]
+    table, texts = [], []
+    for k, (n, t) in enumerate(sizes):
+        shared = round(0.4 * (n + t))
+        common = [f"w{k}x{i}" for i in range(shared + 1)]
+        table.append((f"L{k:04d}", " ".join(common + [f"t{k}x{i}" for i in range(t - shared)])))
+        texts.append(" ".join(common + [f"u{k}x{i}" for i in range(n - shared)]))
+    found = license_scan.scan(make(tmp_path / "sizes", texts), table)
+    got = {(r["doc_id"], r["license"], r["dice"]) for r in found.where("unit = 0").collect()}
+    assert got == {(k, f"L{k:04d}", 0.8) for k in range(len(sizes))}
+
+
 def test_token_counts_equal_the_library(make, tmp_path):
     docs = make(tmp_path, ODD_TEXTS, extra=CLASHING)
     tokenizer = Tokenizer.from_file(BYTE_BPE)

@@ -109,7 +109,8 @@ def scan(
     sets = bigram_sets(templates() if table is None else table)
     known = sorted({g for _, grams in sets for g in grams})
     least, most = min(len(g) for _, g in sets), max(len(g) for _, g in sets)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # With slack for rounding: a size that reaches the threshold exactly stays in, the coefficient itself decides.
+    low, high = threshold / (2 - threshold) * (1 - 1e-9), (2 - threshold) / threshold * (1 + 1e-9)
 
     # No filter below: a filter on a derived column would be moved below it and compute it
     # anew for every element. Each step is a column that is empty where the unit is out already.
