@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -327,6 +328,29 @@ def test_language_id_without_labels(make, tmp_path):
     assert [r[0]["lang"] for r in docs.select(language_id.predict(docs, model)).collect()] == ["und", "und"]
 
 
+def test_documents_stay_without_any_label(spark, make, tmp_path):
+    texts = ["some clean words", "weitere saubere Wörter", None, "123 456"]
+    for name, langs, ids in (("none", [None] * 4, range(4)), ("held", ["en", None, None, None], [6, 0, 1, 2])):
+        docs = make(tmp_path / name, texts, ids=list(ids), langs=langs)
+        if name == "held":  # the only label is in fold 0
+            assert docs.where("lang IS NOT NULL").where(language_id.fold() != 0).count() == 0
+        assert {r["text"] for r in language_id.keep_known(docs).collect()} == set(texts[:2])
+    step = make(tmp_path / "pipeline", texts, langs=[None] * 4)
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "pipeline")).collect()} == {0, 1} and step.count() == 4
+
+
+def test_text_unlike_every_learned_language_goes(spark):
+    rows = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400))
+    odd = ["これは日本語の文章です。" * 5, "Это предложение на русском языке. " * 5, noise, "日本"]
+    extra = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], rows.schema)
+    gone = set(rows.unionByName(extra).select("doc_id").toPandas()["doc_id"]) - set(
+        language_id.keep_known(rows.unionByName(extra)).select("doc_id").toPandas()["doc_id"])
+    letters = {r["doc_id"]: any(c.isalpha() for c in r["text"] or "") for r in rows.collect()}
+    assert gone == {-1, -2, -3} | {i for i, has in letters.items() if not has}
+
+
 @pytest.mark.parametrize("run", [
     license_scan.scan, lambda d: token_counts.with_counts(d, BYTE_BPE), lambda d: bpe.encode(d, BYTE_BPE),
     fingerprints.fingerprint_edits, simhash.near_duplicates, simhash.keep_one, language_id.keep_known,

@@ -37,6 +37,10 @@ SMOOTHING = 0.5
 PENALTY = 3.0
 ITERATIONS = 12
 UNKNOWN = "und"
+#: A text of so many trigrams or more is unlike every learned language if the mean log-likelihood of its trigrams lies below
+#: this: a factor e below that of a model that has learned nothing.
+LEAST_TRIGRAMS = 20
+LEAST_FIT = -BITS * float(np.log(2)) - 1.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -117,24 +121,32 @@ def infer(text: str, table: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> Column:
-    """Column ``struct(lang, score)`` from the text alone."""
+    """Column ``struct(lang, score, fit)`` from the text alone.
+
+    ``fit`` is the mean log-likelihood of a trigram: minus infinity without a letter, null if the
+    text is too short to tell or no language was learned.
+    """
     langs, table = model
     sent = docs.sparkSession.sparkContext.broadcast((langs, table))
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, fit double")
     def run(texts: pa.Array) -> pa.Array:
         names, probabilities = sent.value
-        out_lang, out_score = [], []
+        out_lang, out_score, out_fit = [], [], []
         for text in texts.to_pylist():
-            if not names or not LETTER.search(text):
+            letter = LETTER.search(text)
+            if not names or not letter:
                 out_lang.append(UNKNOWN)
                 out_score.append(0.0)
+                out_fit.append(None if letter else float("-inf"))
                 continue
-            share, _ = infer(text, probabilities)
+            share, fit = infer(text, probabilities)
             at = int(share.argmax())
             out_lang.append(names[at])
             out_score.append(float(min(1.0, share[at])))
-        return pa.StructArray.from_arrays([pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())], ["lang", "score"])
+            out_fit.append(fit if len(text.encode()) >= LEAST_TRIGRAMS else None)  # a trigram for each byte
+        columns = [pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64()), pa.array(out_fit, pa.float64())]
+        return pa.StructArray.from_arrays(columns, ["lang", "score", "fit"])
 
     return run(text_of(text_col))
 
@@ -145,10 +157,10 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents whose language cannot be told: no text, or no letters in it.
+    """``docs`` without the documents whose language cannot be told: no text, no letters in it, or unlike every learned language.
 
-    A document in any learned language, or in several, stays.
+    A document in any learned language, or in several, stays. If no language was learned, letters alone decide.
     """
     model = learn(docs.where(fold(id_col) != 0), text_col, lang_col)
     told = predict(docs, model, text_col)
-    return docs.select(F.struct("*").alias("row"), told["lang"].alias("lang")).where(F.col("lang") != UNKNOWN).select("row.*")
+    return docs.select(F.struct("*").alias("row"), told["fit"].alias("fit")).where(F.coalesce(F.col("fit") >= LEAST_FIT, F.lit(True))).select("row.*")
