@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlake.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, packing, sharding, simhash, token_counts, warc
+from wattlake.llm import (
+    bpe, collocations, exact_dedup, fingerprints, language_id, lexical_search, license_scan, packing, quality, sharding, simhash,
+    token_counts, warc,
+)
 from wattlake.llm.common import documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +167,88 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page_id("refers_to").alias("refers_to"),
     )
+
+
+@query("op11_quality")
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(quality.fold() != 1)
+    model = quality.learn(docs, labels, label_col="quality")
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(quality.fold() == 1, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query(
+    "op12_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, doc_id,
+               unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+    phrases AS MATERIALIZED (
+        SELECT lang, k, phrase, count(*) AS f
+        FROM (SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
+              FROM words CROSS JOIN (VALUES (1), (2), (3), (4)) AS lengths(k) WHERE len(w) >= k)
+        GROUP BY ALL HAVING count(*) >= 30),
+    candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM phrases WHERE k > 1),
+    parts AS MATERIALIZED (
+        SELECT lang, phrase, a, cut, array_to_string(w[: cut], ' ') AS first_part, array_to_string(w[cut + 1 :], ' ') AS last_part
+        FROM (SELECT lang, phrase, f AS a, w, unnest(range(1, k)) AS cut FROM candidates)),
+    cuts AS (
+        SELECT p.lang, p.phrase, p.a, p.cut AS k, l.f AS l, r.f AS r, (2000000 * p.a::HUGEINT) // (l.f + r.f) AS score
+        FROM parts p
+        JOIN phrases l ON l.lang = p.lang AND l.phrase = p.first_part
+        JOIN phrases r ON r.lang = p.lang AND r.phrase = p.last_part),
+    told AS MATERIALIZED (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    held AS (
+        SELECT lang, phrase, max(f) AS longer
+        FROM (SELECT lang, f, unnest([array_to_string(w[i : i + m - 1], ' ') for i in range(1, k - m + 2)]) AS phrase
+              FROM candidates JOIN (VALUES (2), (3)) AS inner_words(m) ON m < k)
+        GROUP BY ALL),
+    kept AS (
+        SELECT t.* FROM told t LEFT JOIN held h ON h.lang = t.lang AND h.phrase = t.phrase
+        WHERE h.longer IS NULL OR 100 * h.longer < 80 * t.a)
+    SELECT lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+    WHERE rank <= 2000""",
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), least=30, max_words=4, first=2000)
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH terms AS (
+        SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM documents),
+    counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+    sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY ALL),
+    totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes),
+    marks AS (SELECT doc_id, 25 + (75 * n * docs) // l AS m FROM sizes CROSS JOIN totals),
+    queries AS (
+        SELECT item_id, term, count(*) AS repeats
+        FROM (SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+        GROUP BY ALL),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+        FROM (SELECT term, count(*) AS df FROM counts GROUP BY ALL) CROSS JOIN totals),
+    scores AS (
+        SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM queries JOIN weights USING (term) JOIN counts USING (term) JOIN marks USING (doc_id) GROUP BY ALL)
+    SELECT item_id, rank::INT AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+    WHERE rank <= 10""",
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.search(docs, items, top=10)
