@@ -12,7 +12,7 @@ from wattlake.queries.oracle import checksum_sql
 from wattlake.queries.registry import query
 from wattlake.queries.windows import NUMBERS, numbers
 from wattlake.session import scratch_dir
-from wattlake.sources import sinks
+from wattlake.sources import sinks, snapshots
 from wattlake.sources.schemas import EXPORTS, MARTS
 
 
@@ -21,9 +21,9 @@ from wattlake.sources.schemas import EXPORTS, MARTS
 def _(t: Feeds) -> DataFrame:
     path = f"{scratch_dir(t.spark)}/months"
     rows = t.lineitem.select("l_orderkey", "l_shipdate", "l_quantity")
-    sinks.write_months(rows, path, "l_shipdate")
-    sinks.write_months(rows, path, "l_shipdate")  # a repeated run leaves the same rows
-    return t.spark.read.parquet(path).groupBy("year", "month").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    snapshots.replace_months(rows, path, "l_shipdate")
+    snapshots.replace_months(rows, path, "l_shipdate")  # a repeated run leaves the same rows
+    return snapshots.read_months(t.spark, path).groupBy("year", "month").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @query("k02_result_parquet", "SELECT * FROM annual", "volume_mwh:4 cost_eur:2 unit_cost_eur_mwh delta_vs_min_eur:2")

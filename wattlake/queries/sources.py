@@ -15,7 +15,7 @@ from wattlake.queries.feeds import Feeds
 from wattlake.queries.registry import query
 from wattlake.session import scratch_dir
 from wattlake.sources import documents as docs
-from wattlake.sources import sinks, tables
+from wattlake.sources import snapshots, tables
 
 
 @query("s01_parquet_tree_union_by_name", """
@@ -340,16 +340,16 @@ def _(t: Feeds) -> DataFrame:
            sum(CASE WHEN date_trunc('month', ts_utc) >= date_trunc('month', since) THEN price + 1 ELSE price END) AS total
     FROM old, cut GROUP BY 1""", "total:2")
 def _(t: Feeds) -> DataFrame:
-    """Re-ingest the months the lookback touches and overwrite exactly those partitions."""
+    """Re-ingest the months the lookback touches and publish a snapshot in which exactly those are replaced."""
     from wattlake.operators.joins import with_bounds
 
     path = f"{scratch_dir(t.spark)}/restated"
     raw = t.orders.select("o_orderkey", F.col("o_orderdate").alias("ts_utc"), F.col("o_totalprice").alias("price"))
-    sinks.write_months(raw, path, "ts_utc")
+    snapshots.replace_months(raw, path, "ts_utc")
     since = raw.agg((F.max("ts_utc") - F.make_dt_interval(days=F.lit(LOOKBACK_DAYS))).alias("since"))
     recent = with_bounds(raw, since).where(F.trunc("ts_utc", "MM") >= F.trunc("since", "MM"))
-    sinks.write_months(recent.drop("since").withColumn("price", F.col("price") + 1), path, "ts_utc")
-    stored = t.spark.read.parquet(path)
+    snapshots.replace_months(recent.drop("since").withColumn("price", F.col("price") + 1), path, "ts_utc")
+    stored = snapshots.read_months(t.spark, path)
     return stored.groupBy(F.date_format("ts_utc", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("n"), F.sum("price").alias("total"))
 

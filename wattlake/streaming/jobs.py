@@ -10,6 +10,7 @@ therefore bounded by 45 days x zones.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from wattlake.config import LOOKBACK_DAYS
 from wattlake.operators.dedup import latest_wins
+from wattlake.sources import snapshots
 from wattlake.sources.sinks import write_months
 
 WATERMARK = f"{LOOKBACK_DAYS} days"
@@ -85,6 +87,66 @@ def start_hourly_means(
     )
 
 
+def append_latest(path: str, keys: Sequence[str], ingested_at: str, tie_break: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: publish a snapshot with the batch's latest rows beside the table, compact months of many parts.
+
+    It writes what changed, not the months touched. A replayed batch adds rows that lose or equal those there, and readers of
+    ``snapshots.read_latest`` see whole batches only.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        snapshots.append_rows(latest_wins(batch, keys, ingested_at, tie_break), path, "ts_utc")
+        snapshots.compact(batch.sparkSession, path, "ts_utc", keys, ingested_at, tie_break)
+
+    return run
+
+
+def start_hourly_snapshots(
+    ticks: DataFrame, value: str, path: str, checkpoint: str, key: str = "zone", watermark: str = WATERMARK
+) -> StreamingQuery:
+    """``start_hourly_means`` into a table with snapshots, read by ``hourly_snapshot``."""
+    publish = append_latest(path, [key, "ts_utc"], "updated_at", ())
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        publish(batch.withColumn("updated_at", F.timestamp_seconds(F.lit(batch_id))), batch_id)
+
+    means = hourly_mean_stream(ticks, value, key, watermark)
+    return means.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hourly_snapshot(spark: SparkSession, path: str, key: str = "zone") -> DataFrame:
+    """The published hourly means, one row per hour."""
+    return snapshots.read_latest(spark, path, [key, "ts_utc"], "updated_at").drop("updated_at", "year", "month")
+
+
+def start_snapshot_upsert(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], ingested_at: str, tie_break: Sequence[str] = ()
+) -> StreamingQuery:
+    """``start_upsert`` into a table with snapshots, read by ``snapshots.read_latest``."""
+    return (
+        stream.writeStream.foreachBatch(append_latest(path, keys, ingested_at, tie_break))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def first_response_stream(rows: DataFrame, data_cols: Sequence[str], response: str, watermark: str = WATERMARK) -> DataFrame:
+    """Rows of the response that delivered their data first: copies inside one response stay, later responses go.
+
+    Two stateful steps under one watermark: the first response number per row of data is a streaming aggregation,
+    and the rows are joined back to it. ``data_cols`` hold ``ts_utc``, so both states fall with the watermark; a row
+    is emitted when its time has passed it.
+    """
+    timed = rows.withWatermark("ts_utc", watermark)
+    first = timed.groupBy(*data_cols).agg(F.min(response).alias("_first"))
+    other = [F.col(c).alias(f"_{c}") for c in data_cols if c != "ts_utc"]
+    first = first.select("ts_utc", "_first", *other)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f._{c}")) for c in data_cols if c != "ts_utc"]
+    matched = reduce(lambda a, b: a & b, same, (F.col("r.ts_utc") == F.col("f.ts_utc")) & (F.col(f"r.{response}") == F.col("f._first")))
+    return timed.alias("r").join(first.alias("f"), matched).select(*[F.col(f"r.`{c}`") for c in rows.columns])
+
+
 def _has_data(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
