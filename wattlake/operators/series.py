@@ -8,11 +8,13 @@ operator for raw ticks and splits each series by hour.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlake.config import ROLLING_DAYS
+from wattlake.operators.blocks import global_rank
 
 
 def difference(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "d_t") -> DataFrame:
@@ -61,14 +63,20 @@ def rank_in_group(value: Column, keys: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(value))
 
 
-def duration_curve(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Values sorted high to low against the share of time, 0-100 %."""
-    w = Window.partitionBy(*keys)
-    order = w.orderBy(F.col(value).desc())
-    rank = F.row_number().over(order)
-    n = F.count("*").over(w)
-    share = F.when(n > 1, F.lit(100.0) * (rank - 1) / (n - 1)).otherwise(F.lit(0.0))
-    return df.select(*keys, F.col(value), share.alias("share_pct"), rank.alias("rank"))
+def duration_curve(df: DataFrame, keys: Sequence[str], value: str, parts: int = 64) -> DataFrame:
+    """Values sorted high to low against the share of time, 0-100 %.
+
+    Approximate quantiles cut each group into ranges, which are ranked by their own tasks and moved on by the
+    rows of the ranges before, so a group of any size is ranked by many tasks. Equal values share a range.
+    """
+    bounds = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, bounds, F.lit(1000)).alias("_cuts"))
+    matched = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], F.lit(True))
+    rows = df.select(*keys, value).alias("l").join(cuts.alias("c"), matched).select("l.*", "_cuts")
+    higher = F.size(F.filter("_cuts", lambda c: c > F.col(value)))
+    ranked = global_rank(rows, keys, [F.col(value).desc()], higher, "rank", "_n")
+    share = F.when(F.col("_n") > 1, F.lit(100.0) * (F.col("rank") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
+    return ranked.select(*keys, F.col(value), share.alias("share_pct"), F.col("rank").cast("int").alias("rank"))
 
 
 def runner_up(df: DataFrame, keys: Sequence[str], label: str, value: str) -> DataFrame:

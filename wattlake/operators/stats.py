@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.config import REGIME_LABELS
+from wattlake.operators.blocks import SPAN, affine_starts, day_block, numbered
 from wattlake.operators.quantiles import describe_groups
 from wattlake.session import stored_table
 
@@ -99,44 +100,49 @@ def garch_grid(
     value: str,
     alphas: Sequence[float],
     betas: Sequence[float],
+    block: Column | None = None,
 ) -> DataFrame:
     """GARCH(1,1) by likelihood over a parameter grid, one fit per series.
 
     ``omega`` is variance-targeted, so ``(alpha, beta)`` is the whole search
-    space. Each series is one array of daily differences (bounded by the
-    calendar); grid points are spread with ``explode`` so that a single long
-    series still uses many tasks.
+    space. The variance of each step is an affine map of the one before, so a
+    series is walked in runs of ``SPAN`` differences by many tasks: their maps
+    compose, a short scan over the runs gives the variance that each begins with.
+    ``block`` cuts the series for numbering its rows, by days unless given.
     """
     keys = list(keys)
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).alias("x")))),
-        lambda r: r["x"],
-    )
-    series = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.avg(value).alias("mu"), F.var_pop(value).alias("v"), F.count(value).alias("n_obs"),
-        ordered.alias("xs"),
-    )
+    rows = df.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).alias("x"))
+    moments = rows.groupBy(*keys).agg(F.avg("x").alias("mu"), F.var_pop("x").alias("v"), F.count("x").alias("n_obs"))
+    placed = numbered(rows, keys, [order, "x"], day_block(order) if block is None else block)
+    taken = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("xs")
+    runs = placed.groupBy(*keys, F.floor(F.col("pos") / SPAN).alias("run")).agg(taken)
     grid = F.array(*[
         F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"))
         for a in alphas for b in betas if a + b < 1.0
     ])
-    points = series.select("*", F.explode(grid).alias("g")).repartition(len(alphas) * len(betas), *keys, "g")
-    alpha, beta = F.col("g.alpha"), F.col("g.beta")
+    points = runs.join(moments, keys).select("*", F.explode(grid).alias("g")).select("*", "g.alpha", "g.beta").drop("g")
+    alpha, beta = F.col("alpha"), F.col("beta")
     omega = F.col("v") * (F.lit(1.0) - alpha - beta)
-    start = F.struct(F.col("v").alias("h"), F.lit(0.0).alias("ll"))
+    points = stored_table(points.withColumn("omega", omega))
+
+    def square(x: Column) -> Column:
+        return (x - F.col("mu")) * (x - F.col("mu"))
+
+    def following(h: Column, x: Column) -> Column:
+        return F.col("omega") + alpha * square(x) + beta * h
+
+    fit_keys = [*keys, "alpha", "beta"]
+    whole = F.aggregate("xs", F.lit(0.0), following)
+    maps = points.select(*fit_keys, "run", "v", F.pow(beta, F.size("xs")).alias("a"), whole.alias("b"))
+    begun = points.join(affine_starts(maps, fit_keys, "run", "v"), [*fit_keys, "run"])
 
     def step(acc: Column, x: Column) -> Column:
-        e2 = (x - F.col("mu")) * (x - F.col("mu"))
         h = acc["h"]
-        return F.struct(
-            (omega + alpha * e2 + beta * h).alias("h"),
-            (acc["ll"] - F.lit(0.5) * (F.log(h) + e2 / h)).alias("ll"),
-        )
+        return F.struct(following(h, x).alias("h"), (acc["ll"] - F.lit(0.5) * (F.log(h) + square(x) / h)).alias("ll"))
 
-    fitted = points.select(
-        *keys, "n_obs", alpha.alias("alpha"), beta.alias("beta"), omega.alias("omega"),
-        F.aggregate("xs", start, step).alias("fit"),
-    )
+    walked = begun.withColumn("walk", F.aggregate("xs", F.struct(F.col("h"), F.lit(0.0).alias("ll")), step))
+    fitted = walked.groupBy(*fit_keys, "n_obs", "omega").agg(
+        F.struct(F.sum("walk.ll").alias("ll"), F.max_by("walk.h", "run").alias("h")).alias("fit"))
     best = F.max_by(
         F.struct("n_obs", "alpha", "beta", "omega", F.col("fit.ll").alias("log_likelihood"),
                  F.sqrt("fit.h").alias("next_vol")),

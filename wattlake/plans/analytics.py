@@ -17,13 +17,14 @@ from wattlake.config import (
     COMPLETE_YEAR_MIN_HOURS,
     CRISIS_MIN_SHARE,
     REGIME_LABELS,
+    ROLLING_DAYS,
     SOLAR_HOURS,
     SOLAR_MONTHS,
     SPIKE_EUR_MWH,
 )
 from wattlake.functions.exprs import avg_if, ratio, share_if
+from wattlake.operators.blocks import day_block, differences, running_total
 from wattlake.operators.quantiles import group_mode
-from wattlake.operators.series import difference, rolling_std
 from wattlake.operators.spine import integer_spine
 
 
@@ -99,7 +100,7 @@ def negative_hours_by_hour(hourly: DataFrame) -> DataFrame:
 def daily_differences(daily: DataFrame, keys: Sequence[str] = (), value: str = "price_base_eur_mwh") -> DataFrame:
     """``d_t`` and 30-day realised volatility per series; the first day has no difference."""
     rows = daily.where(F.col(value).isNotNull())
-    rows = rolling_std(difference(rows, keys, "date_local", value), keys, "date_local", "d_t")
+    rows = differences(rows, keys, "date_local", value, day_block("date_local"), ROLLING_DAYS)
     return rows.where(F.col("d_t").isNotNull())
 
 
@@ -182,13 +183,9 @@ def strategy_by_year(annual: DataFrame, years: Sequence[int]) -> DataFrame:
 
 
 def cumulative_cost(costs: DataFrame) -> DataFrame:
-    """Running cost per strategy, month by month."""
-    w = (
-        Window.partitionBy("strategy_id").orderBy("year_local", "month_local")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    """Running cost per strategy, month by month; a year is a block."""
     monthly = costs.groupBy("strategy_id", "year_local", "month_local").agg(F.sum("cost_eur").alias("cost_eur"))
-    return monthly.withColumn("cumulative_eur", F.sum("cost_eur").over(w))
+    return running_total(monthly, ["strategy_id"], ["month_local"], "cost_eur", "cumulative_eur", F.col("year_local"))
 
 
 def annual_quality(dq: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.config import MAIN_PROFILE, STRATEGY_DIM
-from wattlake.operators import quantiles, series, stats
+from wattlake.operators import blocks, quantiles, series, stats
 from wattlake.operators.dedup import duplicate_surplus
 from wattlake.operators.joins import fill_in_order
 from wattlake.operators.spine import holiday_dimension, month_spine
@@ -66,7 +66,8 @@ def _(t: Feeds) -> DataFrame:
 @query("w07_first_difference", "SELECT date_local, price_base_eur_mwh, d_t FROM diffs", "price_base_eur_mwh d_t")
 def _(t: Feeds) -> DataFrame:
     daily = t.daily.where("price_base_eur_mwh is not null").select("date_local", "price_base_eur_mwh")
-    return series.difference(daily, [], "date_local", "price_base_eur_mwh").where("d_t is not null")
+    moved = blocks.from_previous(daily, [], "date_local", "price_base_eur_mwh", "before", blocks.day_block("date_local"))
+    return moved.select("date_local", "price_base_eur_mwh", (F.col("price_base_eur_mwh") - F.col("before")).alias("d_t")).where("d_t is not null")
 
 
 @query("w07_difference_per_series", """
@@ -99,16 +100,22 @@ def _(t: Feeds) -> DataFrame:
     return fill_in_order(rows, ["year_local", "month_local"], "ts_utc", "load_at_mw").select("ts_utc", "load_at_mw")
 
 
+def index_series(t: Feeds) -> DataFrame:
+    """The monthly index as a series by name."""
+    return t.index.select(F.lit("oespi").alias("index_name"), "month_local", "oespi_base")
+
+
 @query("w11_relative_monthly_change", """
     SELECT month_local, oespi_base / lag(oespi_base) OVER (ORDER BY month_local) - 1.0::DOUBLE AS mom FROM idx""", "mom:8")
 def _(t: Feeds) -> DataFrame:
-    return series.relative_change(t.index, [], "month_local", "oespi_base", "mom").select("month_local", "mom")
+    told = blocks.from_previous(index_series(t), ["index_name"], "month_local", "oespi_base", "before", blocks.day_block("month_local"))
+    return told.select("month_local", (F.try_divide("oespi_base", "before") - 1.0).alias("mom"))
 
 
 @query("w12_index_to_first", """
     SELECT month_local, 100.0::DOUBLE * oespi_base / first_value(oespi_base) OVER (ORDER BY month_local) AS base100 FROM idx""", "base100")
 def _(t: Feeds) -> DataFrame:
-    return series.index_to_first(t.index, [], "month_local", "oespi_base", "base100").select("month_local", "base100")
+    return blocks.index_to_first(index_series(t), ["index_name"], "month_local", "oespi_base", "base100").select("month_local", "base100")
 
 
 @query("w13_share_of_sum_normalisation", """
