@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import ODD_TEXTS
 
@@ -155,10 +156,11 @@ def test_bit_filter_holds_all_phrases_and_few_others(spark):
     phrases = [(lang, f"a{i} b{i} c") for i in range(3000) for lang in ("en", "de")]
     made = collocations.BitFilter.of(spark.createDataFrame(phrases, "lang string, phrase string"), 3)
     hashes = lambda lang, words: collocations._phrase_hashes(
-        np.repeat(np.array([collocations.xxhash.xxh64_intdigest(lang)], np.uint64), len(words)), collocations.Words(words).hashes, 3
+        np.repeat(np.array([collocations.xxhash.xxh64_intdigest(lang)], np.uint64), 3 * len(words)),
+        collocations.Words(pa.array(words, pa.binary())).hashes, 3,
     )[::3]
-    assert made.holds(hashes("de", [w for _, p in phrases for w in p.encode().split()])).all()
-    assert made.holds(hashes("fr", [w for _, p in phrases for w in p.encode().split()])).mean() < 0.1
+    assert made.holds(hashes("de", [p.encode() for _, p in phrases])).all()
+    assert made.holds(hashes("fr", [p.encode() for _, p in phrases])).mean() < 0.1
 
 
 GOOD = "the of and to in that was with river stone window garden morning letter quiet answer walked under bright evening".split()

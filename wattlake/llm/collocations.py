@@ -7,8 +7,8 @@ their number of occurrences (the dictionary and the parse frequencies) stand for
 are counted inside distinct chunks, weighted by the frequency. The words of an overlap belong to the later chunk: a phrase is
 counted in the chunk that owns its first word, and the overlap is long enough to hold it whole, so every occurrence counts once.
 
-Phrases of n words are counted level by level. One that reaches the least frequency is made of
-two phrases of n - 1 words that reach it too; those are looked up in a bit filter of bounded size (``FILTER_BITS``), which
+Words are counted first, then pairs, then longer phrases. A phrase that reaches the least frequency is made of
+shorter phrases that reach it too; those are looked up in a bit filter of bounded size (``FILTER_BITS``), which
 may let others pass but stops none, so it spares work and decides no result. Counts are summed in the task before they are shuffled,
 so a word or a chunk that makes up a third of the corpus is one row per task.
 
@@ -19,12 +19,13 @@ an empty result; further columns are ignored; equal scores and counts are ranked
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,9 +47,9 @@ _BYTES = bytes(
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """The words of a text in lower case (A-Z only), with a cut mark wherever a piece ends."""
-    return text.translate(_BYTES).replace(_CUT, b" \xff ").split()
+def pieces(text: bytes) -> bytes:
+    """The words of a text in lower case (A-Z only) with single spaces, and a cut mark wherever a piece ends."""
+    return b" ".join(text.translate(_BYTES).replace(_CUT, b" \xff ").split())
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,22 +58,28 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """A run of words as numbers: ``ids`` (0 for a cut) and the 64-bit hash of each word."""
+    """The words of texts with single spaces, one text after another: number and 64-bit hash of each word."""
 
-    def __init__(self, words: list[bytes]) -> None:
-        place = {_CUT: 0}
-        self.words = words
-        self.ids = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in place], np.uint64)[self.ids]
-        self.n_ids = len(place)
+    def __init__(self, texts: pa.Array) -> None:
+        split = pc.split_pattern(texts, b" ")
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        self.names = coded.dictionary
+        self.ids = coded.indices.to_numpy().astype(np.int64)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.names.to_pylist()], np.uint64)[self.ids]
+        self.sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+        self.per_text = pc.list_value_length(split).to_numpy().astype(np.int64)
 
-    def phrase(self, at: int, n: int) -> bytes:
-        return b" ".join(self.words[at : at + n])
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """The ``n`` words from each place on."""
+        parts = [self.names.take(pa.array(self.ids[at + k])) for k in range(n)]
+        return pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
 
 
 def chunk_bounds(run: Words, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each chunk of a run of words and the number of words it owns."""
-    word = run.ids > 0
+    cut = pc.index(run.names, pa.scalar(_CUT, pa.binary())).as_py()
+    word = run.ids != cut
     whole, window = word.copy(), run.hashes.copy()
     for k in range(1, overlap):
         whole[-k:] = False
@@ -87,41 +94,64 @@ def chunk_bounds(run: Words, overlap: int) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, np.where(inner, following + overlap, ends), np.where(inner, following, ends) - starts
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[list]]:
-    """Rows as columns of Python values, about ``SLICE_BYTES`` bytes of ``column`` at once."""
-    held, size = None, 0
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 for each different value, and the first place of each number."""
+    numbers, different = pd.factorize(values)
+    first = np.empty(len(different), np.int64)
+    first[numbers[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return numbers, first
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes]]]:
+    """Languages and texts, about ``SLICE_BYTES`` bytes at once."""
+    held, size = [], 0
     for batch in batches:
-        held = held or [[] for _ in batch.columns]
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            for values, value in zip(held, row, strict=True):
-                values.append(value)
-            size += len(row[column]) + 8
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held.append((lang, text.as_py()))
+            size += len(held[-1][1]) + 8
             if size >= SLICE_BYTES:
                 yield held
-                held, size = [[] for _ in row], 0
-    if size:
+                held, size = [], 0
+    if held:
         yield held
 
 
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of the dictionary, about ``SLICE_BYTES`` bytes at once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def parse(docs: DataFrame, max_words: int, lang_col: str, text_col: str) -> DataFrame:
     """``(lang, chunk, owned, freq)``: the dictionary of distinct chunks and how often the corpus is parsed into each."""
     overlap = max(1, max_words - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, texts in _sliced(batches, 1):
+        for texts in _texts(batches):
             by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(langs, texts, strict=True):
-                words = by_lang.setdefault(lang, [])
-                words += pieces(text)
-                words.append(_CUT)
-            for lang, words in by_lang.items():
-                bounds = chunk_bounds(Words(words), overlap)
-                found = Counter((b" ".join(words[i:e]), n) for i, e, n in zip(*[b.tolist() for b in bounds], strict=True))
+            for lang, text in texts:
+                by_lang.setdefault(lang, []).extend((pieces(text), _CUT))
+            for lang, parts in by_lang.items():
+                joined = b" ".join(filter(None, parts))
+                words = Words(pa.array([joined], pa.binary()))
+                starts, ends, owned = chunk_bounds(words, overlap)
+                begin = np.cumsum(words.sizes + 1) - words.sizes - 1
+                slices = zip(begin[starts].tolist(), (begin[ends - 1] + words.sizes[ends - 1]).tolist(), strict=True)
+                coded = pa.array([joined[i:j] for i, j in slices], pa.binary()).dictionary_encode()
+                # Chunks differ by their words and by whether they own the last ones.
+                number, first = _numbered(coded.indices.to_numpy() * 2 + (ends - starts == owned))
                 columns = [
-                    pa.array([lang] * len(found), pa.string()),
-                    pa.array([c for c, _ in found], pa.binary()).cast(pa.string()),
-                    pa.array([n for _, n in found], pa.int32()),
-                    pa.array(found.values(), pa.int64()),
+                    pa.array([lang] * len(first), pa.string()),
+                    coded.dictionary.take(coded.indices.take(pa.array(first))).cast(pa.string()),
+                    pa.array(owned[first].astype(np.int32)),
+                    pa.array(np.bincount(number, minlength=len(first)).astype(np.int64)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "owned", "freq"])
 
@@ -168,7 +198,7 @@ class BitFilter:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 langs = [xxhash.xxh64_intdigest(lang.as_py()) for lang in batch.column(0)]
-                words = Words([w for p in batch.column(1) for w in p.as_py().split(b" ")])
+                words = Words(batch.column(1))
                 hashes = _phrase_hashes(np.repeat(np.array(langs, np.uint64), n), words.hashes, n)[::n]
                 slots = np.concatenate(cls.slots(hashes, n_bits))
                 bits = np.uint64(1) << (slots & 63).astype(np.uint64)
@@ -181,68 +211,78 @@ class BitFilter:
         return cls(bits)
 
 
-def phrase_counts(dictionary: DataFrame, n: int, least: int, shorter: BitFilter | None = None) -> DataFrame:
-    """``(lang, phrase, f)`` of the phrases of ``n`` words with ``least`` occurrences or more.
+def phrase_counts(dictionary: DataFrame, lengths: range, least: int, shorter: BitFilter | None = None) -> DataFrame:
+    """``(lang, phrase, f, words)`` of the phrases of ``lengths`` words with ``least`` occurrences or more.
 
-    ``shorter`` holds the phrases of ``n - 1`` words that reach ``least``.
+    ``shorter`` holds the phrases of one word less than the shortest that reach ``least``.
     """
-    cluster = dictionary.sparkSession.sparkContext
-    shared = cluster.broadcast(shorter.bits) if shorter is not None else None  # bounded by FILTER_BITS
+    known = lengths[0] - 1
+    # Bounded by FILTER_BITS.
+    shared = dictionary.sparkSession.sparkContext.broadcast(shorter.bits) if shorter is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = BitFilter(shared.value) if shared is not None else None
-        for langs, chunks, owned, freq in _sliced(batches, 1):
-            words = Words(b" \xff ".join(chunks).split())
-            names = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
-            cuts = np.flatnonzero(words.ids == 0)
-            starts = np.concatenate([[0], cuts + 1])
-            chunk = np.repeat(np.arange(len(chunks)), np.diff(np.append(starts, len(words.ids) + 1)))[: len(words.ids)]
-            lang = np.array([names[x] for x in langs])[chunk]
-            fits = (words.ids > 0) & (np.arange(len(chunk)) - starts[chunk] < np.array(owned)[chunk])
-            for k in range(1, n):
-                fits[-k:] = False
-                fits[:-k] &= (words.ids[k:] > 0) & (chunk[k:] == chunk[:-k])
-            at = np.flatnonzero(fits)
-            if known is not None:
-                first = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)[lang]
-                part = known.holds(_phrase_hashes(first, words.hashes, n - 1))
-                at = at[part[at] & part[at + 1]]
-            # Numbers of the phrases, word by word: equal where language and words are equal.
-            number = lang[at] * words.n_ids + words.ids[at]
-            for k in range(1, n):
-                number = np.unique(number, return_inverse=True)[1] * words.n_ids + words.ids[at + k]
-            _, place, number = np.unique(number, return_index=True, return_inverse=True)
-            total = np.bincount(number, np.array(freq)[chunk[at]], len(place)).astype(np.int64)  # exact below 2^53
-            place = at[place]
-            columns = [
-                pa.array([langs[c] for c in chunk[place]], pa.string()),
-                pa.array([words.phrase(i, n) for i in place.tolist()], pa.binary()).cast(pa.string()),
-                pa.array(total),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+        found = BitFilter(shared.value) if shared is not None else None
+        for rows in _tables(batches):
+            words = Words(rows["chunk"].combine_chunks())
+            owned, freq = rows["owned"].to_numpy(), rows["freq"].to_numpy()
+            coded = rows["lang"].combine_chunks().dictionary_encode()
+            names, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            # The row of each place, and the words of its chunk from there on.
+            row = np.repeat(np.arange(len(owned)), words.per_text)
+            ends = np.cumsum(words.per_text)
+            left = ends[row] - np.arange(len(row))
+            own = left > (words.per_text - owned)[row]
+            if found is not None:
+                first = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)[lang[row]]
+                part = found.holds(_phrase_hashes(first, words.hashes, known))
+            at = np.flatnonzero(own & (left >= lengths[0]))
+            for n in lengths:
+                at = at[left[at] >= n]
+                if found is not None:  # every phrase of the known length inside, the earlier ones by the shorter phrases
+                    at = at[part[at + n - known]] if n > lengths[0] else at[part[at] & part[at + 1]]
+                number = lang[row[at]] * len(words.names) + words.ids[at]
+                for k in range(1, n):
+                    if k > 1:
+                        number = _numbered(number)[0]
+                    number = number * len(words.names) + words.ids[at + k]
+                number, place = _numbered(number)
+                total = np.bincount(number, freq[row[at]], len(place)).astype(np.int64)  # exact below 2^53
+                place = at[place]
+                columns = [
+                    coded.dictionary.take(pa.array(lang[row[place]])),
+                    words.phrases(place, n),
+                    pa.array(total),
+                    pa.array(np.full(len(place), n, np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f", "words"])
 
     rows = dictionary.select("lang", F.col("chunk").cast("binary").alias("chunk"), "owned", "freq")
-    found = rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    found = rows.mapInArrow(run, "lang string, phrase string, f long, words int")
+    found = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     return stored(found.where(F.col("f") >= least))
 
 
-def frequent_phrases(dictionary: DataFrame, least: int, max_words: int) -> list[DataFrame]:
-    """Tables ``(lang, phrase, f)`` of the phrases of 1 to ``max_words`` words with ``least`` occurrences or more."""
-    found = [phrase_counts(dictionary, 1, least)]
-    for n in range(2, max_words + 1):
-        found.append(phrase_counts(dictionary, n, least, BitFilter.of(found[-1], n - 1)))
-    return found
+def frequent_phrases(dictionary: DataFrame, least: int, max_words: int) -> DataFrame:
+    """``(lang, phrase, f, words)``: the phrases of 1 to ``max_words`` words with ``least`` occurrences or more.
+
+    Words, then pairs of frequent words, then all longer phrases whose pairs are frequent.
+    """
+    found = [phrase_counts(dictionary, range(1, 2), least)]
+    for lengths in (range(2, 3), range(3, max_words + 1)):
+        if lengths:
+            found.append(phrase_counts(dictionary, lengths, least, BitFilter.of(found[-1], lengths[0] - 1)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def scored(candidates: DataFrame, parts: DataFrame) -> DataFrame:
     """``(lang, phrase, a, l, r, score)`` by the lowest-scoring cut of each candidate ``(lang, phrase, f)``."""
-    words = F.split("phrase", " ")
-    cut = F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")
-    cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), words.alias("words")).select("*", cut)
+    parts_ = F.split("phrase", " ").alias("parts")
+    cut = F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")
+    cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), "words", parts_).select("*", cut)
     cuts = cuts.select(
         "lang", "phrase", "a", "k",
-        F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("left"),
-        F.array_join(F.slice("words", F.col("k") + 1, F.size("words") - F.col("k")), " ").alias("right"),
+        F.array_join(F.slice("parts", F.lit(1), F.col("k")), " ").alias("left"),
+        F.array_join(F.slice("parts", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("right"),
     )
     left = parts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
     right = parts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
@@ -253,20 +293,17 @@ def scored(candidates: DataFrame, parts: DataFrame) -> DataFrame:
     return told.groupBy("lang", "phrase", "a").agg(best).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
 
-def swallowed(candidates: list[DataFrame]) -> DataFrame:
-    """``(lang, phrase, longer)``: phrases inside longer candidates and the most occurrences of such a one.
-
-    ``candidates`` are the tables of 2, 3, ... words.
-    """
+def swallowed(candidates: DataFrame, max_words: int) -> DataFrame:
+    """``(lang, phrase, longer)``: phrases inside longer candidates and the most occurrences of such a one."""
     inner = []
-    for n, table in enumerate(candidates[1:], 3):
-        words = table.select("lang", "f", F.split("phrase", " ").alias("words"))
+    for n in range(3, max_words + 1):
+        words = candidates.where(F.col("words") == n).select("lang", "f", F.split("phrase", " ").alias("parts"))
         parts = F.array(*[
-            F.array_join(F.slice("words", at, m), " ") for m in range(2, n) for at in range(1, n - m + 2)
+            F.array_join(F.slice("parts", at, m), " ") for m in range(2, n) for at in range(1, n - m + 2)
         ])
         inner.append(words.select("lang", F.explode(parts).alias("phrase"), "f"))
     if not inner:
-        return candidates[0].select("lang", "phrase", F.col("f").alias("longer")).limit(0)
+        return candidates.select("lang", "phrase", F.col("f").alias("longer")).limit(0)
     return reduce(DataFrame.unionByName, inner).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
 
 
@@ -282,11 +319,10 @@ def collocations(
         raise ValueError("a collocation has two words or more")
     dictionary = stored(parse(docs, max_words, lang_col, text_col))
     totals = stored(dictionary.groupBy("lang").agg(F.sum(F.col("freq") * F.col("owned")).alias("n")))
-    tables = frequent_phrases(dictionary, least, max_words)
-    parts = reduce(DataFrame.unionByName, tables[:-1])
-    candidates = reduce(DataFrame.unionByName, tables[1:])
-    longer = swallowed(tables[1:])
-    told = stored(scored(candidates, parts))
+    phrases = frequent_phrases(dictionary, least, max_words)
+    candidates = phrases.where("words > 1")
+    longer = swallowed(candidates, max_words)
+    told = stored(scored(candidates, phrases.where(F.col("words") < max_words)))
     kept = told.join(longer, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a"))
     )
