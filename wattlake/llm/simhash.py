@@ -57,8 +57,10 @@ MIN_HASHES = 160
 MISSED = 1e-5
 #: Standard deviations that the sketch of a pair at the wanted similarity may lie below it.
 SLACK = 5.0
-#: Leaders of a bucket in the first round after its least node; four times as many in each further round.
-LEADERS = 16
+#: Bands whose keys part a bucket of several classes at a level, counted on from its own band; none: the bucket stays and
+#: other members lead it. Each later level takes one further band. ``LEADERS`` members, each of another class, lead a bucket at a level.
+STEPS = ((1, 2, 3, 4, 5, 6), (), (), (7,), ())
+LEADERS = 4
 FACTORS, OFFSETS = np.random.default_rng(11).integers(0, 1 << 63, (2, MIN_HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -331,46 +333,52 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     similarity alone, not on where or how a text was edited, and a pair at ``similarity`` misses every
     band with a probability of at most ``MISSED``. A pair is a link only if the sets themselves are alike.
 
-    A bucket is first compared with its least node. In rounds, members outside the largest class of
-    those that are left lead it in turn and are compared with all members of other classes, until one class is left: then
-    every pair of the bucket is in one class or has been compared.
+    A bucket is first compared with its least node. If it is then of more than one class, its members part by the keys of
+    further bands, and ``LEADERS`` members of the smallest classes in each finer bucket are compared with the members of other
+    classes, level by level (``STEPS``) until every bucket is one class. A member meets as many leaders a level in each of its buckets, so pairs are linear
+    in the documents however large a group is. A pair that is alike meets the same way in each band it shares; that it
+    has no leader in any finer bucket is rare (figures in the README) and needs both to have no other link.
     """
-    rows = sketches(docs, id_col, text_col, band_rows(similarity))
+    n_rows = band_rows(similarity)
+    rows = sketches(docs, id_col, text_col, n_rows)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    buckets = nodes.select("node", F.explode("keys").alias("bucket"))
-    least = stored(buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    members = stored(buckets.join(least, "bucket").select("bucket", "node", "least"))
-    pairs = members.where("node > least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    pairs = stored(pairs)
-    sets = shingle_sets(docs, nodes, members.select("node").distinct(), text_col)
+    n_bands = MIN_HASHES // n_rows
+    buckets = nodes.select("node", F.posexplode("keys").alias("band", "bucket"))
+    least = stored(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    members = stored(buckets.join(least, "bucket").where("node > leader"))
+    pairs = stored(members.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
+    wanted = members.select("node").union(members.select("leader")).distinct()
+    sets = shingle_sets(docs, nodes, wanted, text_col)
     found = alike(pairs, nodes, sets, similarity)
     roots = stored(components(found))
-    # Members of a bucket that have not led it yet. Who has led it was compared with all others of other classes.
-    rest, seen, many = members.where("node > least").select("bucket", "node"), pairs, LEADERS
-    while True:
-        rest = stored(
-            rest.join(roots.withColumnRenamed("u", "node"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        )
-        sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        largest = F.max_by("root", F.struct("n", "root")).alias("largest")
-        unsettled = stored(sizes.groupBy("bucket").agg(largest, F.count("*").alias("k")).where("k > 1").select("bucket", "largest"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket")))
-        leaders = stored(
-            rest.join(unsettled, "bucket").where("root <> largest").select("bucket", "node", "root", place.alias("place"))
-            .where(F.col("place") <= many).select("bucket", F.col("node").alias("leader"), F.col("root").alias("led"))
-        )
-        if leaders.isEmpty():
+    # Members of a bucket beside its leaders, which have met all others of other classes. Equal finer keys lie in one coarser bucket.
+    rest, seen = members.select("bucket", "band", "node"), pairs
+    for level in range(n_bands + len(STEPS)):
+        classed = rest.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = stored(classed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket"))
+        if mixed.isEmpty():
             break
-        pairs = rest.join(leaders, "bucket").where("root <> led").select(
-            F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")
+        parted = classed.join(mixed, "bucket").join(nodes.select("node", "keys"), "node")
+        key = lambda step: F.col("keys")[F.pmod(F.col("band") + step, F.lit(n_bands))]
+        steps = STEPS[level] if level < len(STEPS) else (level + 3,)
+        finer = F.array(*[F.xxhash64("bucket", F.lit(step), key(step)) for step in steps]) if steps else F.array("bucket")
+        parted = stored(parted.select(F.explode(finer).alias("bucket"), "band", "node", "root"))
+        sizes = parted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "least"))
+        several = sizes.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+        leaders = stored(
+            sizes.withColumn("place", place).where(F.col("place") <= LEADERS).join(several, "bucket")
+            .select("bucket", F.col("least").alias("leader"), F.col("root").alias("led"))
         )
+        pairs = parted.join(leaders, "bucket").where("root <> led").select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
         pairs = stored(pairs.distinct().join(seen, ["u", "v"], "left_anti"))
-        found = found.unionByName(alike(pairs, nodes, sets, similarity))
-        roots = stored(components(found))
-        led = leaders.select("bucket", F.col("leader").alias("node"))
-        rest = rest.join(unsettled, "bucket", "left_semi").join(led, ["bucket", "node"], "left_anti").select("bucket", "node")
-        seen, many = seen.unionByName(pairs), many * 4
+        linked = alike(pairs, nodes, sets, similarity)
+        if not linked.isEmpty():
+            found = found.unionByName(linked)
+            roots = stored(components(found))
+        rest = parted.join(leaders, "bucket", "left_semi").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        rest, seen = rest.select("bucket", "band", "node"), stored(seen.unionByName(pairs))
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").groupBy(
         F.coalesce("root", "node").alias("root")
     ).agg(F.min("first").alias("first"))
