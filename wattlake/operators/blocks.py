@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattlake.session import stored_table
 
@@ -31,6 +32,16 @@ def second_block(order: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(order)) / (seconds * 1_000_000))
 
 
+def order_block(df: DataFrame, order: str, steps: int = BLOCK_DAYS) -> Column:
+    """Block of ``steps`` days of a date or time, or of as many units of a number."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, T.DateType):
+        return day_block(order, steps)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.floor(F.datediff(F.to_date(order), F.lit("1970-01-01").cast("date")) / steps)
+    return F.floor(F.col(order) / steps)
+
+
 def _same(keys: Sequence[str], left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on ``keys`` where null equals null; the keys of the left side stay."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])

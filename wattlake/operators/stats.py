@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.config import REGIME_LABELS
-from wattlake.operators.blocks import SPAN, affine_starts, day_block, numbered
+from wattlake.operators.blocks import SPAN, affine_starts, numbered, order_block
 from wattlake.operators.quantiles import describe_groups
 from wattlake.session import stored_table
 
@@ -108,12 +108,12 @@ def garch_grid(
     space. The variance of each step is an affine map of the one before, so a
     series is walked in runs of ``SPAN`` differences by many tasks: their maps
     compose, a short scan over the runs gives the variance that each begins with.
-    ``block`` cuts the series for numbering its rows, by days unless given.
+    ``block`` cuts the series for numbering its rows, by days or units of ``order`` unless given.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).alias("x"))
     moments = rows.groupBy(*keys).agg(F.avg("x").alias("mu"), F.var_pop("x").alias("v"), F.count("x").alias("n_obs"))
-    placed = numbered(rows, keys, [order, "x"], day_block(order) if block is None else block)
+    placed = numbered(rows, keys, [order, "x"], order_block(rows, order) if block is None else block)
     taken = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("xs")
     runs = placed.groupBy(*keys, F.floor(F.col("pos") / SPAN).alias("run")).agg(taken)
     grid = F.array(*[
