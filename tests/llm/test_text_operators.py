@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import corpus_pipeline
@@ -357,3 +359,42 @@ def test_text_unlike_every_learned_language_goes(spark):
 ])
 def test_empty_table(make, tmp_path, run):
     assert run(make(tmp_path, [])).collect() == []
+
+
+def plain_mixture(text, table):
+    """The best mixture of all languages, one row per trigram of the text, in plain Python."""
+    data = f" {text.lower()} ".encode()
+    rows = [table[int(language_id.trigrams(data[i : i + 3])[0])] for i in range(len(data) - 2)]
+    share = [1.0 / table.shape[1]] * table.shape[1]
+    for _ in range(language_id.ITERATIONS):
+        new = [0.0] * len(share)
+        for row in rows:
+            whole = sum(s * p for s, p in zip(share, row, strict=True))
+            for k, s in enumerate(share):
+                new[k] += s * row[k] / whole / len(rows)
+        moved, share = max(abs(a - b) for a, b in zip(share, new, strict=True)), new
+        if moved < 1e-3:
+            break
+    return share, sum(math.log(sum(s * p for s, p in zip(share, row, strict=True))) for row in rows)
+
+
+@pytest.mark.parametrize("text", ["a", "the house of the rising sun " * 3, "das ist ein haus and this is not äö中"])
+def test_mixture_of_distinct_trigrams_is_that_of_all(text):
+    table = np.random.default_rng(5).dirichlet([0.3] * (1 << language_id.BITS), 3).T + 1e-9
+    grams, times = language_id.distinct(text)
+    share, likelihood = language_id.mixture(table[grams], times, np.full(3, 1 / 3))
+    wanted, wanted_likelihood = plain_mixture(text, table)
+    assert np.allclose(share, wanted) and math.isclose(likelihood, wanted_likelihood, rel_tol=1e-9)
+
+
+def test_trigrams_of_a_very_long_text_are_counted_in_blocks():
+    text = "".join(f"word{i} " for i in range(500_000))  # over 5 MB, several blocks
+    grams, times = language_id.distinct(text)
+    whole = np.bincount(language_id.trigrams(f" {text} ".encode()), minlength=1 << language_id.BITS)
+    assert len(text) > 5_000_000 and times.sum() == len(text) and (whole[grams] == times).all()
+    table = np.full((1 << language_id.BITS, 2), 2.0**-language_id.BITS)
+    table[grams[:50], 0] *= 2
+    tracemalloc.start()
+    share, _ = language_id.infer(text, table)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000 and share.argmax() == 0
+    tracemalloc.stop()

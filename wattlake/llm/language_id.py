@@ -13,8 +13,9 @@ model holds ``2 ** BITS`` numbers per language.
 Defined cases: a null text, or one without letters, is ``und`` with score 0, as is
 every text if no language was learned; rows without a language label are not
 learned from; repeated rows count as often as they occur and give one row each;
-ties go to the first language by name; texts of any length are read whole;
-further columns are ignored by ``predict`` and kept by ``keep_known``.
+ties go to the first language by name; texts of any length are read whole, and what
+is held beside the text is bounded by the number of distinct trigrams; an empty table
+gives an empty result; further columns are ignored by ``predict`` and kept by ``keep_known``.
 """
 
 from __future__ import annotations
@@ -41,17 +42,35 @@ UNKNOWN = "und"
 #: this: a factor e below that of a model that has learned nothing.
 LEAST_TRIGRAMS = 20
 LEAST_FIT = -BITS * float(np.log(2)) - 1.0
+#: Trigrams that are hashed at once, which bounds the memory for very long texts.
+BLOCK = 1 << 19
 LETTER = regex.compile(r"\p{L}")
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hashed byte trigrams of the lower-cased text, word ends included."""
-    b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
+def trigrams(data: bytes) -> np.ndarray:
+    """Hashed trigrams of the bytes."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
     h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     return (h >> np.uint32(32 - BITS)).astype(np.int32)
 
 
+def blocks(text: str) -> Iterator[np.ndarray]:
+    """Hashed trigrams of the lower-cased text, word ends included, ``BLOCK`` at a time."""
+    data = f" {text.lower()} ".encode()
+    for at in range(0, len(data) - 2, BLOCK):
+        yield trigrams(data[at : at + BLOCK + 2])
+
+
+def distinct(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed trigrams of the text and how often each occurs: at most ``2 ** BITS``, however long the text is."""
+    if len(text) < BLOCK // 8:
+        return np.unique(np.concatenate([*blocks(text), np.empty(0, np.int32)]), return_counts=True)
+    n = sum(np.bincount(grams, minlength=1 << BITS) for grams in blocks(text))
+    seen = np.flatnonzero(n)
+    return seen, n[seen]
+
+
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages by name and their trigram probabilities, ``2 ** BITS`` x languages."""
 
@@ -61,7 +80,8 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang not in counts:
                     counts[lang] = np.zeros(1 << BITS, np.int64)
-                counts[lang] += np.bincount(trigrams(text), minlength=1 << BITS)
+                grams, n = distinct(text)
+                counts[lang][grams] += n
         for lang, n in counts.items():
             seen = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
@@ -84,34 +104,35 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return langs, table
 
 
-def mixture(p: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shares that maximise the likelihood of trigrams with probabilities ``p``, and its logarithm."""
+def mixture(p: np.ndarray, times: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shares that maximise the likelihood of trigrams with probabilities ``p`` that occur ``times`` each, and its logarithm."""
+    n = times.sum()
     for _ in range(ITERATIONS):
-        now = share * (p.T @ (1.0 / (p @ share))) / len(p)
+        now = share * (p.T @ (times / (p @ share))) / n
         if np.abs(now - share).max() < 1e-3:
             share = now
             break
         share = now
-    return share, float(np.log(p @ share).sum())
+    return share, float(times @ np.log(p @ share))
 
 
 def infer(text: str, table: np.ndarray) -> tuple[np.ndarray, float]:
     """Share of each language after selection of the language set, and the mean log-likelihood of a trigram."""
-    p = table[trigrams(text)]
-    n, k = p.shape
-    single = np.log(p).sum(0)
+    grams, times = distinct(text)
+    p, n, k = table[grams], times.sum(), table.shape[1]
+    single = times @ np.log(p)
     best = int(single.argmax())
     chosen, score = [best], float(single[best])
     share = np.zeros(k)
     share[best] = 1.0
     if k > 1:
-        all_shares, _ = mixture(p, np.full(k, 1.0 / k))
+        all_shares, _ = mixture(p, times, np.full(k, 1.0 / k))
         penalty = PENALTY * np.log(n)
         for extra in np.argsort(-all_shares, kind="stable"):
             if extra in chosen:
                 continue
             wider = [*chosen, int(extra)]
-            weights, likelihood = mixture(p[:, wider], np.maximum(all_shares[wider], 1e-3) / np.maximum(all_shares[wider], 1e-3).sum())
+            weights, likelihood = mixture(p[:, wider], times, np.maximum(all_shares[wider], 1e-3) / np.maximum(all_shares[wider], 1e-3).sum())
             if likelihood - score <= penalty:
                 break
             chosen, score = wider, likelihood
