@@ -50,6 +50,12 @@ def test_price_gates(year):
     negative = full.withColumn("price_eur_mwh", F.when(F.col("ts_utc") == "2023-07-01 12:00:00", -5.0).otherwise(100.0))
     assert gates.negatives_present(negative, [2023]).first().ok
     assert gates.negatives_present(negative, [2024]).count() == 0
+    # Another zone is judged by itself, and by its own span.
+    half = full.where("ts_utc < '2023-06-01'").withColumn("zone", F.lit("other"))
+    both = {(r.zone, r.year): (r.scope, r.ok) for r in gates.annual_mean_plausibility(full.union(half), {2023: (10, 20)}).collect()}
+    zone = full.first().zone
+    assert both["other", 2023] == ("boundary", True) and both[zone, 2023] == ("complete", False)
+    assert {r.zone for r in gates.negatives_present(negative.unionByName(half), [2023]).collect()} == {zone}
     assert gates.price_plausibility(negative, -1.0, 5000.0).count() == 1
 
 
@@ -60,6 +66,9 @@ def test_load_and_join_gates(year):
     assert gates.join_coverage(hourly(year), load).first().coverage == 1.0
     thin = load.where("hour(ts_utc) <> 3 or month(ts_utc) > 6")
     assert not gates.join_coverage(hourly(year), thin).first().ok
+    other = hourly(year).withColumn("zone", F.lit("other")).where("hour(ts_utc) <> 3")
+    found = {r.zone: r.ok for r in gates.join_coverage(hourly(year).unionByName(other), thin).where("year = 2023").collect()}
+    assert len(found) == 2 and found["other"] and list(found.values()).count(False) == 1
 
 
 def test_freshness(spark):

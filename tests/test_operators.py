@@ -132,6 +132,9 @@ def test_one_to_one_rejects_repeats(spark):
     with pytest.raises(ValueError, match="left side"):
         joins.one_to_one(a, b, ["k"])
     assert joins.one_to_one(b, b.withColumnRenamed("w", "u"), ["k"]).count() == 1
+    assert joins.one_to_one(a, b, ["k"], within=["v"]).count() == 2
+    with pytest.raises(ValueError, match="left side"):
+        joins.one_to_one(a.union(a), b, ["k"], within=["v"])
 
 
 def test_reconcile_reports_each_difference(spark):

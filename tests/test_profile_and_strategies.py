@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import random
 from datetime import date
 
 import pytest
@@ -62,16 +62,15 @@ def test_holidays(spark, calendar):
     assert all(r.ok for r in checks.collect())
 
 
-def closed_form(spark):
-    """Monthly spot and index given by formulas, with the matching parameters."""
+def market(spark):
+    """Seven years of monthly spot costs and index values drawn with a fixed seed, with the matching parameters."""
+    draw = random.Random(11).uniform
     spot, index = [], []
-    for i in range(84):
-        year, month = 2019 + i // 12, i % 12 + 1
-        volume = 4000.0 + 300.0 * math.cos(2 * math.pi * (month - 1) / 12)
-        price = 45.0 + 400.0 * math.exp(-(((i - 43.0) / 8.0) ** 2)) + 8.0 * math.sin(i)
-        wave = math.exp(-(((i - 49.0) / 10.0) ** 2))
-        spot.append(("main", year, month, volume, volume * price))
-        index.append((year, month, 100.0 + 600.0 * wave, 85.0 + 540.0 * wave))
+    for year in range(2019, 2026):
+        for month in range(1, 13):
+            volume, base = draw(2500.0, 5000.0), draw(80.0, 500.0)
+            spot.append(("main", year, month, volume, volume * draw(-5.0, 300.0)))
+            index.append((year, month, base, base * draw(0.7, 1.3)))
     s = spark.createDataFrame(spot, "profile string, year_local int, month_local int, volume_mwh double, spot_cost_eur double")
     x = spark.createDataFrame(index, "year_local int, month_local int, oespi_base double, oespi_peak double")
     p = spark.createDataFrame(
@@ -83,7 +82,7 @@ def closed_form(spark):
 
 def python_costs(spark, year):
     """The same year priced month by month in plain Python."""
-    s, x, _ = closed_form(spark)
+    s, x, _ = market(spark)
     idx = {(r.year_local, r.month_local): (r.oespi_base, r.oespi_peak) for r in x.collect()}
 
     def blend(b, p):
@@ -99,8 +98,8 @@ def python_costs(spark, year):
     return {"S1": s1, "S2": s2, "S3": s3, "S4_30": 0.3 * s3 + 0.7 * s1, "S4_50": 0.5 * (s1 + s3), "S4_70": 0.7 * s3 + 0.3 * s1}
 
 
-def test_closed_form_years(spark):
-    s, x, p = closed_form(spark)
+def test_yearly_costs_equal_plain_python(spark):
+    s, x, p = market(spark)
     annual = strategies.annual_summary(strategies.monthly_costs(s, x, p, CFG)).collect()
     assert len(annual) == 30
     for year in CFG.years:
@@ -112,20 +111,20 @@ def test_closed_form_years(spark):
             assert got[sid]["rank"] == 1 + sum(c < cost - 1e-6 for c in want.values())
 
 
-# Published closed-form results of the first delivery year.
-KNOWN_2021 = {"S1": 4285653.584339, "S2": 2471014.641949, "S3": 2211437.559114}
-
-
-def test_published_closed_form_values(spark):
-    s, x, p = closed_form(spark)
+def test_costs_of_a_flat_market(spark):
+    """10 MWh a month at 50 EUR, the index at its reference: all by hand from 40 * 0.52 + 42 * 0.48 = 40.96 EUR."""
+    s, x, p = market(spark)
+    s = s.withColumn("volume_mwh", F.lit(10.0)).withColumn("spot_cost_eur", F.lit(500.0))
+    x = x.withColumn("oespi_base", F.lit(100.0)).withColumn("oespi_peak", F.lit(85.0))
     annual = strategies.annual_summary(strategies.monthly_costs(s, x, p, CFG)).where("year = 2021").collect()
-    got = {r.strategy_id: r.cost_eur for r in annual}
-    for sid, cost in KNOWN_2021.items():
-        assert got[sid] == pytest.approx(cost, rel=1e-9)
+    got = {r.strategy_id: (r.cost_eur, r["rank"]) for r in annual}
+    want = {"S1": 6000.0, "S2": 4915.2, "S3": 5515.2, "S4_30": 5854.56, "S4_50": 5757.6, "S4_70": 5660.64}
+    assert {k: v for k, (v, _) in got.items()} == pytest.approx(want, rel=1e-9)
+    assert sorted(got, key=lambda k: got[k][1]) == ["S2", "S3", "S4_70", "S4_50", "S4_30", "S1"]
 
 
 def test_lock_price_never_looks_ahead(spark):
-    _, x, p = closed_form(spark)
+    _, x, p = market(spark)
     before = {r.year_local: r.lock_price for r in strategies.lock_prices(x, p, CFG.years).collect()}
     inside = (F.col("year_local") == 2021) & (F.col("month_local") >= 7)
     moved = x.withColumn("oespi_base", F.when(inside, F.col("oespi_base")).otherwise(F.col("oespi_base") * 3))
@@ -135,13 +134,13 @@ def test_lock_price_never_looks_ahead(spark):
 
 
 def test_incomplete_lock_window_is_an_error(spark):
-    _, x, p = closed_form(spark)
+    _, x, p = market(spark)
     with pytest.raises(Exception, match="lock window incomplete"):
         strategies.lock_prices(x.where("not (year_local = 2021 and month_local = 9)"), p, CFG.years).collect()
 
 
 def test_missing_index_is_an_error(spark):
-    s, x, p = closed_form(spark)
+    s, x, p = market(spark)
     holed = x.where("not (year_local = 2023 and month_local = 2)")
     assert strategies.missing_index_months(s, holed, CFG.years).count() == 1
     with pytest.raises(Exception, match="index missing"):
@@ -155,7 +154,7 @@ def test_wrong_strategy_cost_breaks_ties_by_id(spark):
 
 
 def test_consumers_keep_their_own_prices_and_an_unlisted_one_is_an_error(spark):
-    s, x, p = closed_form(spark)
+    s, x, p = market(spark)
     other = p.withColumn("profile", F.lit("other")).withColumn("p_ref_base", F.col("p_ref_base") * 2).withColumn("p_ref_peak", F.col("p_ref_peak") * 2)
     both = s.unionByName(s.withColumn("profile", F.lit("other")))
     got = strategies.annual_summary(strategies.monthly_costs(both, x, p.unionByName(other), CFG), ["profile"])

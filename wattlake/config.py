@@ -139,7 +139,7 @@ FLAT_PROFILE = MAIN_PROFILE.flattened()
 
 @dataclass(frozen=True)
 class StrategyConfig:
-    """Tunables of the procurement strategies."""
+    """Tunables of the procurement strategies. The defaults, which published results rest on."""
 
     years: tuple[int, ...] = (2021, 2022, 2023, 2024, 2025)
     reference_year: int = 2019

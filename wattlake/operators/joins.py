@@ -17,11 +17,13 @@ def with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
     return df
 
 
-def one_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join after proving that neither side repeats a key."""
-    for side, frame in (("left", left), ("right", right)):
-        if duplicate_keys(frame, on).limit(1).count():
-            raise ValueError(f"{side} side of a one-to-one join repeats {list(on)}")
+def one_to_one(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", within: Sequence[str] = ()
+) -> DataFrame:
+    """Join after proving that neither side repeats a key; the left side only inside each group of ``within``."""
+    for side, frame, keys in (("left", left, [*within, *on]), ("right", right, list(on))):
+        if duplicate_keys(frame, keys).limit(1).count():
+            raise ValueError(f"{side} side of a one-to-one join repeats {keys}")
     return left.join(right, list(on), how)
 
 

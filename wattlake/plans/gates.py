@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlake import config as cfg
@@ -30,6 +30,19 @@ def span_of(*frames: DataFrame) -> DataFrame:
     return spans.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def with_zone_span(yearly: DataFrame) -> DataFrame:
+    """``lo`` and ``hi`` of each zone-year widened to the whole span of its zone; ``yearly`` is one row per zone and year."""
+    zone = Window.partitionBy("zone")
+    return yearly.withColumn("lo", F.min("lo").over(zone)).withColumn("hi", F.max("hi").over(zone))
+
+
+def _zone_years(hourly: DataFrame, *aggregates: Column) -> DataFrame:
+    """The aggregates per zone and local year, with the span of the zone; one pass over the hours."""
+    local = tc.local_time(F.col("ts_utc"))
+    yearly = hourly.groupBy("zone", _local_year().alias("year")).agg(*aggregates, F.min(local).alias("lo"), F.max(local).alias("hi"))
+    return with_zone_span(yearly)
+
+
 def is_complete_year(year: Column) -> Column:
     """The span in scope (``lo``, ``hi``) covers the year, with a day of grace at both ends."""
     return (F.col("lo") <= F.make_date(year, F.lit(1), F.lit(2)).cast("timestamp")) & (
@@ -84,29 +97,26 @@ def price_plausibility(hourly: DataFrame, low: float = cfg.PRICE_BOUNDS[0], high
 
 
 def annual_mean_plausibility(hourly: DataFrame, bounds: dict[int, tuple[float, float]] | None = None) -> DataFrame:
-    """Annual mean against its per-year range; a complete year without a range fails."""
+    """Annual mean of each zone against its per-year range; a complete year without a range fails."""
     table = cfg.ANNUAL_MEAN_BOUNDS if bounds is None else bounds
     limits = F.create_map(*[x for y, (a, b) in table.items() for x in (
         F.lit(y), F.struct(F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")))])
-    yearly = hourly.groupBy(_local_year().alias("year")).agg(F.avg("price_eur_mwh").alias("mean_price"))
-    rows = with_bounds(yearly, span_of(hourly)).withColumn("limit", F.try_element_at(limits, F.col("year")))
+    rows = _zone_years(hourly, F.avg("price_eur_mwh").alias("mean_price"))
+    rows = rows.withColumn("limit", F.try_element_at(limits, F.col("year")))
     inside = F.coalesce(F.col("mean_price").between(F.col("limit.low"), F.col("limit.high")), F.lit(False))
     scope = _scope(F.col("year"))
     return rows.select(
-        "year", F.col("mean_price").alias("mean_price_eur_mwh"),
+        "zone", "year", F.col("mean_price").alias("mean_price_eur_mwh"),
         F.col("limit.low").alias("low"), F.col("limit.high").alias("high"),
         scope.alias("scope"), (inside | (scope == "boundary")).alias("ok"),
     )
 
 
 def negatives_present(hourly: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Each complete required year must show at least one negative price."""
-    yearly = hourly.groupBy(_local_year().alias("year")).agg(
-        F.count_if(F.col("price_eur_mwh") < 0).alias("n_negative")
-    )
-    rows = with_bounds(yearly.where(F.col("year").isin(*years)), span_of(hourly))
-    return rows.where(is_complete_year(F.col("year"))).select(
-        "year", "n_negative", (F.col("n_negative") > 0).alias("ok")
+    """Each complete required year of each zone must show at least one negative price."""
+    rows = _zone_years(hourly, F.count_if(F.col("price_eur_mwh") < 0).alias("n_negative"))
+    return rows.where(F.col("year").isin(*years) & is_complete_year(F.col("year"))).select(
+        "zone", "year", "n_negative", (F.col("n_negative") > 0).alias("ok")
     )
 
 
@@ -127,17 +137,16 @@ def load_plausibility(hourly: DataFrame) -> DataFrame:
 
 
 def join_coverage(prices: DataFrame, load: DataFrame) -> DataFrame:
-    """Share of priced hours that also have a load value, per local year."""
+    """Share of priced hours of each zone that also have a load value, per local year."""
     has_load = load.select("ts_utc").distinct().withColumn("has_load", F.lit(True))
-    hours = prices.select("ts_utc").distinct().join(has_load, "ts_utc", "left")
-    yearly = hours.groupBy(_local_year().alias("year")).agg(
-        F.count("*").alias("price_hours"), F.count("has_load").alias("matched_hours")
-    )
-    rows = with_bounds(yearly, span_of(prices, load))
+    hours = prices.select("zone", "ts_utc").distinct().join(has_load, "ts_utc", "left")
+    rows = _zone_years(hours, F.count("*").alias("price_hours"), F.count("has_load").alias("matched_hours"))
+    loaded = span_of(load)
+    rows = rows.withColumn("lo", F.least("lo", loaded.select("lo").scalar())).withColumn("hi", F.greatest("hi", loaded.select("hi").scalar()))
     share = F.col("matched_hours") / F.col("price_hours")
     scope = _scope(F.col("year"))
     return rows.select(
-        "year", "price_hours", "matched_hours", F.round(share, 4).alias("coverage"), scope.alias("scope"),
+        "zone", "year", "price_hours", "matched_hours", F.round(share, 4).alias("coverage"), scope.alias("scope"),
         ((share >= cfg.JOIN_COVERAGE_MIN) | (scope == "boundary")).alias("ok"),
     )
 

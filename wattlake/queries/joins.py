@@ -150,22 +150,22 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("j13_match_coverage", """
-    SELECT year_local, count(*) FILTER (WHERE price_at_eur_mwh IS NOT NULL) AS price_hours,
-           count(*) FILTER (WHERE price_at_eur_mwh IS NOT NULL AND load_at_mw IS NOT NULL) AS matched_hours
-    FROM hourly GROUP BY 1 HAVING count(price_at_eur_mwh) > 0""")
+    SELECT p.zone, year((p.ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna')::INT AS year_local, count(*) AS price_hours,
+           count(l.ts_utc) AS matched_hours
+    FROM prices p LEFT JOIN sysload l ON l.ts_utc = p.ts_utc GROUP BY 1, 2""")
 def _(t: Feeds) -> DataFrame:
-    rows = gates.join_coverage(t.prices.where("zone = 'AT'"), t.load)
-    return rows.select(F.col("year").alias("year_local"), "price_hours", "matched_hours")
+    rows = gates.join_coverage(t.prices, t.load)
+    return rows.select("zone", F.col("year").alias("year_local"), "price_hours", "matched_hours")
 
 
 @query("j14_one_to_one_merge", """
-    SELECT s.year_local, s.month_local, s.volume_mwh, o.oespi_base FROM spot s
-    LEFT JOIN obs o ON o.year_local = s.year_local AND o.month_local = s.month_local WHERE profile = 'main'""",
+    SELECT s.profile, s.year_local, s.month_local, s.volume_mwh, o.oespi_base FROM spot s
+    LEFT JOIN obs o ON o.year_local = s.year_local AND o.month_local = s.month_local""",
     "volume_mwh:5 oespi_base")
 def _(t: Feeds) -> DataFrame:
-    main = t.spot.where("profile = 'main'").select("year_local", "month_local", "volume_mwh")
+    months = t.spot.select("profile", "year_local", "month_local", "volume_mwh")
     index = t.observed_index.select("year_local", "month_local", "oespi_base")
-    return one_to_one(main, index, ["year_local", "month_local"])
+    return one_to_one(months, index, ["year_local", "month_local"], within=["profile"])
 
 
 @query("j15_rows_not_delivered_before", """

@@ -31,9 +31,9 @@ def _(t: Feeds) -> DataFrame:
 
 
 @query("m02_wrong_strategy_cost", """
-    SELECT sum(gap) AS wrong_strategy_cost_eur FROM (SELECT year, max(cost_eur) - min(cost_eur) AS gap FROM annual WHERE year >= 1998 GROUP BY 1)""", "wrong_strategy_cost_eur:2")
+    SELECT sum(gap) AS wrong_strategy_cost_eur FROM (SELECT year, max(cost_eur) - min(cost_eur) AS gap FROM annual GROUP BY 1)""", "wrong_strategy_cost_eur:2")
 def _(t: Feeds) -> DataFrame:
-    return measures.wrong_strategy_cost(t.costs.where("year_local >= 1998"))
+    return measures.wrong_strategy_cost(t.costs)
 
 
 @query("m03_cheapest_strategy", """

@@ -178,23 +178,27 @@ def _(t: Feeds) -> DataFrame:
 BOUNDS = {1995: (50.0, 90.0), 1996: (50.0, 60.0), 1997: (60.0, 95.0), 1998: (70.0, 80.0), 1999: (50.0, 100.0)}
 
 
+#: Hours in local time, and the span of each zone.
+ZONES = """h AS (SELECT zone, ts_utc, price_eur_mwh, (ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna' AS loc FROM prices),
+    s AS (SELECT zone, min(loc) AS lo, max(loc) AS hi FROM h GROUP BY 1)"""
+
+
 @query("q15_annual_mean_plausibility", f"""
-    SELECT year, mean_price_eur_mwh, low, high, scope, coalesce(mean_price_eur_mwh BETWEEN low AND high, false) OR scope = 'boundary' AS ok FROM (
-        SELECT year(loc)::INT AS year, avg(price_eur_mwh) AS mean_price_eur_mwh, any_value(low) AS low, any_value(high) AS high,
-               CASE WHEN {COMPLETE.format(t="(SELECT * FROM prices WHERE zone = 'AT')", y="year(loc)")} THEN 'complete' ELSE 'boundary' END AS scope
-        FROM (SELECT price_eur_mwh, (ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna' AS loc FROM prices WHERE zone = 'AT')
-        LEFT JOIN (VALUES (1995, 50.0::DOUBLE, 90.0::DOUBLE), (1996, 50.0, 60.0), (1997, 60.0, 95.0), (1998, 70.0, 80.0), (1999, 50.0, 100.0)) b(y, low, high) ON y = year(loc)
-        GROUP BY year(loc))""", "mean_price_eur_mwh")
+    WITH {ZONES}, m AS (SELECT zone, year(loc)::INT AS year, avg(price_eur_mwh) AS mean_price_eur_mwh FROM h GROUP BY 1, 2),
+    x AS (SELECT m.*, low, high, CASE WHEN lo <= make_date(year, 1, 2) AND hi >= make_date(year, 12, 31) THEN 'complete' ELSE 'boundary' END AS scope
+          FROM m JOIN s USING (zone)
+          LEFT JOIN (VALUES (1995, 50.0::DOUBLE, 90.0::DOUBLE), (1996, 50.0, 60.0), (1997, 60.0, 95.0), (1998, 70.0, 80.0), (1999, 50.0, 100.0)) b(y, low, high) ON y = year)
+    SELECT *, coalesce(mean_price_eur_mwh BETWEEN low AND high, false) OR scope = 'boundary' AS ok FROM x""", "mean_price_eur_mwh")
 def _(t: Feeds) -> DataFrame:
-    return gates.annual_mean_plausibility(t.prices.where("zone = 'AT'"), BOUNDS)
+    return gates.annual_mean_plausibility(t.prices, BOUNDS)
 
 
 @query("q16_negative_prices_present", f"""
-    SELECT year(loc)::INT AS year, count(*) FILTER (WHERE price_eur_mwh < 0) AS n_negative, count(*) FILTER (WHERE price_eur_mwh < 0) > 0 AS ok
-    FROM (SELECT price_eur_mwh, (ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna' AS loc FROM prices WHERE zone = 'DE_LU')
-    WHERE year(loc) IN (1996, 1998, 2001) AND {COMPLETE.format(t="(SELECT * FROM prices WHERE zone = 'DE_LU')", y="year(loc)")} GROUP BY 1""")
+    WITH {ZONES}, m AS (SELECT zone, year(loc)::INT AS year, count(*) FILTER (WHERE price_eur_mwh < 0) AS n_negative FROM h GROUP BY 1, 2)
+    SELECT zone, year, n_negative, n_negative > 0 AS ok FROM m JOIN s USING (zone)
+    WHERE year IN (1996, 1998, 2001) AND lo <= make_date(year, 1, 2) AND hi >= make_date(year, 12, 31)""")
 def _(t: Feeds) -> DataFrame:
-    return gates.negatives_present(t.prices.where("zone = 'DE_LU'"), [1996, 1998, 2001])
+    return gates.negatives_present(t.prices, [1996, 1998, 2001])
 
 
 @query("q17_load_plausibility", f"""
@@ -206,19 +210,17 @@ def _(t: Feeds) -> DataFrame:
     return gates.load_plausibility(t.load)
 
 
-@query("q18_join_coverage", """
-    SELECT year, price_hours, matched_hours, round(matched_hours / price_hours, 4) AS coverage, scope,
-           matched_hours / price_hours >= 0.995 OR scope = 'boundary' AS ok FROM (
-        SELECT year(loc)::INT AS year, count(*) AS price_hours, count(l.ts_utc) AS matched_hours,
-               CASE WHEN (SELECT min(x) FROM b) <= make_date(year(loc)::INT, 1, 2) AND (SELECT max(x) FROM b) >= make_date(year(loc)::INT, 12, 31)
-                    THEN 'complete' ELSE 'boundary' END AS scope
-        FROM (SELECT ts_utc, (ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna' AS loc FROM prices WHERE zone = 'AT') p
-        LEFT JOIN sysload l ON l.ts_utc = p.ts_utc GROUP BY year(loc))""".replace("(SELECT min(x) FROM b)",
-    "(SELECT min((ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna') FROM (SELECT ts_utc FROM prices WHERE zone = 'AT' UNION ALL SELECT ts_utc FROM sysload))").replace(
-    "(SELECT max(x) FROM b)",
-    "(SELECT max((ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna') FROM (SELECT ts_utc FROM prices WHERE zone = 'AT' UNION ALL SELECT ts_utc FROM sysload))"))
+@query("q18_join_coverage", f"""
+    WITH {ZONES}, l AS (SELECT ts_utc, (ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna' AS loc FROM sysload),
+    m AS (SELECT h.zone, year(h.loc)::INT AS year, count(*) AS price_hours, count(l.ts_utc) AS matched_hours
+          FROM h LEFT JOIN l ON l.ts_utc = h.ts_utc GROUP BY 1, 2),
+    x AS (SELECT m.*, CASE WHEN least(lo, (SELECT min(loc) FROM l)) <= make_date(year, 1, 2)
+                            AND greatest(hi, (SELECT max(loc) FROM l)) >= make_date(year, 12, 31) THEN 'complete' ELSE 'boundary' END AS scope
+          FROM m JOIN s USING (zone))
+    SELECT zone, year, price_hours, matched_hours, round(matched_hours / price_hours, 4) AS coverage, scope,
+           matched_hours / price_hours >= 0.995 OR scope = 'boundary' AS ok FROM x""")
 def _(t: Feeds) -> DataFrame:
-    return gates.join_coverage(t.prices.where("zone = 'AT'"), t.load)
+    return gates.join_coverage(t.prices, t.load)
 
 
 @query("q19_weather_checks", """

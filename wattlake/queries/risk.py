@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from wattlake.config import HISTOGRAM_BIN_EUR
 from wattlake.operators import quantiles
 from wattlake.plans import risk
-from wattlake.queries.aggregates import HISTOGRAM
 from wattlake.queries.feeds import Feeds
 from wattlake.queries.registry import query
 
@@ -51,11 +50,13 @@ def _(t: Feeds) -> DataFrame:
     return t.risk_summary
 
 
-@query("r07_risk_histogram", HISTOGRAM.format(
-    k="strategy_id", v="cost_eur", w="100000.0::DOUBLE", t="(SELECT * FROM pathcosts WHERE variant = 'unconditional')"))
+@query("r07_risk_histogram", """
+    WITH h AS (SELECT variant, strategy_id, floor(cost_eur / 100000.0::DOUBLE)::BIGINT AS bin, count(*) AS n FROM pathcosts GROUP BY 1, 2, 3),
+         axis AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM h)
+    SELECT g.variant, g.strategy_id, axis.bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT variant, strategy_id FROM h) g
+    CROSS JOIN axis LEFT JOIN h ON h.variant = g.variant AND h.strategy_id = g.strategy_id AND h.bin = axis.bin""")
 def _(t: Feeds) -> DataFrame:
-    paths = t.path_costs.where("variant = 'unconditional'")
-    return quantiles.histogram(paths, ["strategy_id"], "cost_eur", HISTOGRAM_BIN_EUR)
+    return quantiles.histogram(t.path_costs, ["variant", "strategy_id"], "cost_eur", HISTOGRAM_BIN_EUR)
 
 
 @query("r08_variants", """
