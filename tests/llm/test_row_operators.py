@@ -183,6 +183,27 @@ def test_plan_holds_every_piece_once(seed):
     assert sum(n for _, n in plan) <= 1.3 * bound + len(histogram)
 
 
+def test_program_holds_most_tokens_and_meets_the_bound():
+    """Lengths as in a corpus: most short, few up to the capacity, over a thousand different ones."""
+    rng = np.random.default_rng(4)
+    drawn = np.minimum(rng.lognormal(5.6, 0.9, 40_000).astype(int) + 1, 2047)
+    histogram = {int(k): int(n) for k, n in zip(*np.unique(drawn, return_counts=True), strict=True)}
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[k] for k in lengths.tolist()])
+    program, bound = packing.fractional(lengths, demand, 2048)
+    held = collections.Counter()
+    for config, n in program:
+        assert sum(k * c for k, c in config.items()) <= 2048
+        for k, c in config.items():
+            held[k] += c * n
+    assert all(held[k] <= histogram[k] for k in held)
+    assert sum(k * n for k, n in held.items()) >= 0.9 * drawn.sum()
+    used = sum(n for _, n in packing.pack_histogram(histogram, 2048))
+    alone = sum(n for _, n in packing.rounded(histogram, [], 2048))
+    through_program = sum(n for _, n in packing.rounded(histogram, packing.first_part(program, 0.5), 2048))
+    assert drawn.sum() / 2048 - 1 < bound <= used <= min(alone, through_program) and used <= 1.001 * bound + 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_knapsack_equals_brute_force(seed):
     rng = np.random.default_rng(seed)

@@ -5,10 +5,14 @@ What the packing needs is the histogram of piece lengths: at most ``capacity``
 numbers, whatever the corpus. On it the configuration program is solved - a
 configuration is a multiset of lengths that fits one sequence, and each length
 must be covered as often as it occurs. Multiplicative weights hold a price per
-length; each round a knapsack dynamic program finds the configuration of the
-highest price, and prices of lengths covered too often fall. The mean of the
-rounds is rounded down to whole sequences, and lengths that are left over are
-placed best-fit, longest first, on the histogram as well.
+length; each round a knapsack dynamic program over the lengths that are left finds the highest
+price of a sequence, and configurations that reach it are taken one after another, each as
+often as the remaining demand allows; prices of covered lengths fall with the covered share
+of their demand. The prices also give a lower bound on the number of sequences. Since
+configurations are taken in whole sequences, rounding decides how many of them stay, in
+their order: later ones find fewer lengths to fill a sequence with. What is left over is
+placed best-fit, longest first, on the histogram as well. The plan with the fewest sequences
+counts, of equal ones that with most configurations.
 
 The plan is a list of runs, "the pieces of this length with these ranks lie at
 this place of these sequences". A piece finds its run by its rank among the
@@ -47,11 +51,19 @@ CACHED_WORDS = 150_000
 CACHED_PARTS = 250_000
 #: Fixed value: the part pattern of the word-level vocabulary, which drops what it does not match.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Rounds of the multiplicative weights; each is one knapsack program.
-ROUNDS = 240
-STEP = 0.3
-#: Shares of the fractional program that are rounded.
-SHARES = (1.0, 0.9, 0.7, 0.5, 0.3)
+#: Rounds of the multiplicative weights, each with one knapsack program, and configurations taken in a round at most.
+ROUNDS = 120
+COLUMNS = 64
+#: How far a price falls (as a power of e) when all of a length's demand is covered.
+STEP = 0.1
+#: A configuration may lie below the highest price by this share, by four times as much after a
+#: round that found none, up to ``WORST``.
+SLACK = 1e-4
+WORST = 2e-3
+#: The program ends when it covers this share of all tokens.
+COVERED = 0.97
+#: Shares of the program's tokens at which it is rounded; 0 is best-fit alone.
+SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.25, 0.0)
 #: Tokens in one result batch.
 BATCH_TOKENS = 1_000_000
 
@@ -176,59 +188,101 @@ def pieces(
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: the multiset of lengths of the highest total price that fits.
-
-    ``lengths`` ascend. Returns index -> copies.
-    """
+def best_values(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack by dynamic programming: the highest total price of a multiset of lengths for each room up to ``capacity``."""
     value = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
     usable = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        value[room] = value[room - 1]
         k = usable[room]
-        if k:
-            gain = value[room - lengths[:k]] + price[:k]
-            best = int(gain.argmax())
-            if gain[best] > value[room]:
-                value[room], last[room] = gain[best], best
-    found: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
+        value[room] = max(value[room - 1], (value[room - lengths[:k]] + price[:k]).max()) if k else value[room - 1]
+    return value
+
+
+def configuration(
+    lengths: np.ndarray, price: np.ndarray, value: np.ndarray, left: np.ndarray, slack: float = 0.0, worst: float = 1e-9
+) -> dict[int, int]:
+    """A multiset of the lengths that are left whose price reaches the highest one but for ``worst``; empty if none was found.
+
+    Walks the knapsack's values from the full room down and takes the longest piece that costs no more than ``slack``
+    in all, else the step that costs least. Returns index -> copies.
+    """
+    room, lost, found = len(value) - 1, 0.0, {}
+    free = left.copy()
+    while room >= lengths[0]:
+        k = int(np.searchsorted(lengths, room, "right"))
+        loss = np.where(free[:k] > 0, value[room] - price[:k] - value[room - lengths[:k]], np.inf)
+        cheap = np.flatnonzero(loss <= max(slack - lost, 0.0) + 1e-12)
+        at = int(cheap[-1]) if len(cheap) else int(loss.argmin())
+        waste = value[room] - value[room - 1]
+        if len(cheap) or loss[at] <= waste:
+            lost += max(float(loss[at]), 0.0)
+            found[at] = found.get(at, 0) + 1
+            free[at] -= 1
+            room -= int(lengths[at])
         else:
-            found[int(last[room])] = found.get(int(last[room]), 0) + 1
-            room -= int(lengths[last[room]])
+            lost += waste
+            room -= 1
+        if lost > worst:
+            return {}
     return found
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how many sequences of each, from multiplicative weights.
+def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths of the highest total price that fits. ``lengths`` ascend. Returns index -> copies."""
+    return configuration(lengths, price, best_values(lengths, price, capacity), capacity // lengths)
+
+
+def fractional(
+    lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS
+) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Configurations (length -> copies) in the order taken with their numbers of sequences, and a lower bound on all sequences.
 
-    The mean over all rounds, scaled to the number of sequences that the total length needs at least.
+    The bound is the demand at the prices, over the highest price of a sequence; it holds for every packing.
     """
-    share = demand / demand.sum()
-    price = lengths / capacity
-    uses: dict[tuple, int] = {}
+    left, weight = demand.astype(np.int64), np.ones(len(lengths))
+    total = int(lengths.dot(left))
+    taken, bound, slack = [], 0.0, SLACK
     for _ in range(rounds):
-        config = best_configuration(lengths, price, capacity)
-        uses[tuple(sorted(config.items()))] = uses.get(tuple(sorted(config.items())), 0) + 1
-        covered = np.zeros(len(lengths))
-        for i, copies in config.items():
-            covered[i] = copies
-        # Prices fall with the coverage beyond a length's share; the size of the step is relative to rarity.
-        excess = covered / covered.sum() / np.maximum(share, 1.0 / rounds)
-        price = price * np.exp(-STEP * excess / excess.max())
-        price *= lengths.dot(demand) / capacity / max(price.dot(demand), 1e-300)
-    sequences = math.ceil(lengths.dot(demand) / capacity)
-    return [(dict(config), n * sequences / rounds) for config, n in uses.items()]
+        alive = np.flatnonzero(left)
+        if lengths.dot(left) <= (1 - COVERED) * total:
+            break
+        some, price = lengths[alive], (weight * lengths / capacity)[alive]
+        value = best_values(some, price, capacity)
+        if len(alive) == len(lengths):
+            bound = max(bound, float(price.dot(demand) / value[-1]))
+        for n_found in range(COLUMNS):  # noqa: B007
+            config = configuration(some, price, value, left[alive], slack * value[-1], WORST * value[-1])
+            if not config:
+                break
+            at, copies = alive[list(config)], np.array(list(config.values()))
+            times = int((left[at] // copies).min())
+            left[at] -= times * copies
+            weight[at] *= np.exp(-STEP * times * copies / demand[at])
+            taken.append(({int(lengths[i]): int(c) for i, c in zip(at, copies, strict=True)}, times))
+        if not config and not n_found:
+            if slack >= WORST:
+                break
+            slack = min(4 * slack, WORST)
+    return taken, bound
+
+
+def first_part(program: list[tuple[dict[int, int], int]], share: float) -> list[tuple[dict[int, int], int]]:
+    """The first configurations of a program, which hold ``share`` of its tokens; the last one in part."""
+    sizes = [sum(k * c for k, c in config.items()) for config, _ in program]
+    rest, part = share * sum(size * n for size, (_, n) in zip(sizes, program, strict=True)), []
+    for size, (config, n) in zip(sizes, program, strict=True):
+        whole = min(n, int(rest // size))
+        if whole < 1:
+            break
+        part.append((config, whole))
+        rest -= size * whole
+    return part
 
 
 def rounded(
-    histogram: dict[int, int], program: list[tuple[dict[int, int], float]], capacity: int
+    histogram: dict[int, int], program: list[tuple[dict[int, int], int]], capacity: int
 ) -> list[tuple[dict[int, int], int]]:
-    """Whole sequences of a fractional program, and best-fit for the lengths that are left over.
+    """The sequences of a program, and best-fit for the lengths that are left over.
 
     ``program`` holds configurations by length. Left-over lengths go, longest first, to the
     sequences with the least free room that holds them.
@@ -236,7 +290,7 @@ def rounded(
     left = dict(histogram)
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
     for config, amount in program:
-        whole = min(int(amount), *(left[length] // copies for length, copies in config.items()))
+        whole = min(amount, *(left[length] // copies for length, copies in config.items()))
         if whole > 0:
             open_.setdefault(capacity - sum(k * c for k, c in config.items()), []).append((config, whole))
             for length, copies in config.items():
@@ -266,8 +320,7 @@ def rounded(
 def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """``(length -> copies, number of sequences)`` that holds every piece of the histogram exactly once.
 
-    The program's mean is an approximation, so several shares of it are rounded, and the one
-    that needs the fewest sequences counts.
+    Never more sequences than best-fit alone, which is one of the plans compared.
     """
     full = histogram.get(capacity, 0)
     rest = {k: n for k, n in histogram.items() if k < capacity and n}
@@ -275,9 +328,8 @@ def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = ROUND
     if not rest:
         return plan
     lengths = np.array(sorted(rest), np.int64)
-    found = fractional(lengths, np.array([rest[int(k)] for k in lengths], float), capacity, rounds)
-    program = [({int(lengths[i]): copies for i, copies in config.items()}, amount) for config, amount in found]
-    plans = [rounded(rest, [(c, share * amount) for c, amount in program], capacity) for share in SHARES]
+    program, _ = fractional(lengths, np.array([rest[int(k)] for k in lengths]), capacity, rounds)
+    plans = [rounded(rest, first_part(program, share), capacity) for share in SHARES]
     return plan + min(plans, key=lambda groups: sum(n for _, n in groups))
 
 
