@@ -27,6 +27,60 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+def license_windows(text):
+    """Every window of every template from every word, and of those that overlap the best."""
+    words = re.findall("[a-z0-9]+", (text or "").lower())
+    run = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    best = set()
+    for key, grams, size, _ in license_scan.window_templates(license_scan.templates(), 0.8):
+        found = []
+        for p in range(len(run)):
+            cut = set(run[p : p + size - 1])
+            if run[p] in grams:
+                found.append((-2.0 * len(cut & set(grams)) / (len(cut) + len(grams)), -size, key, p + 1))
+        if found and min(found)[0] <= -0.8:
+            best.add(min(found))
+    beaten = lambda x: any(y < x and y[3] < x[3] - x[1] and x[3] < y[3] - y[1] for y in best)
+    return {(x[2], x[3], -x[0]) for x in best if not beaten(x)}
+
+
+def wrapped(text, width, mark):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines, line = [*lines, mark + line], ""
+        line += " " + word
+    return "\n".join([*lines, mark + line])
+
+
+def test_license_windows_find_wrapped_and_inline_notices(make, tmp_path):
+    code = "import os\n\n\ndef f(x):\n    return x + 1\n" * 30
+    heads = {key: code + wrapped(text, 60, "# ") + "\n" + code for key, text in license_scan.TEXTS.items()}
+    inline = [
+        ("MIT", "This file is part of Foo and is licensed under the MIT License."),
+        ("MIT", "Copyright 2020 Jane Doe. Licensed under the MIT License. See LICENSE for details."),
+        ("Apache-2.0", "All of it is, to be clear, licensed under the\n * Apache License,\n * Version 2.0, as are its parts."),
+    ]
+    clean = ["Permission was granted to the person in the photograph, who is under the impression of the weather. " * 40]
+    two = license_scan.TEXTS["GPL-2.0"] + " and so on " * 90 + license_scan.TEXTS["GPL-3.0"]
+    texts = [*heads.values(), *[t for _, t in inline], *clean, two, *ODD_TEXTS, "under the " * 3000 + "Licensed under the MIT License " * 300]
+    rows = license_scan.scan(make(tmp_path, texts, extra=CLASHING)).where("unit = -1").collect()
+    got = {i: {(r["license"], r["word"], r["dice"]) for r in rows if r["doc_id"] == i} for i in range(len(texts))}
+    assert got == {i: license_windows(t) for i, t in enumerate(texts)}
+    assert len(rows) == sum(map(len, got.values()))
+    for i, key in enumerate([*heads, *[k for k, _ in inline]]):
+        assert {k for k, *_ in got[i]} == {key}
+    assert got[len(heads) + len(inline)] == set()
+    assert {k for k, *_ in got[len(heads) + len(inline) + 1]} == {"GPL-2.0", "GPL-3.0"}
+
+
+def test_license_scan_of_repeated_rows_and_ties(make, tmp_path):
+    rows = license_scan.scan(make(tmp_path, ["Licensed under MIT\n"] * 2 + ["x"], ids=[1, 1, None])).collect()
+    assert sorted((r["doc_id"], r["unit"]) for r in rows) == [(1, u) for u in (-1, -1, 0, 0, 1, 1)]
+    tied = license_scan.scan(make(tmp_path / "tied", ["some words of two"]), [("B", "some words of two"), ("A", "some words of two")])
+    assert {(r["unit"], r["license"]) for r in tied.collect()} == {(-1, "A"), (0, "A"), (1, "A")}
+
+
 def test_license_scan_finds_lines_and_whole_texts(make, tmp_path):
     mit = license_scan.TEXTS["MIT"]
     changed = mit.replace("Software", "Program", 2)
@@ -41,6 +95,8 @@ def test_license_scan_finds_lines_and_whole_texts(make, tmp_path):
             best = min(((-2.0 * len(grams & set(g)) / (len(grams) + len(g)), key) for key, g in sets), default=(0, ""))
             if grams and -best[0] >= 0.8:
                 want[i, unit] = (best[1], -best[0])
+        for key, _, dice in license_windows(text):
+            want[i, -1] = (key, dice)
     assert got == want
     assert got[len(ODD_TEXTS), 0] == ("MIT", 1.0)
     assert 0.8 < got[len(ODD_TEXTS) + 1, 0][1] < 1.0
@@ -49,7 +105,7 @@ def test_license_scan_finds_lines_and_whole_texts(make, tmp_path):
 def test_license_scan_keeps_units_exactly_at_the_threshold(make, tmp_path):
     texts = ["Licensed under MIT", "Licensed under ISC"]
     got = {(r["doc_id"], r["unit"]): (r["license"], r["dice"]) for r in license_scan.scan(make(tmp_path, texts)).collect()}
-    assert got == {(i, unit): (name, 0.8) for i, name in enumerate(("MIT", "ISC")) for unit in (0, 1)}
+    assert got == {(i, unit): (name, 0.8) for i, name in enumerate(("MIT", "ISC")) for unit in (-1, 0, 1)}
     # Every size of unit and template that can reach 0.8 exactly, with words of its own.
     sizes = [(n, t) for n in range(2, 40) for t in range(2, 40) if 2 * min(n, t) == 0.8 * (n + t) or (n + t) % 5 == 0 and 0.4 * (n + t) <= min(n, t)]
     table, texts = [], []

@@ -7,17 +7,25 @@ bounds are never compared. Before that, only the bigrams that occur in some
 template at all are kept, and a unit with too few of them for any template of a
 fitting size is done. What is left - a handful of units - is compared exactly.
 
+A notice that is wrapped over lines or stands inside a sentence is found by windows:
+as many words of the text as the template has, from each place where one of its bigrams
+stands. To reach ``t`` a window holds the share ``t / (2 - t)`` of the template's bigrams, so a text that lacks
+more than the rest of them is out, and so is every place from which too few of them follow.
+Of windows that overlap the best stays, which tells versions of a licence apart.
+
 Templates are a fixed small table, so the scan is one pass without a shuffle. All
 of it is built-in functions.
 
 Defined cases: a null or empty text has no unit and no hit; a unit of one word has no bigram
-and no hit; repeated rows give their hits once each; equal coefficients go to the
-first template by name; texts and lines of any length are compared whole; further columns are
+and no hit; repeated rows give their hits once each; equal coefficients of a unit go to the
+first template by name; equal windows to the longer template, then the first by name, then the first place; a window at the
+end of a text may be shorter; texts and lines of any length are compared whole; further columns are
 ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -71,6 +79,43 @@ Public License as published by the Free Software Foundation, either version 3 of
 version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
 warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should
 have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should
+have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation,
+Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-3.0": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see
+http://www.gnu.org/licenses/.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS
+SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
 
@@ -92,6 +137,72 @@ def bigram_sets(table: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
     return sorted((key, list(grams)) for key, grams in distinct if grams)
 
 
+def window_templates(table: list[tuple[str, str]], threshold: float) -> list[tuple[str, list[str], int, int]]:
+    """``(licence, bigrams, words, need)``: the words of each template and how many of its bigrams a window must hold."""
+    words = {key: set() for key, _ in table}
+    for key, text in table:
+        found = re.findall(r"[a-z0-9]+", text.lower())
+        words[key].add((tuple(template_bigrams(text)), len(found)))
+    share = threshold / (2 - threshold) * (1 - 1e-9)
+    return sorted(
+        (key, list(grams), n, math.ceil(share * len(grams))) for key, sizes in words.items() for grams, n in sizes if grams
+    )
+
+
+def anchors(grams: list[str], need: int) -> list[str]:
+    """Bigrams of a template of which every window that holds ``need`` has one; long ones, as they are rare."""
+    return sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - need + 1]
+
+
+def _windows(fit: Column, table: list[tuple[str, list[str], int, int]], known: list[str], threshold: float) -> list[Column]:
+    """Columns to be selected one after another over ``words``' bigrams ``grams`` and the known ones among them, ``shared``."""
+    rare = sorted({a for _, grams, _, need in table for a in anchors(grams, need)})
+    entry = "array<struct<license:string,grams:array<string>,words:int,need:int>>"
+    all_of = F.array(*[
+        F.struct(F.lit(k).alias("license"), F.lit(g).alias("grams"), F.lit(w).alias("words"), F.lit(n).alias("need"))
+        for k, g, w, n in table
+    ])
+    possible = F.when(
+        fit & F.exists("shared", lambda g: g.isin(rare)),
+        F.filter(all_of, lambda t: F.size(F.array_intersect(F.col("shared"), t["grams"])) >= t["need"]),
+    ).otherwise(F.array().cast(entry))
+    gram = lambda i: F.get(F.col("grams"), i - 1)
+    at = F.when(
+        F.size("possible") > 0, F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: gram(i).isin(known))
+    ).otherwise(F.array().cast("array<int>"))
+    placed = F.transform(
+        "possible",
+        lambda t: F.struct(
+            t["license"].alias("license"), t["grams"].alias("grams"), t["words"].alias("words"), t["need"].alias("need"),
+            F.filter("at", lambda i: F.array_contains(t["grams"], gram(i))).alias("at"),
+        ),
+    )
+    starts = F.transform(
+        "placed",
+        lambda t: F.struct(
+            t["license"].alias("license"), t["grams"].alias("grams"), t["words"].alias("words"),
+            # A place and the need-th known bigram from it lie in one window; repeats of a bigram only let more through.
+            F.filter(
+                t["at"], lambda p, j: F.get(t["at"], j + t["need"] - 1) - p <= t["words"] - 2
+            ).alias("starts"),
+        ),
+    )
+
+    def score(t: Column, p: Column) -> Column:
+        window = F.slice(F.col("grams"), p, t["words"] - 1)
+        both = F.size(F.array_intersect(window, t["grams"]))
+        return F.struct(
+            (-2.0 * both / (F.size(F.array_distinct(window)) + F.size(t["grams"]))).alias("minus"),
+            (-t["words"]).alias("minus_words"), t["license"].alias("license"), p.alias("word"),
+        )
+
+    best = F.transform("starts", lambda t: F.array_min(F.transform(t["starts"], lambda p: score(t, p))))
+    hits = F.array_distinct(F.filter("windows", lambda b: b["minus"] <= -threshold))
+    overlap = lambda x, y: (x["word"] < y["word"] - y["minus_words"]) & (y["word"] < x["word"] - x["minus_words"])
+    alone = F.filter("found", lambda x: ~F.exists("found", lambda y: (y < x) & overlap(x, y)))
+    return [c.alias(n) for c, n in ((possible, "possible"), (at, "at"), (placed, "placed"), (starts, "starts"), (best, "windows"), (hits, "found"), (alone, "found"))]
+
+
 def _words(unit: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
     plain = F.trim(F.regexp_replace(F.lower(unit), r"[^a-z0-9]+", " "))
@@ -102,11 +213,13 @@ def scan(
     docs: DataFrame, table: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(doc_id, unit, license, dice)``: the best template of each unit that reaches ``threshold``.
+    """``(doc_id, unit, license, dice, word)``: what reaches ``threshold``.
 
-    Unit 0 is the whole text, unit ``n`` its line ``n``.
+    Unit 0 is the whole text, unit ``n`` its line ``n``, each with its best template. Unit -1 are windows of the text, of each
+    template the best one unless it overlaps a better window, from word ``word`` (from 1; null elsewhere).
     """
-    sets = bigram_sets(templates() if table is None else table)
+    table = templates() if table is None else table
+    sets = bigram_sets(table)
     known = sorted({g for _, grams in sets for g in grams})
     least, most = min(len(g) for _, g in sets), max(len(g) for _, g in sets)
     # With slack for rounding: a size that reaches the threshold exactly stays in, the coefficient itself decides.
@@ -129,7 +242,7 @@ def scan(
     units = units.select("doc_id", "unit", "grams", F.array_distinct(F.filter("grams", lambda g: g.isin(known))).alias("shared"))
     # Even the smallest fitting template needs this many bigrams in common.
     enough = F.size("shared") >= threshold / 2 * (1 + low) * least
-    units = units.select("doc_id", "unit", "shared", F.when(enough, F.size(F.array_distinct("grams"))).alias("n"))
+    units = units.select("doc_id", "unit", "grams", "shared", F.when(enough, F.size(F.array_distinct("grams"))).alias("n"))
     candidates = F.filter(
         F.array(*[F.struct(F.lit(key).alias("license"), F.lit(grams).alias("grams")) for key, grams in sets]),
         lambda t: (F.size(t["grams"]) >= F.col("n") * low) & (F.size(t["grams"]) <= F.col("n") * high),
@@ -142,6 +255,18 @@ def scan(
         ),
     )
     fitting = (F.col("n") <= most * high) & (2 * F.size("shared") >= threshold * (1 + low) * F.col("n"))
-    units = units.select("doc_id", "unit", F.when(fitting, F.array_min(scored)).alias("best"))
-    hits = units.select("doc_id", "unit", F.explode_outer(F.filter(F.array("best"), lambda b: b["minus"] <= -threshold)).alias("best"))
-    return hits.where("best IS NOT NULL").select("doc_id", "unit", "best.license", (-F.col("best.minus")).alias("dice"))
+    units = units.select("doc_id", "unit", "grams", "shared", F.when(fitting, F.array_min(scored)).alias("best"))
+    for column in _windows(F.col("unit") == 0, window_templates(table, threshold), known, threshold):
+        units = units.select(*[c for c in units.columns if c != "found"], column)
+    rows = F.concat(
+        F.transform(
+            F.filter(F.array("best"), lambda b: b["minus"] <= -threshold),
+            lambda b: F.struct(F.col("unit").alias("unit"), b["license"].alias("license"), b["minus"].alias("minus"), F.lit(None).cast("int").alias("word")),
+        ),
+        F.transform(
+            "found",
+            lambda b: F.struct(F.lit(-1).alias("unit"), b["license"].alias("license"), b["minus"].alias("minus"), b["word"].alias("word")),
+        ),
+    )
+    hits = units.select("doc_id", F.explode_outer(rows).alias("hit")).where("hit IS NOT NULL")
+    return hits.select("doc_id", "hit.unit", "hit.license", (-F.col("hit.minus")).alias("dice"), "hit.word")

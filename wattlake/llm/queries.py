@@ -35,26 +35,48 @@ def tokenizer_file(name: str) -> str:
 
 
 def _license_sql() -> str:
-    """Every unit against every template, without bounds."""
-    values = ", ".join(
-        "('{}', [{}])".format(key, ", ".join(f"'{g}'" for g in grams))
-        for key, grams in license_scan.bigram_sets(license_scan.templates())
+    """Every unit against every template, without bounds, and every window that begins with a bigram of the template."""
+    quoted = lambda grams: ", ".join(f"'{g}'" for g in grams)
+    table = license_scan.templates()
+    values = ", ".join(f"('{key}', [{quoted(grams)}])" for key, grams in license_scan.bigram_sets(table))
+    sized = ", ".join(
+        f"({i}, '{key}', [{quoted(grams)}], {words})"
+        for i, (key, grams, words, _) in enumerate(license_scan.window_templates(table, license_scan.THRESHOLD))
     )
     return f"""
     WITH templates(license, grams) AS (VALUES {values}),
+    sized(t, license, grams, words) AS (VALUES {sized}),
     units AS (
         SELECT doc_id, 0 AS unit, text AS part FROM documents
         UNION ALL SELECT doc_id, unit::INT, lines[unit]
         FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS unit FROM documents)),
     words AS (SELECT doc_id, unit, regexp_extract_all(lower(part), '[a-z0-9]+') AS w FROM units),
-    bigrams AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS grams FROM words WHERE len(w) > 1),
-    near AS (SELECT * FROM bigrams WHERE list_has_any(grams, (SELECT flatten(list(grams)) FROM templates)))
-    SELECT doc_id, unit, license, dice FROM (
-        SELECT n.doc_id, n.unit, t.license,
-               2.0::DOUBLE * len(list_intersect(n.grams, t.grams)) / (len(n.grams) + len(t.grams)) AS dice
-        FROM near n CROSS JOIN templates t)
-    WHERE dice >= 0.8
-    QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1"""
+    runs AS (SELECT doc_id, unit, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] AS run FROM words WHERE len(w) > 1),
+    bigrams AS (SELECT doc_id, unit, list_distinct(run) AS grams FROM runs),
+    near AS (SELECT * FROM bigrams WHERE list_has_any(grams, (SELECT flatten(list(grams)) FROM templates))),
+    of_units AS (
+        SELECT doc_id, unit, license, dice, NULL::INT AS word FROM (
+            SELECT n.doc_id, n.unit, t.license,
+                   2.0::DOUBLE * len(list_intersect(n.grams, t.grams)) / (len(n.grams) + len(t.grams)) AS dice
+            FROM near n CROSS JOIN templates t)
+        WHERE dice >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1),
+    places AS (
+        SELECT r.doc_id, t.t, r.p FROM (SELECT doc_id, unnest(run) AS gram, unnest(range(1, len(run) + 1)) AS p FROM runs WHERE unit = 0) r
+        JOIN (SELECT t, unnest(grams) AS gram FROM sized) t ON r.gram = t.gram),
+    -- A window at 0.8 holds two thirds of the template's bigrams, and so does its text.
+    likely AS (SELECT doc_id, t FROM places JOIN sized USING (t) GROUP BY doc_id, t HAVING count(*) * 3 >= 2 * any_value(len(grams))),
+    scored AS (
+        SELECT doc_id, t, license, words, p, 2.0::DOUBLE * len(list_intersect(cut, grams)) / (len(list_distinct(cut)) + len(grams)) AS dice
+        FROM (SELECT p.doc_id, p.t, p.p, s.license, s.words, s.grams, list_slice(r.run, p.p, p.p + s.words - 2) AS cut
+              FROM places p JOIN likely USING (doc_id, t) JOIN sized s USING (t) JOIN runs r ON r.doc_id = p.doc_id AND r.unit = 0)),
+    best AS (SELECT * FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY dice DESC, p) = 1),
+    windows AS (SELECT DISTINCT doc_id, license, words, p, dice FROM best)
+    SELECT * FROM of_units
+    UNION ALL SELECT doc_id, -1, license, dice, p::INT FROM windows x
+    WHERE NOT EXISTS (
+        SELECT 1 FROM windows y WHERE y.doc_id = x.doc_id AND y.p < x.p + x.words AND x.p < y.p + y.words
+        AND (-y.dice, -y.words, y.license, y.p) < (-x.dice, -x.words, x.license, x.p))"""
 
 
 @query("op1_license_scan", _license_sql())
