@@ -7,6 +7,7 @@ import collections
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -68,6 +69,57 @@ def test_communication_matrix_adds_up():
     assert abs(np.mean(large) - 200) < 1.5 and abs(np.std(large) - np.sqrt(120)) < 0.8
 
 
+def test_matrix_of_many_files_follows_the_law():
+    began = time.monotonic()
+    rows = np.random.default_rng(1).integers(0, 3000, 100_000)
+    matrix = sharding.communication_matrix(rows.tolist(), 24, 5)
+    assert time.monotonic() - began < 10
+    assert (matrix.sum(1) == rows).all() and (matrix.sum(0) == sharding.shard_sizes(int(rows.sum()), 24)).all()
+    assert matrix.min() >= 0
+    # Files x shards: chi-square of counts against equal shares, 23 degrees of freedom a file.
+    full = rows > 500
+    chi = ((matrix[full] - rows[full, None] / 24) ** 2 / (rows[full, None] / 24)).sum()
+    freedom = 23 * full.sum()
+    assert abs(chi - freedom) < 6 * np.sqrt(2 * freedom)
+
+
+def test_placement_equals_dealing_by_hand(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP_FILES", 2)
+    docs = make(tmp_path, [f"text {i % 7}" for i in range(900)])
+    docs.repartition(7).write.parquet(str(tmp_path / "seven"))
+    docs = spark.read.parquet(str(tmp_path / "seven"))
+    where = docs.select("doc_id", "_metadata.file_path", "_metadata.row_index", F.xxhash64("_metadata.file_path").alias("h"), F.xxhash64("_metadata.file_path", F.lit(9)).alias("k"))
+    files = {}
+    for r in where.collect():
+        files.setdefault((r["h"] % 4, r["file_path"], r["k"]), {})[r["row_index"]] = r["doc_id"]
+    assert len(files) == 7
+    totals = [sum(len(v) for (g, _, _), v in files.items() if g == group) for group in range(4)]
+    matrix = sharding.communication_matrix(totals, 5, 9)
+    next_of, want = matrix.cumsum(0) - matrix, {}
+    slot_keys = [r["k"] for r in spark.range(5).select(F.xxhash64(F.col("id").cast("int"), F.lit(10)).alias("k")).collect()]
+    for group in range(4):
+        mine = sorted((f, k, v) for (g, f, k), v in files.items() if g == group)
+        split = sharding.split_rooms(np.array([len(v) for *_, v in mine]), matrix[group], np.random.default_rng([9, group]))
+        for (_, k, v), row in zip(mine, split, strict=True):
+            order = permute(range(len(v)), len(v), k)
+            dealt = [shard for shard, n in enumerate(row) for _ in range(n)]
+            taken = sorted((at, v[i]) for i, at in enumerate(order))
+            for (_, doc), shard in zip(taken, dealt, strict=True):
+                want[doc] = (shard, permute([next_of[group, shard]], matrix[:, shard].sum(), slot_keys[shard])[0])
+                next_of[group, shard] += 1
+    got = {}
+    for limit in (50_000, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_FILES", limit)
+        got[limit] = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs, 5, seed=9).collect()}
+    assert got[50_000] == got[0] == want
+
+
+def permute(positions, size, key):
+    n = np.full(len(positions), size)
+    keys = sharding._mix(np.full(len(positions), key, np.int64).astype(np.uint64))
+    return sharding.permuted(np.array(positions, np.int64), n, keys).tolist()
+
+
 def test_permutation_is_one_to_one():
     for n in (1, 2, 3, 10, 257, 5000):
         position = np.arange(n)

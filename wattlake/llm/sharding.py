@@ -19,7 +19,9 @@ Defined cases: null texts and ids are rows like any other; repeated rows have
 positions of their own; an empty table gives an empty result; a column of
 ``docs`` named ``shard`` or ``slot`` is replaced, all others are kept. A table
 that is not plain files, or of which rows are filtered, is stored first.
-The driver holds one count per file and its row of the matrix.
+The matrix is drawn by halves: a set of files splits its share of every shard between its two halves. The driver
+does so for at most ``GROUPS`` groups of files; each group's own files are drawn by a task and kept as a table, which is
+broadcast up to ``BROADCAST_FILES`` files and joined beyond.
 """
 
 from __future__ import annotations
@@ -29,11 +31,16 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from wattlake.llm.common import stored
 
 #: Rows of one block of slots, a few MB of text.
 BLOCK_ROWS = 1024
+#: Groups of files that the driver draws for, and files of a group.
+GROUPS, GROUP_FILES = 4096, 256
+#: Files whose deals are broadcast: 400 bytes each with 24 shards.
+BROADCAST_FILES = 50_000
 #: From this population on numpy's sampler gives up.
 NUMPY_LIMIT = 10**9
 
@@ -58,19 +65,37 @@ def shard_sizes(n_rows: int, n_shards: int) -> np.ndarray:
     return n_rows // n_shards + (np.arange(n_shards) < n_rows % n_shards).astype(np.int64)
 
 
+def _draw(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """``hypergeometric`` elementwise."""
+    small = good + bad < NUMPY_LIMIT
+    out = np.zeros(len(good), np.int64)
+    out[small] = rng.hypergeometric(good[small], bad[small], draws[small])
+    for i in np.flatnonzero(~small):
+        out[i] = hypergeometric(rng, int(good[i]), int(bad[i]), int(draws[i]))
+    return out
+
+
+def split_rooms(file_rows: np.ndarray, room: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rows from each file to each shard, of which they fill ``room`` exactly; halves of halves of the files."""
+    width = 1 << max(len(file_rows) - 1, 0).bit_length()
+    rows = np.zeros(width, np.int64)
+    rows[: len(file_rows)] = file_rows
+    share, size = np.asarray(room, np.int64)[None, :], width
+    while size > 1:
+        size //= 2
+        left, rest = rows.reshape(-1, 2, size).sum(2)[:, 0], share.sum(1)
+        first = np.zeros_like(share)
+        for j in range(share.shape[1]):
+            rest = rest - share[:, j]
+            first[:, j] = _draw(rng, share[:, j], rest, left)
+            left = left - first[:, j]
+        share = np.stack([first, share - first], 1).reshape(-1, share.shape[1])
+    return share[: len(file_rows)]
+
+
 def communication_matrix(file_rows: list[int], n_shards: int, seed: int) -> np.ndarray:
     """Rows from each file to each shard; rows and columns add up exactly."""
-    rng = np.random.default_rng(seed)
-    room = shard_sizes(sum(file_rows), n_shards)
-    out = np.zeros((len(file_rows), n_shards), np.int64)
-    for i, rows in enumerate(file_rows):
-        left, rest = rows, int(room.sum())
-        for j in range(n_shards):
-            rest -= int(room[j])
-            out[i, j] = hypergeometric(rng, int(room[j]), rest, left)
-            left -= out[i, j]
-        room = room - out[i]
-    return out
+    return split_rooms(np.array(file_rows, np.int64), shard_sizes(sum(file_rows), n_shards), np.random.default_rng(seed))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,9 +128,37 @@ def _located(docs: DataFrame) -> DataFrame:
     )
 
 
-def _file_counts(rows: DataFrame) -> list:
-    found = rows.groupBy("file").agg(F.count("*").alias("n"), F.max("position").alias("last")).collect()
-    return sorted(found, key=lambda r: r["file"])
+def _files(rows: DataFrame) -> DataFrame:
+    return stored(rows.groupBy("file").agg(F.count("*").alias("n"), F.max("position").alias("last")))
+
+
+def deals(files: DataFrame, n_files: int, n_shards: int, seed: int, groups: int) -> tuple[DataFrame, list[int]]:
+    """``(file, n, until, before)`` of every file, and the sizes of the shards.
+
+    ``until`` are its rows up to and in each shard, ``before`` the rows of other files that come first in each shard.
+    """
+    files = files.select("file", "n", F.pmod(F.xxhash64("file"), F.lit(groups)).alias("group"))
+    totals = np.zeros(groups, np.int64)
+    for r in files.groupBy("group").agg(F.sum("n").alias("n")).collect():
+        totals[r["group"]] = r["n"]
+    matrix = communication_matrix(totals.tolist(), n_shards, seed)
+    starts = matrix.cumsum(0) - matrix
+
+    def deal(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        found, group = found.sort_values("file"), int(key[0])
+        mine = split_rooms(found["n"].to_numpy(), matrix[group], np.random.default_rng([seed, group]))
+        before = mine.cumsum(0) - mine + starts[group]
+        return pd.DataFrame(
+            {"file": found["file"], "n": found["n"], "until": list(mine.cumsum(1)), "before": list(before)}
+        )
+
+    drawn = files.groupBy("group").applyInPandas(deal, "file string, n long, until array<long>, before array<long>")
+    return stored(drawn), matrix.sum(0).tolist()
+
+
+@F.pandas_udf(LongType())
+def _permuted(position: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series(permuted(position.to_numpy(), size.to_numpy(), _mix(key.to_numpy().astype(np.uint64))))
 
 
 def shard(docs: DataFrame, n_shards: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -113,48 +166,25 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 0, block_rows: int = BLOCK
     docs = docs.drop("shard", "slot")
     try:
         rows = _located(docs)
-        counts = _file_counts(rows)
-        whole = all(r["last"] + 1 == r["n"] for r in counts)
+        files = _files(rows)
+        whole = files.where("last + 1 <> n").isEmpty()
     except AnalysisException:
         whole = False
     if not whole:
         rows = _located(stored(docs))
-        counts = _file_counts(rows)
-    matrix = communication_matrix([r["n"] for r in counts], n_shards, seed)
-    # Files are found by the hash of their path.
-    hashes = docs.sparkSession.createDataFrame([(r["file"],) for r in counts], "file string").select(
-        "file", F.xxhash64("file").alias("h")
-    )
-    code = {r["file"]: r["h"] for r in hashes.collect()}
-    order = np.argsort(np.array([code[r["file"]] for r in counts], np.int64))
-    if len(set(code.values())) < len(counts):
-        raise ValueError("two files share a path hash")
-    plan = docs.sparkSession.sparkContext.broadcast(
-        {
-            "hash": np.array([code[r["file"]] for r in counts], np.int64)[order],
-            "rows": np.array([r["n"] for r in counts], np.int64)[order],
-            "until": matrix.cumsum(1)[order],
-            "before": (matrix.cumsum(0) - matrix)[order],
-            "sizes": matrix.sum(0),
-        }
-    )
-
-    @F.pandas_udf("shard int, slot long")
-    def place(file: pd.Series, position: pd.Series) -> pd.DataFrame:
-        p = plan.value
-        at = np.searchsorted(p["hash"], file.to_numpy())
-        mine = permuted(position.to_numpy(), p["rows"][at], _mix(p["hash"][at].astype(np.uint64) + np.uint64(seed)))
-        until = p["until"][at]
-        target = (until <= mine[:, None]).sum(1)
-        rank = mine - np.where(target > 0, until[np.arange(len(at)), np.maximum(target - 1, 0)], 0)
-        slot = permuted(
-            p["before"][at, target] + rank, p["sizes"][target], _mix((target + (seed + 1) * 2**32).astype(np.uint64))
-        )
-        return pd.DataFrame({"shard": target.astype(np.int32), "slot": slot})
-
-    placed = rows.select("row", place(F.xxhash64("file"), "position").alias("to"))
+        files = _files(rows)
+    n_files = files.count()
+    table, sizes = deals(files, n_files, n_shards, seed, min(GROUPS, n_files // GROUP_FILES + 1))
+    table = F.broadcast(table) if n_files <= BROADCAST_FILES else table
+    # Each step is used more than once by the next.
+    placed = rows.join(table, "file").withColumn("mine", _permuted("position", "n", F.xxhash64("file", F.lit(seed))))
+    placed = placed.withColumn("to", F.size(F.filter("until", lambda u: u <= F.col("mine"))))
+    rank = F.col("mine") - F.when(F.col("to") > 0, F.get("until", F.col("to") - 1)).otherwise(0)
+    place = F.get("before", F.col("to")) + rank
+    size = F.get(F.lit(sizes).cast("array<long>"), F.col("to"))
+    placed = placed.select("row", "to", _permuted(place, size, F.xxhash64("to", F.lit(seed + 1))).alias("slot_in"))
     return (
-        placed.select("row.*", "to.shard", "to.slot")
+        placed.select("row.*", F.col("to").alias("shard"), F.col("slot_in").alias("slot"))
         .repartition("shard", F.floor(F.col("slot") / block_rows))
         .sortWithinPartitions("shard", "slot")
     )
