@@ -39,6 +39,10 @@ from wattlake.session import scratch_dir
 
 ARCHIVE_BYTES = 32_000_000
 CHUNK = 1 << 20
+#: Bytes of archives that one task reads.
+READ_BYTES = 1_000_000_000
+#: A payload with more than this share of all copies is frequent.
+HEAVY = 1e-3
 VERSION = b"WARC/1.1\r\n"
 ID_PREFIX, ID_SUFFIX = "<urn:x-page:", ">"
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string"
@@ -139,9 +143,15 @@ def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, mi
         .groupBy("digest")
         .agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
     )
-    joined = rows.join(copies, "digest", "left")
+    # Payloads with a share of all copies are settled by a broadcast of at most 1 / HEAVY rows; the rest shuffle by digest,
+    # the settled ones by their id.
+    limit = HEAVY * (copies.agg(F.sum("n")).first()[0] or 0)
+    heavy = copies.where(F.col("n") > limit).select("digest", F.col("first_id").alias("heavy_id"), F.lit(True).alias("settled"))
+    other = copies.where(F.col("n") <= limit).select(F.col("digest").alias("key"), F.col("first_id").alias("other_id"))
+    joined = rows.join(F.broadcast(heavy), "digest", "left")
+    key = F.when(F.col("settled"), F.concat(F.lit("-"), F.xxhash64("id"))).otherwise(F.col("digest"))
+    joined = joined.withColumn("key", key).join(other, "key", "left").withColumn("first_id", F.coalesce("heavy_id", "other_id"))
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     return joined.select("id", "url", "payload", "digest", "first_id", revisit.alias("revisit"))
 
@@ -217,9 +227,11 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     if rows:
                         yield _records(rows, names, payloads)
 
-    n = manifest.count()
+    # Archives are of one size, so parts of as many of them hold READ_BYTES, and fewer only to keep all cores busy.
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = min(n, max(manifest.sparkSession.sparkContext.defaultParallelism, size // READ_BYTES + 1))
     schema = RECORD + (", payload binary" if payloads else "")
-    return manifest.select("path").repartition(max(1, n)).mapInArrow(read, schema)
+    return manifest.select("path").repartition(max(1, parts)).mapInArrow(read, schema)
 
 
 def _records(rows: list[tuple], names: list[str], payloads: bool) -> pa.RecordBatch:
