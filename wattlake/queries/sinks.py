@@ -33,21 +33,27 @@ def _(t: Feeds) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
-def export_inputs(t: Feeds) -> dict[str, DataFrame]:
-    labels = t.spark.createDataFrame(
-        [(s, n, f"Strategy {s}", i, "#333333", d) for i, (s, n, d) in enumerate(STRATEGY_DIM, start=1)],
-        "strategy_id string, strategy_name string, strategy_label string, sort_order int, color_hex string, description string")
-    last = t.monthly.where("price_base_eur_mwh is not null").agg(
-        F.max(F.make_date("year_local", "month_local", F.lit(1))).alias("m"))
-    provenance = last.select(F.lit(False).alias("is_fixture"), F.date_format("m", "yyyy-MM").alias("data_last_month"),
-                             F.lit("2002-01-01").alias("generated_on"))
+def export_input(t: Feeds, name: str) -> DataFrame:
+    """What one export holds, built only when asked for."""
+
+    def labels() -> DataFrame:
+        return t.spark.createDataFrame(
+            [(s, n, f"Strategy {s}", i, "#333333", d) for i, (s, n, d) in enumerate(STRATEGY_DIM, start=1)],
+            "strategy_id string, strategy_name string, strategy_label string, sort_order int, color_hex string, description string")
+
+    def provenance() -> DataFrame:
+        last = t.monthly.where("price_base_eur_mwh is not null").agg(
+            F.max(F.make_date("year_local", "month_local", F.lit(1))).alias("m"))
+        return last.select(F.lit(False).alias("is_fixture"), F.date_format("m", "yyyy-MM").alias("data_last_month"),
+                           F.lit("2002-01-01").alias("generated_on"))
+
     return {
-        "price_daily": t.daily.where("price_base_eur_mwh is not null"), "price_monthly": t.monthly,
-        "generation_monthly": t.generation, "procurement_cost_monthly": t.costs,
-        "strategy_annual_summary": strategies.annual_summary(t.costs), "forward_risk_summary": t.risk_summary,
-        "spread_monthly": t.spread, "dim_strategy": labels, "data_quality_monthly": t.dq,
-        "forward_paths": t.path_costs, "ssot": numbers(t), "provenance": provenance,
-    }
+        "price_daily": lambda: t.daily.where("price_base_eur_mwh is not null"), "price_monthly": lambda: t.monthly,
+        "generation_monthly": lambda: t.generation, "procurement_cost_monthly": lambda: t.costs,
+        "strategy_annual_summary": lambda: strategies.annual_summary(t.costs), "forward_risk_summary": lambda: t.risk_summary,
+        "spread_monthly": lambda: t.spread, "dim_strategy": labels, "data_quality_monthly": lambda: t.dq,
+        "forward_paths": lambda: t.path_costs, "ssot": lambda: numbers(t), "provenance": provenance,
+    }[name]()
 
 
 @query("k03_csv_exports", f"""
@@ -62,8 +68,8 @@ def _(t: Feeds) -> DataFrame:
     """All twelve exports written as CSV and counted from the written files."""
     folder = scratch_dir(t.spark)
     out = None
-    for name, frame in export_inputs(t).items():
-        sinks.write_export(frame, name, f"{folder}/{name}")
+    for name in EXPORTS:
+        sinks.write_export(export_input(t, name), name, f"{folder}/{name}")
         written = t.spark.read.option("header", "true").csv(f"{folder}/{name}")
         if tuple(written.columns) != EXPORTS[name][0]:
             raise ValueError(f"{name}: header {written.columns}")
@@ -73,6 +79,46 @@ def _(t: Feeds) -> DataFrame:
     return out
 
 
+#: Export -> (what it holds in the oracle, floating columns and their digits).
+EXPORT_ROWS = {
+    "price_daily": ("daily WHERE price_base_eur_mwh IS NOT NULL", ""),
+    "price_monthly": ("monthly", ""),
+    "generation_monthly": ("generation", ""),
+    "procurement_cost_monthly": ("costs", "volume_mwh:4 cost_eur:2 unit_cost_eur_mwh"),
+    "strategy_annual_summary": ("annual", "volume_mwh:4 cost_eur:2 unit_cost_eur_mwh delta_vs_min_eur:2"),
+    "forward_risk_summary": ("risksum", "mean:2 std:2 p5:2 p50:2 p95:2 cvar95:2"),
+    "spread_monthly": ("spreadmonthly", "spread_mean_eur_mwh share_at_above_de_pct"),
+    "dim_strategy": (
+        "(SELECT *, 'Strategy ' || strategy_id AS strategy_label, '#333333' AS color_hex FROM dimstrategy)", "",
+    ),
+    "data_quality_monthly": ("dq", "coverage_at_pct"),
+    "forward_paths": ("pathcosts", "cost_eur:2"),
+    "ssot": (f"({NUMBERS})", ""),
+    "provenance": (
+        "(SELECT false AS is_fixture, strftime(last_month, '%Y-%m') AS data_last_month, '2002-01-01' AS generated_on FROM lastmonth)", "",
+    ),
+}
+
+
+def _export_content(name: str) -> None:
+    rows, given = EXPORT_ROWS[name]
+    columns = EXPORTS[name][0]
+    mart = next((m for m in MARTS.values() if tuple(m.names) == columns), None)
+    doubles = given or " ".join(f.name for f in mart.fields if f.dataType.simpleString() == "double") if mart else given
+
+    @query(f"k03_export_{name}", f"SELECT {', '.join(columns)} FROM {rows}", doubles)
+    def _(t: Feeds) -> DataFrame:
+        """Every row of one export, read back from the written CSV."""
+        path = f"{scratch_dir(t.spark)}/{name}"
+        frame = export_input(t, name)
+        sinks.write_export(frame, name, path)
+        return t.spark.read.schema(frame.select(*columns).schema).option("header", "true").csv(path)
+
+
+for _name in EXPORT_ROWS:
+    _export_content(_name)
+
+
 @query("k04_export_manifest", f"""
     SELECT 'data_quality_monthly' AS table_name, count(*) AS n_rows, {checksum_sql("d")} AS checksum FROM (
         SELECT md5(concat_ws(chr(31), year_local, month_local, expected_hours, priced_hours_at, priced_hours_delu, load_hours, weather_days,
@@ -84,8 +130,8 @@ def _(t: Feeds) -> DataFrame:
     UNION ALL SELECT 'provenance', count(*), {checksum_sql("d")} FROM (
         SELECT md5(concat_ws(chr(31), 'false', strftime(last_month, '%Y-%m'), '2002-01-01')) AS d FROM lastmonth)""")
 def _(t: Feeds) -> DataFrame:
-    frames = export_inputs(t)
-    return sinks.export_manifest({n: frames[n] for n in ("data_quality_monthly", "dim_strategy", "ssot", "provenance")})
+    names = ("data_quality_monthly", "dim_strategy", "ssot", "provenance")
+    return sinks.export_manifest({n: export_input(t, n) for n in names})
 
 
 @query("k06_numbers_by_producer", f"""
