@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from wattlake.queries import QUERIES  # noqa: E402
 from wattlake.queries.feeds import close_feeds, feeds_for  # noqa: E402
+from wattlake.queries.windows import numbers  # noqa: E402
 from wattlake.session import build_session  # noqa: E402
 
 HEADLINE = (
@@ -54,6 +55,9 @@ def main() -> None:
         start = time.perf_counter()
         getattr(feeds, name)
         times[f"mart_{name}"] = round(time.perf_counter() - start, 3)
+    start = time.perf_counter()
+    numbers(feeds)
+    times["mart_numbers"] = round(time.perf_counter() - start, 3)
     total = round(sum(times.values()), 3)
     for name in QUERIES if os.environ.get("BENCH_ALL") else HEADLINE:
         start = time.perf_counter()

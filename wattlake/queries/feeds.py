@@ -60,10 +60,17 @@ class Feeds:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.scratch = scratch_dir(spark)
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def kept(self, name: str, build: Callable[[Feeds], DataFrame]) -> DataFrame:
+        """A derived table that another module builds, written once like a ``mart``."""
+        if name not in self._kept:
+            self._kept[name] = self.write_table(name, build(self))
+        return self._kept[name]
+
     def write_table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.scratch}/{name}"
         df.write.mode("overwrite").parquet(path)

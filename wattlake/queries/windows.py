@@ -270,6 +270,11 @@ NUMBERS = "SELECT * FROM published"
 
 
 def numbers(t: Feeds) -> DataFrame:
+    """``published_numbers``, written once per session."""
+    return t.kept("numbers", published_numbers)
+
+
+def published_numbers(t: Feeds) -> DataFrame:
     """The published numbers of all producers in one table; year-keyed market figures for complete years only."""
     annual, base = strategies.annual_summary(t.costs), t.base_params
     wrong = strategies.wrong_strategy_cost(annual)
