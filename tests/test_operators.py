@@ -61,6 +61,14 @@ def test_quantiles_of_a_million_rows_around_one_value(spark, spread):
     assert r.tail_mean == pytest.approx(x[-n // 20:].mean(), rel=1e-9)
 
 
+def test_sums_above_a_rank_are_carried_and_not_added_up_again(spark):
+    df = spark.createDataFrame([("a", i, 1, float(i)) for i in range(5)] + [("b", 0, 2, 7.0)], "k string, b int, c long, total double")
+    ranked = quantiles._at_rank(df, ["k"], "b")
+    assert {(r.k, r.b): (r.first, r.last, r.later) for r in ranked.collect()} == {
+        ("a", 0): (0, 1, 10.0), ("a", 1): (1, 2, 9.0), ("a", 2): (2, 3, 7.0), ("a", 3): (3, 4, 4.0), ("a", 4): (4, 5, 0.0), ("b", 0): (0, 2, 0.0)}
+    assert "unboundedfollowing" not in ranked._jdf.queryExecution().toString().lower()
+
+
 def test_ranks_never_sort_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SMALL", 20)
     rng = random.Random(3)

@@ -43,7 +43,9 @@ def _at_rank(buckets: DataFrame, keys: Sequence[str], order: str, below: Column
     """Buckets ``(c, total)`` with the ranks ``first`` to ``last`` - 1 they hold and the sum ``later`` of all above."""
     ordered = Window.partitionBy(*keys).orderBy(order)
     upto = F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + below
-    later = F.sum("total").over(ordered.rowsBetween(1, Window.unboundedFollowing))
+    # Summed from the top: a frame up to the last row would be added up again for each row.
+    falling = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    later = F.sum("total").over(falling.rowsBetween(Window.unboundedPreceding, -1))
     return buckets.withColumns({"last": upto, "first": upto - F.col("c"), "later": F.coalesce(later, F.lit(0.0))})
 
 
