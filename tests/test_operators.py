@@ -105,6 +105,19 @@ def test_histogram_is_zero_filled(spark):
     assert got == {(k, b): int((k, b) in {("a", 0), ("a", 3), ("b", -1)}) for k in "ab" for b in range(-1, 4)}
 
 
+def test_copies_of_a_price_version_are_hashed_before_any_sort(spark):
+    from wattlake.plans.staging import native_prices
+
+    at = "2020-01-01 00:00:00"
+    copies = [("AT", at, "PT60M", "2020-01-02T00:00:00+00:00", p) for p in (None, 5.0, 3.0)] * 50
+    older = [("AT", at, "PT15M", "2020-01-01T00:00:00+00:00", 1.0), ("DE_LU", at, "PT60M", "2020-01-01T00:00:00+00:00", None)]
+    df = spark.createDataFrame(copies + older, "zone string, t string, resolution string, ingested_at_utc string, price_eur_mwh double")
+    kept = native_prices(df.withColumn("ts_utc", F.to_timestamp("t")))
+    assert {(r.zone, r.resolution, r.price_eur_mwh) for r in kept.collect()} == {("AT", "PT60M", 3.0), ("DE_LU", "PT60M", None)}
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_min(price_eur_mwh" in plan and plan.index("partial_min(price_eur_mwh") > plan.index("SortAggregate")
+
+
 def test_latest_wins_order_and_hot_key(spark):
     rows = [(1, "2024-01-02T00:00:00+00:00", "PT60M", 5.0), (1, "2024-01-02T00:00:00+00:00", "PT15M", 7.0),
             (1, "2024-01-01T23:00:00+00:00", "PT15M", 1.0), (2, "2024-01-01T00:00:00+00:00", "PT15M", 2.0)]

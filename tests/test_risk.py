@@ -152,3 +152,13 @@ def test_summary_and_recommendation(spark, market):
     base = {s: r for (v, s), r in got.items() if v == "unconditional"}
     assert q.cost_min_strategy == min(base, key=lambda s: base[s]["mean"])
     assert q.risk_averse_strategy == min(base, key=lambda s: base[s].p95)
+
+
+def test_path_costs_come_from_stored_totals(spark):
+    """The simulated years are walked once a session; each user reads their totals."""
+    from wattlake.queries.feeds import Feeds
+
+    feeds = Feeds(spark, "/nowhere")
+    feeds.__dict__["path_totals"] = spark.createDataFrame([("full", 1, 10.0, 20.0, 30.0)], "variant string, path long, s1 double, s2 double, s3 double")
+    got = {r.strategy_id: r.cost_eur for r in feeds.path_costs.collect()}
+    assert got == pytest.approx({"S1": 10.0, "S2": 20.0, "S3": 30.0, "S4_30": 16.0, "S4_50": 20.0, "S4_70": 24.0})

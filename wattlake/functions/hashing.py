@@ -8,17 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def uniform_index(seed: int, parts: Sequence[Column], size: Column) -> Column:
-    """Uniform integer in ``[0, size)`` from an md5 of the seed and the keys.
+def draw_word(seed: int, parts: Sequence[Column]) -> Column:
+    """The first 32 bits of an md5 of the seed and the keys.
 
     The value depends on the keys alone, never on partitioning, task order or
     retries, so a lost executor recomputes the identical draw.
     """
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def word_index(word: Column, size: Column) -> Column:
+    """Integer in ``[0, size)`` that a word draws."""
     return F.pmod(word, size.cast("bigint")).cast("int")
 
 
+def uniform_index(seed: int, parts: Sequence[Column], size: Column) -> Column:
+    """Uniform integer in ``[0, size)`` from the word of the seed and the keys."""
+    return word_index(draw_word(seed, parts), size)
+
+
 def row_digest(ts: Column, value: Column, decimals: int = 6) -> Column:
     """Canonical ``ISO-8601,value`` text of one hourly row."""
     stamp = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlake.config import StrategyConfig, hybrid_id
-from wattlake.functions.hashing import uniform_index
+from wattlake.functions.hashing import draw_word, uniform_index, word_index
 from wattlake.functions.timecols import month_of
 from wattlake.operators.joins import fill_in_order
 from wattlake.operators.quantiles import describe_groups, group_mode
@@ -174,13 +174,13 @@ def _variant_rows(cells: DataFrame, slots: DataFrame) -> DataFrame:
     return per_variant.withColumn("years", years)
 
 
-def path_costs(paths: DataFrame, cells: DataFrame, slots: DataFrame, params: DataFrame, cfg: StrategyConfig) -> DataFrame:
-    """Total cost per variant, path and strategy over the horizon (long form).
+def path_totals(paths: DataFrame, cells: DataFrame, slots: DataFrame, params: DataFrame, cfg: StrategyConfig) -> DataFrame:
+    """``variant, path, s1, s2, s3``: what spot, index and fixed price cost on each path over the horizon.
 
     ``paths`` has one column ``path``; ``params`` one row of price parameters.
     The side arrays hold horizon x pool-years cells (about a hundred structs).
+    The words of a path's draws are the same in every variant and are hashed once.
     """
-    seed = cfg.seed
     shared = _variant_rows(cells, slots)
     sides = shared.agg(F.collect_list(F.struct("variant", "targets", "years"))).scalar()
     price = params.select(F.struct(
@@ -189,7 +189,9 @@ def path_costs(paths: DataFrame, cells: DataFrame, slots: DataFrame, params: Dat
     # Eight bytes per path against a whole simulated year: file sizes say nothing about
     # the work, so the number of paths decides how many tasks share it.
     spread = paths.select("path").repartition(-(-paths.count() // PATHS_PER_TASK) or 1, "path")
-    rows = spread.select("path", F.inline(sides)).withColumn("price", price).select("path", "variant", "targets", "years", "price.*")
+    words = F.array(*[draw_word(cfg.seed, [F.col("path"), F.lit(i)]) for i in range(cfg.horizon_months)])
+    rows = spread.select("path", words.alias("words")).select("path", "words", F.inline(sides))
+    rows = rows.withColumn("price", price).select("path", "words", "variant", "targets", "years", "price.*")
 
     complete = F.when(F.size("targets") == cfg.horizon_months, F.col("targets")).otherwise(
         F.raise_error(F.concat(F.lit("empty bootstrap pool in variant "), F.col("variant"))).cast(
@@ -197,11 +199,11 @@ def path_costs(paths: DataFrame, cells: DataFrame, slots: DataFrame, params: Dat
     )
 
     def pick(t: Column) -> Column:
-        index = uniform_index(seed, [F.col("path"), t["target_idx"]], F.size(t["cells"]))
+        index = word_index(F.get("words", t["target_idx"]), F.size(t["cells"]))
         return F.struct(t["target_idx"].alias("target_idx"), t["delivery_year"].alias("delivery_year"),
                         t["volume_mwh"].alias("volume_mwh"), F.get(t["cells"], index).alias("cell"))
 
-    picked = rows.withColumn("picks", F.transform(complete, pick)).drop("targets")
+    picked = rows.withColumn("picks", F.transform(complete, pick)).drop("targets", "words")
 
     def total(array: Column | str, term) -> Column:  # noqa: ANN001
         return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + term(x))
@@ -219,19 +221,28 @@ def path_costs(paths: DataFrame, cells: DataFrame, slots: DataFrame, params: Dat
         )
         return volume * (blended_price(base, peak, cfg.peak_available) + F.col("premium"))
 
-    costed = picked.select(
+    return picked.select(
         "variant", "path",
         total("picks", lambda p: p["cell"]["spot_cost_eur"]).alias("s1"),
         total("picks", lambda p: p["volume_mwh"] * blended_price(
             p["cell"]["oespi_base"], p["cell"]["oespi_peak"], cfg.peak_available)).alias("s2"),
         total("years", lock_cost).alias("s3"),
     )
+
+
+def strategy_costs(totals: DataFrame, cfg: StrategyConfig) -> DataFrame:
+    """``variant, path, strategy_id, cost_eur`` of every strategy, from the three costs of ``path_totals``."""
     costs = [
         ("S1", F.col("s1")), ("S2", F.col("s2")), ("S3", F.col("s3")),
         *[(hybrid_id(h), F.lit(h) * F.col("s3") + F.lit(1.0 - h) * F.col("s1")) for h in cfg.hybrid_ratios],
     ]
     long = F.array(*[F.struct(F.lit(s).alias("strategy_id"), c.alias("cost_eur")) for s, c in costs])
-    return costed.select("variant", "path", F.inline(long))
+    return totals.select("variant", "path", F.inline(long))
+
+
+def path_costs(paths: DataFrame, cells: DataFrame, slots: DataFrame, params: DataFrame, cfg: StrategyConfig) -> DataFrame:
+    """Total cost per variant, path and strategy over the horizon (long form)."""
+    return strategy_costs(path_totals(paths, cells, slots, params, cfg), cfg)
 
 
 def risk_summary(paths: DataFrame) -> DataFrame:

@@ -18,13 +18,13 @@ def native_prices(raw: DataFrame, zone: str | None = None) -> DataFrame:
     """Latest ingested price per (zone, instant).
 
     Ties on ingestion time go to the alphabetically first resolution, then to
-    the lowest price, so the result never depends on row order.
+    the lowest price, so the result never depends on row order. Of rows that
+    differ in price alone only the lowest can win: they go in a hash
+    aggregation, so the ordered one sorts one row per version and not every copy.
     """
     rows = raw if zone is None else raw.where(F.col("zone") == zone)
-    kept = latest_wins(
-        rows.select("ts_utc", "price_eur_mwh", "resolution", "zone", "ingested_at_utc"),
-        ["zone", "ts_utc"], "ingested_at_utc", ["resolution", "price_eur_mwh"],
-    )
+    versions = rows.groupBy("zone", "ts_utc", "resolution", "ingested_at_utc").agg(F.min("price_eur_mwh").alias("price_eur_mwh"))
+    kept = latest_wins(versions, ["zone", "ts_utc"], "ingested_at_utc", ["resolution", "price_eur_mwh"])
     return kept.select("ts_utc", "price_eur_mwh", "resolution", "zone")
 
 

@@ -39,7 +39,7 @@ class mart(cached_property):
     """A derived table written once per session and read back, as a warehouse does.
 
     Only grains bounded by calendar x series or by configuration are kept this
-    way, never raw rows. The files sit in the shared scratch folder, so they
+    way, and the totals of the simulated paths, never raw rows. The files sit in the shared scratch folder, so they
     survive lost executors, cut the plan, and carry real sizes: Spark then
     picks broadcast joins from measured bytes instead of estimates.
     """
@@ -289,11 +289,16 @@ class Feeds:
     def paths_in(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("path"))
 
+    @mart
+    def path_totals(self) -> DataFrame:
+        """Two short rows per customer: a simulated year costs far more to walk again than to read."""
+        slots = risk.lock_slots(self.observed_index, self.targets, self.cfg.lock_months)
+        return risk.path_totals(self.paths_in, self.cells, slots, self.base_params, self.cfg)
+
     @cached_property
     def path_costs(self) -> DataFrame:
         """Twelve rows per customer, never written: its users aggregate it as it is computed."""
-        slots = risk.lock_slots(self.observed_index, self.targets, self.cfg.lock_months)
-        return risk.path_costs(self.paths_in, self.cells, slots, self.base_params, self.cfg)
+        return risk.strategy_costs(self.path_totals, self.cfg)
 
     @mart
     def risk_summary(self) -> DataFrame:
