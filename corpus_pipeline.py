@@ -22,8 +22,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id."""
-    return simhash.keep_one(docs, similarity=0.8)
+    """One document of each class of near duplicates stays, the one with the smallest id.
+
+    Linked are texts whose SimHash fingerprints lie within two bits, found through the pivot tables as in ``op8``, and texts
+    whose shingle sets are alike to 0.8, which lie further apart in bits.
+    """
+    return simhash.keep_one(docs, similarity=0.8, radius=2)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,6 +255,24 @@ def test_links_of_a_large_block_equal_brute_force(spark):
     assert {rank[f]: rank[roots.get(f, f)] for f in signed} == want
 
 
+def test_near_duplicate_stage_links_what_the_pivot_search_links(spark, make, tmp_path):
+    """Also texts within two bits whose shingle sets are less alike than the stage's own search asks for."""
+    rng = random.Random(4)
+    texts: list[str] = []
+    while len(texts) < 12:
+        base = [str(rng.randint(0, 900)) for _ in range(60)]
+        words = list(base)
+        for at in rng.sample(range(60), 2):
+            words[at] = "changed"
+        pair = [" ".join(base), " ".join(words)]
+        if (simhash_of(pair[0]) ^ simhash_of(pair[1])).bit_count() <= 2 and jaccard(*pair) < 0.8:
+            texts += pair
+    docs = make(tmp_path, [*ODD_TEXTS, *texts])
+    linked = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, str(tmp_path)).collect()}
+    assert kept <= linked and set(range(len(ODD_TEXTS), len(ODD_TEXTS) + 12, 2)) <= kept
+
+
 def test_near_duplicate_stage_keeps_one_of_each_class(make, tmp_path):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

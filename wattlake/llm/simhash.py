@@ -326,7 +326,19 @@ def alike(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float
     return _judged(_judged(pairs, nodes, "sketch", agree), sets, "hashes", same)
 
 
-def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fingerprint_links(docs: DataFrame, rows: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """Links ``(u, v)`` from each node to the least one of its class of ``near_duplicates``; ``rows`` holds ``text_hash, node``."""
+    fps = stored(fingerprints(docs, id_col, text_col, 3))
+    classes = _classes(fps, radius).select("fp", "root")
+    texts = fps.select("text_hash", "fp").distinct().join(classes, "fp").select("text_hash", "root")
+    held = stored(rows.select("text_hash", "node").distinct().join(texts, "text_hash").select("node", "root").distinct())
+    least = held.groupBy("root").agg(F.min("node").alias("v"))
+    return stored(held.join(least, "root").where("node <> v").select(F.col("node").alias("u"), "v").distinct())
+
+
+def similar_classes(
+    docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None
+) -> DataFrame:
     """``(root, first)``: one row per class of documents whose five-word shingle sets are alike to ``similarity``.
 
     The search runs over bands of min-hashes. Whether a pair meets in a band depends on its
@@ -338,9 +350,14 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     classes, level by level (``STEPS``) until every bucket is one class. A member meets as many leaders a level in each of its buckets, so pairs are linear
     in the documents however large a group is. A pair that is alike meets the same way in each band it shares; that it
     has no leader in any finer bucket is rare (figures in the README) and needs both to have no other link.
+
+    With a ``radius`` the classes of ``near_duplicates``, whose search through the pivot tables is exact, come first: texts whose
+    fingerprints lie so near are linked as well, and only members of different classes need to meet in the buckets.
     """
     n_rows = band_rows(similarity)
     rows = sketches(docs, id_col, text_col, n_rows)
+    if radius is not None:
+        rows = stored(rows)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     n_bands = MIN_HASHES // n_rows
@@ -351,6 +368,8 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     wanted = members.select("node").union(members.select("leader")).distinct()
     sets = shingle_sets(docs, nodes, wanted, text_col)
     found = alike(pairs, nodes, sets, similarity)
+    if radius is not None:
+        found = found.unionByName(_fingerprint_links(docs, rows, radius, id_col, text_col))
     roots = stored(components(found))
     # Members of a bucket beside its leaders, which have met all others of other classes. Equal finer keys lie in one coarser bucket.
     rest, seen = members.select("bucket", "band", "node"), pairs
@@ -384,12 +403,14 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     ).agg(F.min("first").alias("first"))
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None
+) -> DataFrame:
     """One document of each class of ``similar_classes``, the one with the smallest id, in the columns of ``docs``.
 
     Rows that repeat an id and its text are one document. Whole rows are shuffled once.
     """
-    kept = stored(similar_classes(docs, similarity, id_col, text_col).select("first.*").drop("no_id"))
+    kept = stored(similar_classes(docs, similarity, id_col, text_col, radius).select("first.*").drop("no_id"))
     full = docs.select(
         F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("hash")
     )
