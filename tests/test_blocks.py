@@ -126,3 +126,18 @@ def test_duration_curve_ranks_one_large_group_by_many_tasks(spark):
     assert curve.withColumn("p", F.lag("v").over(w)).where("v > p").count() == 0
     plan = curve._jdf.queryExecution().executedPlan().toString()
     assert any("row_number" in line and "_block" in line for line in plan.splitlines())
+
+
+def test_duration_curve_reads_one_set_of_cuts(spark, monkeypatch):
+    """Approximate quantiles may come out differently each time they are computed, as on a cluster."""
+    approx = F.percentile_approx
+
+    def unsteady(value, bounds, accuracy):
+        jitter = F.expr("cast(reflect('java.lang.Math', 'random') as double)")
+        return F.transform(approx(value, bounds, accuracy), lambda c: c + 50 * jitter)
+
+    monkeypatch.setattr(series.F, "percentile_approx", unsteady)
+    rows = spark.range(20_000).select(F.lit(2020).alias("y"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
+    told = series.duration_curve(rows, ["y"], "v").select("rank", "v").collect()
+    assert [r.v for r in sorted(told)] == sorted((r.v for r in told), reverse=True)
+    assert sorted(r.rank for r in told) == list(range(1, 20_001))

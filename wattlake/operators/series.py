@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wattlake.config import ROLLING_DAYS
 from wattlake.operators.blocks import global_rank
+from wattlake.session import stored_table
 
 
 def difference(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "d_t") -> DataFrame:
@@ -68,9 +69,11 @@ def duration_curve(df: DataFrame, keys: Sequence[str], value: str, parts: int =
 
     Approximate quantiles cut each group into ranges, which are ranked by their own tasks and moved on by the
     rows of the ranges before, so a group of any size is ranked by many tasks. Equal values share a range.
+    The quantiles depend on the order in which partial results arrive, and the ranges are read twice (to count and
+    to rank), so they are written once: two computations need not agree.
     """
     bounds = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, bounds, F.lit(1000)).alias("_cuts"))
+    cuts = stored_table(df.groupBy(*keys).agg(F.percentile_approx(value, bounds, F.lit(1000)).alias("_cuts")))
     matched = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], F.lit(True))
     rows = df.select(*keys, value).alias("l").join(cuts.alias("c"), matched).select("l.*", "_cuts")
     higher = F.size(F.filter("_cuts", lambda c: c > F.col(value)))
