@@ -472,3 +472,39 @@ def test_trigrams_of_a_very_long_text_are_counted_in_blocks():
     share, _ = language_id.infer(text, table)
     assert tracemalloc.get_traced_memory()[1] < 60_000_000 and share.argmax() == 0
     tracemalloc.stop()
+
+
+def test_near_duplicate_classes_of_alike_families_equal_brute_force_with_few_pairs(make, tmp_path, monkeypatch):
+    """Families so alike that they share buckets, most members further than 0.8 from each other."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = word()
+        return out
+
+    root_text, sets = [word() for _ in range(150)], []
+    texts = []
+    for _ in range(3):
+        base = edited(root_text, 5)
+        texts += [" ".join(edited(base, rng.randint(2, 7))) for _ in range(90)]
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for k in range(i):
+            if len(a & sets[k]) / len(a | sets[k]) >= 0.8:
+                low, high = sorted((find(i), find(k)))
+                root[high] = low
+    judged, sides = [], simhash._sides
+    monkeypatch.setattr(simhash, "_sides", lambda pairs, found: judged.append(pairs.count()) or sides(pairs, found))
+    kept = {r["doc_id"] for r in simhash.keep_one(make(tmp_path, texts)).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+    assert sum(judged) <= 30 * len(texts)  # of 36,315 pairs

@@ -29,14 +29,14 @@ kept by ``keep_one``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.llm.common import stored, text_of
@@ -55,12 +55,12 @@ HASH_SEED = 42
 SET_WORDS = 5
 MIN_HASHES = 160
 MISSED = 1e-5
-#: Standard deviations that the sketch of a pair at the wanted similarity may lie below it.
-SLACK = 5.0
-#: Bands whose keys part a bucket of several classes at a level, counted on from its own band; none: the bucket stays and
-#: other members lead it. Each later level takes one further band. ``LEADERS`` members, each of another class, lead a bucket at a level.
-STEPS = ((1, 2, 3, 4, 5, 6), (), (), (7,), ())
-LEADERS = 4
+#: Members of a star that are worth further leaders, the share of them that a leader has to link, and leaders at most.
+LARGE_STAR = 64
+WORTHWHILE = 0.05
+LEADERS = 16
+#: A difference counts as common in a star from this share of its members on.
+COMMON = 64
 FACTORS, OFFSETS = np.random.default_rng(11).integers(0, 1 << 63, (2, MIN_HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -250,25 +250,20 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """``(doc_id, text_hash, node, keys, sketch)`` of every row; one pass over the texts.
-
-    ``node`` stands for the shingle set, ``sketch`` holds a byte of each min-hash.
-    """
+def band_table(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """``(doc_id, text_hash, node, keys)`` of every row; one pass over the texts. ``node`` stands for the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, marks = [], [], []
+            nodes, keys = [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
-                least = min_hashes(found)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), HASH_SEED))
-                keys.append(band_keys(least, rows))
-                marks.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
+                keys.append(band_keys(min_hashes(found), rows))
             flat = pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, MIN_HASHES // rows, np.int32)), flat)
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "keys", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "keys"])
 
     texts = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
@@ -276,21 +271,34 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFram
         text_of(text_col).cast("binary").alias("text"),
     )
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>, sketch binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, keys array<long>")
+
+
+def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("p"))
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("q"))
+    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "p", "q")
 
 
-def _judged(pairs: DataFrame, sides: DataFrame, value: str, judge: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs ``(u, v)`` whose values in ``sides`` pass ``judge``."""
+def differences(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v, n, m, linked, apart)``: sizes of both sets, whether they are alike, and the hashes that only one of them holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fit = [judge(p, q) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(fit, pa.bool_()))
-
-    left = sides.select(F.col("node").alias("u"), F.col(value).alias("p"))
-    right = sides.select(F.col("node").alias("v"), F.col(value).alias("q"))
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "p", "q")
-    return stored(joined.mapInArrow(run, "u long, v long"))
+            n, m, apart = [], [], [np.empty(0, np.uint64)]
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                n.append(len(x))
+                m.append(len(y))
+                apart.append(np.setxor1d(x, y, assume_unique=True))
+            ends = np.cumsum([len(a) for a in apart])
+            shared = (np.array(n) + np.array(m) - np.diff(ends)) // 2
+            linked = shared / np.maximum(np.array(n) + np.array(m) - shared, 1) >= similarity
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(apart).view(np.int64)))
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(linked), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "n", "m", "linked", "apart"])
+
+    return stored(_sides(pairs, sets).mapInArrow(run, "u long, v long, n long, m long, linked boolean, apart array<long>"))
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -308,22 +316,127 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text_col:
     return stored(found.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(u, v)`` whose shingle sets have a Jaccard similarity of ``similarity`` or more.
-
-    The sketches only spare the comparison of sets that lie ``SLACK`` standard deviations below.
-    """
-    enough = MIN_HASHES * similarity - SLACK * (MIN_HASHES * similarity * (1 - similarity)) ** 0.5
-
-    def agree(p: bytes, q: bytes) -> bool:
-        return np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) >= enough
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(u, v)`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
 
     def same(p: bytes, q: bytes) -> bool:
         x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return shared / (len(x) + len(y) - shared) >= similarity
 
-    return _judged(_judged(pairs, nodes, "sketch", agree), sets, "hashes", same)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = [same(p.as_py(), q.as_py()) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(fit, pa.bool_()))
+
+    return stored(_sides(pairs, sets).mapInArrow(run, "u long, v long"))
+
+
+def stars(buckets: DataFrame) -> DataFrame:
+    """``(u, v, weight)``: hubs and their members, from ``(node, bucket)``. Nodes that share a bucket are both in the star of one hub.
+
+    A bucket is led by the member whose buckets are largest together (``weight``), which in a group of edited copies lies near what they
+    have in common; buckets whose leader is led by another one in a bucket of its own join that one's star.
+    """
+    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = stored(buckets.join(sizes, "bucket"))
+    weights = stored(shared.groupBy("node").agg(F.sum("n").alias("weight")))
+    lead = F.max(F.struct("weight", "node")).alias("lead")
+    leaders = stored(shared.join(weights, "node").groupBy("bucket").agg(lead))
+    met = shared.join(leaders, "bucket").where("node <> lead.node")
+    met = stored(met.select(F.col("lead.weight").alias("w"), F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct())
+    hubs = stored(met.groupBy(F.col("v").alias("u")).agg(F.max(F.struct("w", "u")).alias("top")).select("u", F.col("top.u").alias("hub")))
+    moved = met.join(hubs, "u", "left").withColumn("hub", F.coalesce("hub", "u"))
+    all_ = moved.select("hub", "v").unionByName(moved.select("hub", F.col("u").alias("v"))).where("hub <> v").distinct()
+    return stored(all_.join(weights.withColumnRenamed("node", "v"), "v").select(F.col("hub").alias("u"), "v", "weight"))
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with the classes ``ru, rv`` of both sides."""
+    for side in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("u").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+        pairs = pairs.withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return pairs
+
+
+def _further_leaders(members: DataFrame, sets: DataFrame, found: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links and classes after members outside the class of a large star's hub have met further leaders of their own.
+
+    A star that holds several large classes is so taken apart class by class, as long as a leader links a fair share.
+    """
+    for _ in range(LEADERS):
+        rest = stored(_rooted(members, roots).where("ru <> rv").select("u", "v", "weight", "rv"))
+        large = rest.groupBy("u").agg(F.count("*").alias("n"), F.max(F.struct("weight", "v", "rv")).alias("lead")).where(F.col("n") >= LARGE_STAR)
+        large = stored(large.select("u", F.col("lead.v").alias("leader"), F.col("lead.rv").alias("led")))
+        if large.isEmpty():
+            break
+        pairs = rest.join(large, "u").where("rv <> led").select(F.col("u").alias("hub"), F.col("leader").alias("u"), "v")
+        pairs = stored(pairs)
+        linked = alike(pairs.select("u", "v").distinct(), sets, similarity)
+        if linked.isEmpty():
+            break
+        found = found.unionByName(linked)
+        roots = stored(components(found))
+        told = pairs.join(linked.withColumn("hit", F.lit(1)), ["u", "v"], "left").groupBy("hub").agg((F.count("hit") / F.count("*")).alias("share"))
+        # The leader's class is settled within the star; its other members go on.
+        members = rest.join(large, "u").where("rv <> led").join(
+            told.where(F.col("share") >= WORTHWHILE).select(F.col("hub").alias("u")), "u", "left_semi"
+        ).select("u", "v", "weight")
+    return found, roots
+
+
+def _prefixes(rows: DataFrame, similarity: float) -> DataFrame:
+    """``(u, token, v, root, far, place, d, m)``: the differences of each member from its hub that a link has to share, rare ones first."""
+    c = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [np.empty(0, np.int64)] for k in ("u", "token", "v", "root", "far", "place", "d", "m")}
+            for r in batch.to_pylist():
+                apart = np.array(r["apart"], np.int64)
+                often = dict(zip(r["often"] or [], r["times"] or [], strict=True))
+                times = np.array([often.get(t, 0) for t in r["apart"]], np.int64)
+                d, n, m = len(apart), r["n"], r["m"]
+                # Beside a member that lies outside the hub's class: no fewer than this many differences are shared.
+                least = max(1, int(np.ceil((c * n + d - c * m) / 2 - 1e-6)))
+                length = d - least + 1
+                if r["far"]:
+                    length = max(length, min(d, int(c * m * (1 + 1 / similarity) + 1 + 1e-6)))
+                chosen = apart[np.lexsort((apart, times))][: max(length, 0)]
+                k = len(chosen)
+                out["token"].append(chosen)
+                out["place"].append(np.arange(1, k + 1))
+                for name, value in (("u", r["u"]), ("v", r["v"]), ("root", r["root"]), ("far", int(r["far"])), ("d", d), ("m", m)):
+                    out[name].append(np.full(k, value, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], list(out))
+
+    return stored(rows.mapInArrow(run, "u long, token long, v long, root long, far long, place long, d long, m long"))
+
+
+def links_in_stars(judged: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All links between members of one star and different classes, exactly.
+
+    Two members are alike if the differences that both have from the hub are many enough, given the sizes, and a member outside the hub's
+    class shares over half of the other's. So they share one of the first differences of each, in whatever order; with the rare ones first few pairs do.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    placed = stored(_rooted(judged, roots).select("u", "v", "n", "m", "apart", F.col("rv").alias("root"), (F.col("ru") != F.col("rv")).alias("far")))
+    open_ = stored(placed.groupBy("u").agg(F.count("*").alias("size"), F.max("far").alias("far")).where("far and size > 1").select("u", "size"))
+    rows = placed.join(open_.select("u"), "u", "left_semi")
+    often = rows.select("u", F.explode("apart").alias("token")).groupBy("u", "token").agg(F.count("*").alias("times"))
+    often = often.join(open_, "u").where((F.col("times") > 1) & (F.col("times") * COMMON >= F.col("size")))
+    often = stored(often.groupBy("u").agg(F.collect_list(F.struct("token", "times")).alias("o")))  # bounded by the share that each token has
+    rows = rows.join(often, "u", "left").select("u", "v", "n", "m", "root", "far", "apart", F.col("o.token").alias("often"), F.col("o.times").alias("times"))
+    tokens = _prefixes(rows, similarity)
+    other = tokens.select("u", "token", *[F.col(k).alias(f"{k}2") for k in ("v", "root", "far", "place", "d", "m")])
+    shared = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("d2") - c * (F.col("m") + F.col("m2"))) / 2 - 1e-6))
+    on = (
+        (F.col("root") != F.col("root2")) & ((F.col("far2") == 0) | (F.col("v") < F.col("v2")))
+        & (F.col("m2") >= similarity * F.col("m") - 1e-6) & (F.col("m") >= similarity * F.col("m2") - 1e-6)
+        & (F.col("place") <= F.col("d") - shared + 1) & (F.col("place2") <= F.col("d2") - shared + 1)
+    )
+    pairs = tokens.where("far = 1").join(other, ["u", "token"]).where(on)
+    return alike(stored(pairs.select(F.col("v").alias("u"), F.col("v2").alias("v")).distinct()), sets, similarity)
 
 
 def _fingerprint_links(docs: DataFrame, rows: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
@@ -345,59 +458,31 @@ def similar_classes(
     similarity alone, not on where or how a text was edited, and a pair at ``similarity`` misses every
     band with a probability of at most ``MISSED``. A pair is a link only if the sets themselves are alike.
 
-    A bucket is first compared with its least node. If it is then of more than one class, its members part by the keys of
-    further bands, and ``LEADERS`` members of the smallest classes in each finer bucket are compared with the members of other
-    classes, level by level (``STEPS``) until every bucket is one class. A member meets as many leaders a level in each of its buckets, so pairs are linear
-    in the documents however large a group is. A pair that is alike meets the same way in each band it shares; that it
-    has no leader in any finer bucket is rare (figures in the README) and needs both to have no other link.
+    Buckets are gathered in stars (``stars``), whose members are compared with the hub. Members of different classes are then
+    compared where the differences that they have from the hub leave room for a link (``links_in_stars``). No pair of a bucket is left
+    out, and members that are copies of the hub, edited in different places, do not meet.
 
     With a ``radius`` the classes of ``near_duplicates``, whose search through the pivot tables is exact, come first: texts whose
-    fingerprints lie so near are linked as well, and only members of different classes need to meet in the buckets.
+    fingerprints lie so near are linked as well, and only members of different classes need to meet in the stars.
     """
     n_rows = band_rows(similarity)
-    rows = sketches(docs, id_col, text_col, n_rows)
+    rows = band_table(docs, id_col, text_col, n_rows)
     if radius is not None:
         rows = stored(rows)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    n_bands = MIN_HASHES // n_rows
-    buckets = nodes.select("node", F.posexplode("keys").alias("band", "bucket"))
-    least = stored(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    members = stored(buckets.join(least, "bucket").where("node > leader"))
-    pairs = stored(members.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
-    wanted = members.select("node").union(members.select("leader")).distinct()
+    nodes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("keys").alias("keys")))
+    members = stars(nodes.select("node", F.explode("keys").alias("bucket")))
+    wanted = members.select(F.col("u").alias("node")).union(members.select("v")).distinct()
     sets = shingle_sets(docs, nodes, wanted, text_col)
-    found = alike(pairs, nodes, sets, similarity)
+    judged = differences(members, sets, similarity)
+    found = judged.where("linked").select("u", "v")
     if radius is not None:
         found = found.unionByName(_fingerprint_links(docs, rows, radius, id_col, text_col))
     roots = stored(components(found))
-    # Members of a bucket beside its leaders, which have met all others of other classes. Equal finer keys lie in one coarser bucket.
-    rest, seen = members.select("bucket", "band", "node"), pairs
-    for level in range(n_bands + len(STEPS)):
-        classed = rest.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = stored(classed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket"))
-        if mixed.isEmpty():
-            break
-        parted = classed.join(mixed, "bucket").join(nodes.select("node", "keys"), "node")
-        key = lambda step: F.col("keys")[F.pmod(F.col("band") + step, F.lit(n_bands))]
-        steps = STEPS[level] if level < len(STEPS) else (level + 3,)
-        finer = F.array(*[F.xxhash64("bucket", F.lit(step), key(step)) for step in steps]) if steps else F.array("bucket")
-        parted = stored(parted.select(F.explode(finer).alias("bucket"), "band", "node", "root"))
-        sizes = parted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "least"))
-        several = sizes.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
-        leaders = stored(
-            sizes.withColumn("place", place).where(F.col("place") <= LEADERS).join(several, "bucket")
-            .select("bucket", F.col("least").alias("leader"), F.col("root").alias("led"))
-        )
-        pairs = parted.join(leaders, "bucket").where("root <> led").select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
-        pairs = stored(pairs.distinct().join(seen, ["u", "v"], "left_anti"))
-        linked = alike(pairs, nodes, sets, similarity)
-        if not linked.isEmpty():
-            found = found.unionByName(linked)
-            roots = stored(components(found))
-        rest = parted.join(leaders, "bucket", "left_semi").join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        rest, seen = rest.select("bucket", "band", "node"), stored(seen.unionByName(pairs))
+    found, roots = _further_leaders(members, sets, found, roots, similarity)
+    linked = links_in_stars(judged, roots, sets, similarity)
+    if not linked.isEmpty():
+        roots = stored(components(found.unionByName(linked)))
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").groupBy(
         F.coalesce("root", "node").alias("root")
     ).agg(F.min("first").alias("first"))
